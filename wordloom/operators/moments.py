@@ -100,7 +100,7 @@ def centroids(df: DataFrame, by: list[str]) -> DataFrame:
         return pa.table(cols, names=[*by, "n", "first", "visual", "semantic"])
 
     parts = df.mapInArrow(partial, part_schema)
-    grouped = parts.groupBy(*by) if by else parts.groupBy(F.lit(0))
+    grouped = parts.groupBy(*by) if by else parts.withColumn("_all", F.lit(0)).groupBy("_all")
     return grouped.applyInArrow(merge, head + "n bigint, first bigint, visual array<double>, semantic array<double>")
 
 
