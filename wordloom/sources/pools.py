@@ -42,7 +42,7 @@ TEMPLATES = T.StructType(
 
 def _documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: pool name (file name without suffix) and text."""
-    raw = spark.read.option("wholetext", True).text(paths).select("value", F.input_file_name().alias("path"))
+    raw = spark.read.text(paths, wholetext=True).select("value", F.input_file_name().alias("path"))
     return raw.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("pool"), "value")
 
 
