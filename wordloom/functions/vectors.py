@@ -23,10 +23,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, _zero(), lambda s, x: s + _d(x) * _d(x)))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, even where the body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """``v`` scaled to length 1; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, _d(x) / n).otherwise(_d(x)))
+
+    def scaled(w: Column) -> Column:
+        length = F.when(norm(w) > 0, norm(w)).otherwise(1.0)
+        return bind(length, lambda n: F.transform(w, lambda x: _d(x) / n))
+
+    return bind(v, scaled)
 
 
 def joint(sim_visual: Column, sim_semantic: Column, alpha: float = 0.5) -> Column:
