@@ -57,7 +57,7 @@ def layouts(templates: DataFrame, components: DataFrame, reuse: bool = False) ->
     ``reuse`` a slot that finds all words taken draws from the whole pool again.
     """
     sizes = {r["category"]: r["count"] for r in components.groupBy("category").count().collect()}
-    pieces = {r["template_id"]: r["pieces"] for r in literals(templates).collect()}
+    pieces = {r["template_id"]: r["pieces"] for r in literals(templates).orderBy("template_id").collect()}
     rows: dict[str, list] = {t: [] for t in pieces}
     for r in parse_slots(templates).orderBy("template_id", "slot_no").collect():
         rows[r["template_id"]].append(r)
