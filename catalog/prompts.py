@@ -196,7 +196,9 @@ def reused_words(spark, sf):
 def unique_prompts(spark, sf):
     """As many prompts as there are parts, none of whose hashes an earlier run produced."""
     n = table(spark, sf, "part").count()
-    old = _generated(spark, sf).select("hash")
+    path = fresh_path(spark, "seen")
+    _generated(spark, sf).select("hash").write.parquet(path)
+    old = spark.read.parquet(path)
     new = G.generate_unique(type_templates(spark, sf), components(spark, sf), n, old)
     return new.select("prompt_no", "template_id", "hash")
 

@@ -372,8 +372,8 @@ clean AS (SELECT DISTINCT trim(t) AS word FROM tok WHERE NOT starts_with(t, '<')
 def vocabulary_tokens(spark, sf):
     from wordloom.functions.text import vocabulary_token
 
-    t = table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("t"))
-    return t.select(vocabulary_token(F.col("t")).alias("token")).filter("token is not null").distinct()
+    t = PB.text_tokens(table(spark, sf, "documents"))
+    return t.select(vocabulary_token(F.col("token")).alias("token")).filter("token is not null").distinct()
 
 
 @query(
@@ -385,7 +385,7 @@ SELECT word AS token, round(1 - max(s), 6) + 0.0 AS distance FROM every GROUP BY
 )
 def vocabulary_mining(spark, sf):
     """All tokens of the whole texts against the part names."""
-    t = table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("token"))
+    t = PB.text_tokens(table(spark, sf, "documents"))
     names = table(spark, sf, "part").groupBy(F.col("p_name").alias("word")).agg(F.min("p_partkey").alias("ordinal"))
     maker = lambda: ngram_encoder(32, 3, "m:")
     base = embed_text(names, "word", {"vector": maker})

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from . import arrow as A
 
 BATCH = 128  # texts per encoder call
@@ -88,7 +89,7 @@ def embed_text(
                 cols.append(lists if not gone.any() else pa.array([None if g else x for g, x in zip(gone, lists.to_pylist())], lists.type))
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *encoders])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def embed_models(df: DataFrame, text: str, models: list[str]) -> DataFrame:

@@ -14,13 +14,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_long, md5_uniform
+from ..functions.hashing import md5_uniform
 from ..functions.text import cut_text, json_text
 from ..session import cut
 from ..sources.history import unseen
 from ..sources.pools import BASE_NEGATIVES, NEGATABLE
 from .ordered import dense_index
-from .templates import literals, parse_slots
+from .templates import template_parts
 
 LITERAL_WORDS = 20_000  # pools up to this many words become literals of the plan
 ARTIFACT_CHANCE = 0.002  # fixed value: one prompt in 500 is flagged
@@ -57,15 +57,12 @@ def layouts(templates: DataFrame, components: DataFrame, reuse: bool = False) ->
     ``reuse`` a slot that finds all words taken draws from the whole pool again.
     """
     sizes = {r["category"]: r["count"] for r in components.groupBy("category").count().collect()}
-    pieces = {r["template_id"]: r["pieces"] for r in literals(templates).orderBy("template_id").collect()}
-    rows: dict[str, list] = {t: [] for t in pieces}
-    for r in parse_slots(templates).orderBy("template_id", "slot_no").collect():
-        rows[r["template_id"]].append(r)
     out = []
-    for tid in pieces:
+    for t in template_parts(templates).orderBy("template_id").collect():
+        tid = t["template_id"]
         draws: list[Draw] = []
         slots = []
-        for r in rows[tid]:
+        for r in t["slots"]:
             n = sizes.get(r["category"], 0)
             before = [i for i, d in enumerate(draws) if d.category == r["category"]]
             taken = list(before)
@@ -76,75 +73,82 @@ def layouts(templates: DataFrame, components: DataFrame, reuse: bool = False) ->
                 draws.append(Draw(r["category"], n, [*taken, *mine]))
                 mine.append(len(draws) - 1)
             slots.append((r["category"], r["separator"], r["slot"], mine))
-        out.append(Layout(tid, pieces[tid], slots, draws))
+        out.append(Layout(tid, t["pieces"], slots, draws))
     return out
 
 
 def _positions(df: DataFrame, lay: Layout, seed: int) -> DataFrame:
-    """Add ``_i0``, ``_i1``, ...: the 0-based pool position of every draw of row ``rank``."""
-    df = df.withColumn("_q", F.col("rank"))
-    digits: list[str] = []
+    """Add ``_i0``, ``_i1``, ...: the 0-based pool position of every draw of row ``rank``.
+
+    One select whose later columns use the earlier ones; Spark stacks them into projections, so each
+    digit is computed once.  floor(rand()) is always 0; it keeps filters on later columns from being pushed
+    into that stack, where every use of a digit would write out all digits before it again.
+    """
+    given = df.columns
+    cols = ["*", "rank AS _q0"]
+    keys = ""
     for j, d in enumerate(lay.draws):
         radix = d.pool - len(d.skip)
-        key = F.concat_ws("/", F.lit(f"{seed}/{lay.template_id}/{j}"), *[F.col(x) for x in digits])
-        df = df.withColumns(
-            {
-                f"_d{j}": F.pmod(F.pmod(F.col("_q"), F.lit(radix)) + F.pmod(md5_long(key), F.lit(radix)), F.lit(radix)),
-                "_q": F.expr(f"_q div {radix}L"),
-            }
-        )
-        digits.append(f"_d{j}")
-        at = F.col(f"_d{j}")
-        if len(d.skip) == 1:
-            at = at + F.when(at >= F.col(f"_i{d.skip[0]}"), 1).otherwise(0)
-        elif d.skip:
-            taken = F.array_sort(F.array(*[F.col(f"_i{i}") for i in d.skip]))
-            at = F.aggregate(taken, at, lambda x, t: x + F.when(x >= t, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-        df = df.withColumn(f"_i{j}", at)
-    return df
-
-
-def _finish(lay: Layout, word, word_json, opposite, leave_missing: bool) -> dict[str, Column]:
-    """Prompt columns of one template, given accessors for the words of its draws."""
-    text: list[Column] = []
+        text = _quoted(f"{seed}/{lay.template_id}/{j}")
+        shift = f"pmod(cast(conv(substring(md5(concat_ws('/', {text}{keys})), 1, 15), 16, 10) as bigint), {radix}L)"
+        cols.append(f"pmod(pmod(_q{j}, {radix}L) + {shift}, {radix}L) AS _d{j}")
+        cols.append(f"_q{j} div {radix}L AS _q{j + 1}")
+        keys += f", cast(_d{j} as string)"
+        if not d.skip:
+            cols.append(f"_d{j} AS _i{j}")
+        elif len(d.skip) == 1:
+            cols.append(f"_d{j} + if(_d{j} >= _i{d.skip[0]}, 1L, 0L) AS _i{j}")
+        else:
+            taken = ", ".join(f"_i{i}" for i in d.skip)
+            cols.append(f"aggregate(array_sort(array({taken})), _d{j}, (x, t) -> x + if(x >= t, 1L, 0L)) AS _i{j}")
+    return df.selectExpr(*cols).selectExpr(*given, *[f"_i{j} + cast(floor(rand(0)) as bigint) AS _i{j}" for j in range(len(lay.draws))])
+
+
+def _finish(df: DataFrame, lay: Layout, leave_missing: bool) -> DataFrame:
+    """Prompt columns of one template from the words ``_w0``, ... of its draws, their JSON text ``_x0``, ...
+    and their opposites ``_o0``, ..."""
+    text: list[str] = []
     for piece, slot in zip(lay.pieces, [*lay.slots, None]):
         if piece:
-            text.append(F.lit(piece))
+            text.append(_quoted(piece))
         if slot is None:
             continue
         category, sep, raw, mine = slot
         if mine:
-            text.append(F.concat_ws(sep, *[word(j) for j in mine]))
+            text.append(f"concat_ws({_quoted(sep)}, {', '.join(f'_w{j}' for j in mine)})")
         else:
-            text.append(F.lit(raw if leave_missing else f"[missing {category}]"))
+            text.append(_quoted(raw if leave_missing else f"[missing {category}]"))
     by_cat: dict[str, list[int]] = {}
     for j, d in enumerate(lay.draws):
         by_cat.setdefault(d.category, []).append(j)
 
-    def sorted_json(js: list[int]) -> Column:
+    def sorted_json(js: list[int]) -> str:
         if len(js) == 1:
-            inner = word_json(js[0])
-        else:
-            both = F.array_sort(F.array(*[F.struct(word(j).alias("w"), word_json(j).alias("j")) for j in js]))
-            inner = F.concat_ws(", ", F.transform(both, lambda s: s["j"]))
-        return F.concat(F.lit("["), inner, F.lit("]"))
+            return f"_x{js[0]}"
+        both = ", ".join(f"struct(_w{j} AS w, _x{j} AS x)" for j in js)
+        return f"concat_ws(', ', transform(array_sort(array({both})), s -> s.x))"
 
-    canon: list[Column] = [F.lit('{"c": {')]
+    canon = [_quoted('{"c": {')]
     for n, c in enumerate(sorted(by_cat)):
-        canon += [F.lit((", " if n else "") + json.dumps(c) + ": "), sorted_json(by_cat[c])]
-    canon.append(F.lit('}, "t": ' + json.dumps(lay.template_id) + "}"))
-    against = [opposite(j) for c in NEGATABLE for j in by_cat.get(c, [])]
-    # concat_ws skips NULL opposites; empty ones are dropped too
-    against = [F.when(o != "", o) for o in against]
-    parts = [x for c, js in by_cat.items() for x in (F.lit(c), F.array(*[word(j) for j in js]))]
-    comp = F.create_map(*parts) if parts else F.from_json(F.lit("{}"), "map<string,array<string>>")
-    return {
-        "template_id": F.lit(lay.template_id),
-        "positive": F.concat(*text) if text else F.lit(""),
-        "negative": F.concat_ws(", ", *against, *[F.lit(b) for b in BASE_NEGATIVES]),
-        "components": comp,
-        "hash": F.substring(F.sha2(F.concat(*canon), 256), 1, 16),
-    }
+        canon += [_quoted((", " if n else "") + json.dumps(c) + ": ["), sorted_json(by_cat[c]), "']'"]
+    canon.append(_quoted('}, "t": ' + json.dumps(lay.template_id) + "}"))
+    # concat_ws skips missing opposites; empty ones are dropped too
+    against = [f"nullif(_o{j}, '')" for c in NEGATABLE for j in by_cat.get(c, [])]
+    comp = ", ".join(f"{_quoted(c)}, array({', '.join(f'_w{j}' for j in js)})" for c, js in by_cat.items())
+    return df.selectExpr(
+        "prompt_no",
+        "rank",
+        f"{_quoted(lay.template_id)} AS template_id",
+        f"concat({', '.join(text) or _quoted('')}) AS positive",
+        f"concat_ws(', ', {', '.join([*against, *map(_quoted, BASE_NEGATIVES)])}) AS negative",
+        (f"map({comp})" if comp else "from_json('{}', 'map<string,array<string>>')") + " AS components",
+        f"substring(sha2(concat({', '.join(canon)}), 256), 1, 16) AS hash",
+    )
+
+
+def _quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 COLUMNS = ["prompt_no", "rank", "template_id", "positive", "negative", "components", "hash"]
@@ -179,7 +183,7 @@ def generate(
     rows = []
     for t, lay in enumerate(plan):
         stop = min(start + n_per_template, lay.capacity)
-        parts = min(spark.sparkContext.defaultParallelism, max(1, (stop - start) // 20_000)) if stop - start < 1 << 24 else max(
+        parts = min(spark.sparkContext.defaultParallelism, max(1, (stop - start) // 2_000)) if stop - start < 1 << 24 else max(
             spark.sparkContext.defaultParallelism, (stop - start) >> 22
         )
         ids = spark.range(start, max(stop, start), 1, parts).withColumnRenamed("id", "rank")
@@ -200,8 +204,12 @@ def generate(
             }
         out = None
         for lay, df in zip(plan, rows):
-            get = lambda kind, lay=lay: lambda j: F.get(held[lay.draws[j].category][kind], F.col(f"_i{j}").cast("int"))
-            part = df.select("prompt_no", "rank", *[c.alias(n) for n, c in _finish(lay, get("word"), get("json"), get("opposite"), leave_missing).items()])
+            pick = [
+                F.get(held[d.category][kind], F.col(f"_i{j}").cast("int")).alias(f"{name}{j}")
+                for j, d in enumerate(lay.draws)
+                for name, kind in (("_w", "word"), ("_x", "json"), ("_o", "opposite"))
+            ]
+            part = _finish(df.select("prompt_no", "rank", *pick), lay, leave_missing)
             out = part if out is None else out.unionByName(part)
         return out.select(*COLUMNS)
 
@@ -220,12 +228,17 @@ def generate(
         F.array_sort(F.collect_list(F.struct("j", "word", "json", "opposite"))).alias("w")  # one entry per draw
     )
     full = drawn.filter(F.size("d") == 0).select("prompt_no", "rank", "t", F.lit(None).cast(full.schema["w"].dataType).alias("w")).unionByName(full)
-    cases: dict[str, Column] = {}
+    full = full.persist()  # read once per template
+    out = None
     for t, lay in enumerate(plan):
-        get = lambda kind: lambda j: F.element_at("w", j + 1)[kind]
-        for n, c in _finish(lay, get("word"), get("json"), get("opposite"), leave_missing).items():
-            cases[n] = F.when(F.col("t") == t, c) if n not in cases else cases[n].when(F.col("t") == t, c)
-    return full.select("prompt_no", "rank", *[c.alias(n) for n, c in cases.items()]).select(*COLUMNS)
+        pick = [
+            f"element_at(w, {j + 1}).{kind} AS {name}{j}"
+            for j in range(len(lay.draws))
+            for name, kind in (("_w", "word"), ("_x", "json"), ("_o", "opposite"))
+        ]
+        part = _finish(full.filter(F.col("t") == t).selectExpr("prompt_no", "rank", *pick), lay, leave_missing)
+        out = part if out is None else out.unionByName(part)
+    return out.select(*COLUMNS)
 
 
 def generate_unique(
@@ -240,35 +253,39 @@ def generate_unique(
 ) -> DataFrame:
     """``n`` prompts whose hashes are new to each other and to ``history``.
 
-    Each round draws the next ranks, drops known hashes by a left anti join, and keeps the first prompt
-    of each hash; the shortfall goes to the next round.  Returns fewer when the space is exhausted.
+    Each round draws the next ranks, keeps the first prompt of each hash and drops known hashes by left
+    anti joins; the shortfall goes to the next round.  Returns fewer when the space is exhausted.
     """
     if template_id is not None:
         templates = templates.filter(F.col("id") == template_id)
     plan = layouts(templates, components)
     cap = max((lay.capacity for lay in plan), default=0)
     rows = [c for c in COLUMNS if c != "hash"]
-    taken: DataFrame | None = None
+    parts: list[DataFrame] = []
     have, start = 0, 0
+    step = -(-n // max(len(plan), 1))
     for _ in range(max_attempts):
         if have >= n or start >= cap:
             break
-        step = -(-(n - have) // len(plan))
         fresh = generate(templates, components, step, seed, start, literal_words=literal_words, plan=plan)
-        start += step
         fresh = fresh.groupBy("hash").agg(F.min_by(F.struct(*rows), "prompt_no").alias("r")).select("hash", "r.*")
         if history is not None:
             fresh = unseen(fresh, history)
-        if taken is not None:
-            fresh = unseen(fresh, taken)
-        taken = cut(fresh if taken is None else taken.unionByName(fresh))
-        have = taken.count()
-    if taken is None:
+        for p in parts:
+            fresh = unseen(fresh, p)
+        parts.append(cut(fresh))
+        got = parts[-1].count()
+        have += got
+        start += step
+        # ranks the history has used up give nothing: take longer steps until new ones come
+        step = 2 * step if not got else max(-(-(n - have) // len(plan)), 1)
+    if not parts:
         return generate(templates, components, 0, seed, plan=plan, literal_words=literal_words)
-    if have > n:  # the last round may give a few more than asked: drop the latest prompt numbers
-        extra = have - n  # fewer than one round's rounding, i.e. less than the number of templates
-        drop = taken.orderBy(F.desc("prompt_no")).limit(extra).select("prompt_no")
-        taken = taken.join(drop, "prompt_no", "left_anti")
+    taken = parts[0]
+    for p in parts[1:]:
+        taken = taken.unionByName(p)
+    if have > n:  # the last step may give more than asked: the first n by prompt number stay
+        taken = dense_index(taken, [], "prompt_no", "_place").filter(F.col("_place") <= n)
     return taken.select(*COLUMNS)
 
 

@@ -9,7 +9,7 @@ from ..functions.encoders import embed_text
 from ..functions.hashing import md5_normal
 from ..functions.text import vocabulary_token
 from ..functions.vectors import interpolate, unit
-from ..session import cut
+from ..session import cut, spread
 from .nearest import nearest
 
 SCALES = (0.01, 0.05, 0.1, 0.2, 0.4)  # fixed values: radii of the jitter clouds
@@ -85,12 +85,19 @@ def find_voids_iterative(base: DataFrame, dim: int, n_voids: int = 20, n_probes:
     return best
 
 
+def text_tokens(texts: DataFrame, pattern: str = r"\s+") -> DataFrame:
+    """Distinct tokens of whole texts (``text``), combined before the shuffle."""
+    return spread(texts.select("text")).select(F.explode(F.split("text", pattern)).alias("token")).distinct()
+
+
 def mine_vocabulary(tokens: DataFrame, base: DataFrame, encoder, top_k: int = 100, **kw) -> DataFrame:
     """Vocabulary tokens farthest from their nearest pool word, farthest first.
 
     ``tokens`` has ``token``; equal clean tokens are embedded once.
     """
-    clean = tokens.select(vocabulary_token(F.col("token")).alias("id")).filter("id is not null").distinct()
+    # raw tokens are made distinct first: cleaning costs more than hashing, and texts repeat their words
+    raw = tokens.select("token").distinct()
+    clean = raw.select(vocabulary_token(F.col("token")).alias("id")).filter("id is not null").distinct()
     vectors = embed_text(clean, "id", {"vector": encoder})
     near = nearest(vectors, base, **kw)
     return (

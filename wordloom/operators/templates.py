@@ -10,25 +10,31 @@ SLOT = r"\{(\w+)(?::(\d+))?(?::([^}]*))?\}"
 BIG = "decimal(38,0)"
 
 
-def parse_slots(templates: DataFrame) -> DataFrame:
-    """One row per slot: (template_id, slot_no, category, count, separator, slot).
+def _slot_array() -> Column:
+    """Slots of ``structure`` in order.
 
     A missing separator is a blank, an empty one stays empty; the regex gives '' for both, so the length
     of the whole match tells them apart.
     """
     groups = [F.regexp_extract_all("structure", F.lit(SLOT), F.lit(i)) for i in range(4)]
     zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("slot", "category", "digits", "sep"))])
-    s = templates.select(F.col("id").alias("template_id"), F.posexplode(zipped).alias("slot_no", "m"))
-    m = lambda n: F.col(f"m.{n}")
-    used = F.length(m("category")) + 2 + F.when(m("digits") != "", F.length(m("digits")) + 1).otherwise(0)
-    return s.select(
-        "template_id",
-        "slot_no",
-        m("category").alias("category"),
-        F.when(m("digits") != "", m("digits").cast("int")).otherwise(1).alias("count"),
-        F.when(F.length(m("slot")) > used, m("sep")).otherwise(" ").alias("separator"),
-        m("slot").alias("slot"),
-    )
+
+    def named(m: Column) -> Column:
+        used = F.length(m["category"]) + 2 + F.when(m["digits"] != "", F.length(m["digits"]) + 1).otherwise(0)
+        return F.struct(
+            m["category"].alias("category"),
+            F.when(m["digits"] != "", m["digits"].cast("int")).otherwise(1).alias("count"),
+            F.when(F.length(m["slot"]) > used, m["sep"]).otherwise(" ").alias("separator"),
+            m["slot"].alias("slot"),
+        )
+
+    return F.transform(zipped, named)
+
+
+def parse_slots(templates: DataFrame) -> DataFrame:
+    """One row per slot: (template_id, slot_no, category, count, separator, slot)."""
+    s = templates.select(F.col("id").alias("template_id"), F.posexplode(_slot_array()).alias("slot_no", "s"))
+    return s.select("template_id", "slot_no", "s.*")
 
 
 def literals(templates: DataFrame) -> DataFrame:
@@ -36,6 +42,13 @@ def literals(templates: DataFrame) -> DataFrame:
     return templates.select(F.col("id").alias("template_id"), F.split("structure", SLOT, -1).alias("pieces"))
 
 
+def template_parts(templates: DataFrame) -> DataFrame:
+    """One row per template: its slots and the text around them."""
+    return templates.select(
+        F.col("id").alias("template_id"), F.split("structure", SLOT, -1).alias("pieces"), _slot_array().alias("slots")
+    )
+
+
 def template_needs(slots: DataFrame) -> DataFrame:
     return slots.groupBy("template_id", "category").agg(F.sum("count").alias("need"))
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_long
 from ..functions.text import term_lines
+from ..session import spread
 from .ordered import CHUNK_ROWS, running_sum
 
 
 def parse_terms(texts: DataFrame, keep: list[str] = ["category"]) -> DataFrame:
     """Clean terms of raw texts, one row per usable line."""
-    return texts.select(*keep, F.posexplode(term_lines(F.col("text"))).alias("line", "term"))
+    return spread(texts).select(*keep, F.posexplode(term_lines(F.col("text"))).alias("line", "term"))
 
 
 def new_terms(terms: DataFrame, known: DataFrame) -> DataFrame:

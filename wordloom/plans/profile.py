@@ -28,7 +28,8 @@ def vector_totals(vectors: DataFrame, by: str = "template_id") -> DataFrame:
         F.struct(F.lit("visual").alias("space"), F.col("visual").alias("v")),
         F.struct(F.lit("semantic").alias("space"), F.col("semantic").alias("v")),
     )).alias("s")).select(by, "s.space", F.posexplode("s.v").alias("pos", "x"))
-    return long.groupBy(by, "space", "pos").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    # a few rows per group, read more than once by the callers
+    return long.groupBy(by, "space", "pos").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n")).persist()
 
 
 def cross_means(vectors: DataFrame, by: str = "template_id") -> DataFrame:
@@ -112,6 +113,7 @@ def against_baseline(profiles: DataFrame, baseline: DataFrame) -> DataFrame:
 def prompt_diversity(vectors: DataFrame, alpha: float = 0.5, rows: int = T.TILE_ROWS) -> DataFrame:
     """Blended spread of the prompts per template, and over all prompts (template NULL)."""
     cols = ["template_id", "count", "mean_similarity", "min_similarity", "max_similarity"]
+    vectors = vectors.persist()
     each = pair_stats(vectors, ["template_id"], ["joint"], alpha, rows=rows).select(*cols)
     every = pair_stats(vectors, [], ["joint"], alpha, rows=rows).select(F.lit(None).cast("string").alias("template_id"), *cols[1:])
     return each.unionByName(every)

@@ -54,3 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files, so a lost executor costs no rerun."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for per-row work on an input of fewer partitions than cores.
+
+    A scan of many files has partitions enough and passes through; only a small input is shuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
