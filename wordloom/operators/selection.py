@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import arrow as A
 from ..session import cut
 from . import tiles as T
+from .ordered import dense_index
 
 SMALL_GROUP = 2048  # rows whose full similarity matrix (32 MB) one task holds with ease
 
@@ -35,6 +36,11 @@ def _by_size(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame, DataF
     )
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same columns under new ids, so two frames of one origin can be grouped together."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _full(block: T.Block, gate: str, alpha: float) -> np.ndarray:
     """The similarity matrix of one small group."""
     out = [m[gate] for _, m in T.strips(block, block, [gate], alpha)]
@@ -215,6 +221,14 @@ def diverse_words(
     out = little.groupBy(*by).applyInArrow(solve, schema)
     if big is None:
         return out
+    if not seed_farthest_pair:  # groups of at most k words need no rounds
+        sizes = big.groupBy(*by).count()
+        whole = big.join(sizes.filter(F.col("count") <= k).drop("count"), by, "left_semi")
+        big = big.join(sizes.filter(F.col("count") > k).drop("count"), by, "left_semi")
+        numbered = dense_index(whole, by, "ordinal", "rank").withColumn("rank", F.col("rank").cast("int"))
+        out = out.unionByName(numbered.select(*names, "rank", F.lit(None).cast("double").alias("similarity")))
+        if big.isEmpty():
+            return out
     ranks = _diverse_rounds(big, k, gate, linkage, by, alpha, seed_farthest_pair, rows)
     return out.unionByName(big.select(*names).join(ranks, [*by, "ordinal"]).select(*names, "rank", "similarity"))
 
@@ -264,7 +278,7 @@ def _diverse_rounds(df, k, gate, linkage, by, alpha, farthest, rows) -> DataFram
     spread = cut(sizes.select(*by, F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_tile")))
     step = int(chosen.agg(F.max("rank")).first()[0] or 0)
     while step < k:
-        to_tiles = chosen.join(spread, by).select(*by, "_tile", "ordinal", "visual", "semantic")
+        to_tiles = _renewed(chosen.join(spread, by).select(*by, "_tile", "ordinal", "visual", "semantic"))
         best = base.drop("_seed", "_first", "_tiles").groupBy(*by, "_tile").cogroup(to_tiles.groupBy(*by, "_tile")).applyInArrow(propose, schema)
         won = best.groupBy(*by).agg(
             F.min_by(F.struct("ordinal", "visual", "semantic", "similarity"), F.struct("similarity", "ordinal")).alias("w")
@@ -449,7 +463,7 @@ def best_partners_of(lone: DataFrame, work: DataFrame, gate: str, by: list[str],
         return pa.table([A.plain(a.table.column(c)) for c in keys] + [pa.array([int(b.ordinal[at])]), pa.array([float(row[at])])], names=names)
 
     cols = [*keys, "_tile", "visual", "semantic"]
-    parts = tiles.select(*cols).groupBy(*by, "_tile").cogroup(one.select(*cols).groupBy(*by, "_tile")).applyInArrow(
+    parts = tiles.select(*cols).groupBy(*by, "_tile").cogroup(_renewed(one.select(*cols)).groupBy(*by, "_tile")).applyInArrow(
         kernel, f"{_ddl(work, keys)}, mate bigint, similarity double"
     )
     got = parts.groupBy(*keys).agg(F.min_by(F.struct("mate", "similarity"), F.struct("similarity", "mate")).alias("b"))
