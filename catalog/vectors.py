@@ -456,15 +456,52 @@ def distant_pairs(spark, sf):
     return rounded(S.distant_pairs(pool_vectors(spark, sf), 10), "similarity")
 
 
-@query("gated_selection")
+NEGATED = "(0, 2, 4, 6, 8)"
+# the whole pipeline: agreed moves, sequential filter, farthest-point walk, greedy pairing by rank
+GATED = f"""{MOVES}, top_ AS (SELECT max(ordinal) AS m FROM pv),
+p1 AS (SELECT coalesce(mv.to_category, pv.category) AS category, CASE WHEN mv.word IS NULL THEN pv.ordinal ELSE pv.ordinal + top_.m + 1 END AS ordinal, pv.word, pv.a, pv.b
+    FROM pv LEFT JOIN mv ON pv.ordinal = mv.ordinal CROSS JOIN top_),
+q1 AS (SELECT x.category, x.ordinal AS i, y.ordinal AS j, list_dot_product(x.a, y.a) AS sv, list_dot_product(x.b, y.b) AS ss FROM p1 x JOIN p1 y ON x.category = y.category AND x.ordinal < y.ordinal),
+nb AS (SELECT category, j AS ordinal, list(i) AS near FROM q1 WHERE greatest(sv, ss) > {THR} GROUP BY ALL),
+ord AS (SELECT p1.category, p1.ordinal, coalesce(near, []) AS near, row_number() OVER (PARTITION BY p1.category ORDER BY p1.ordinal) AS p
+    FROM p1 LEFT JOIN nb ON nb.category = p1.category AND nb.ordinal = p1.ordinal),
+scan AS (SELECT category, 0::BIGINT AS p, []::BIGINT[] AS kept FROM (SELECT DISTINCT category FROM p1)
+    UNION ALL SELECT s.category, o.p, CASE WHEN list_has_any(s.kept, o.near) THEN s.kept ELSE list_append(s.kept, o.ordinal) END
+    FROM scan s JOIN ord o ON o.category = s.category AND o.p = s.p + 1),
+kept AS (SELECT category, arg_max(kept, p) AS kept FROM scan GROUP BY 1),
+pairs AS (SELECT q1.* FROM q1 JOIN kept ON kept.category = q1.category AND list_contains(kept.kept, q1.i) AND list_contains(kept.kept, q1.j)),
+{_walk_sql('least(sv, ss)', 12, "SELECT category, [kept[1]] AS chosen, 1 AS n, NULL::DOUBLE AS cur FROM kept")},
+pick AS (SELECT w.category, w.n AS rank, w.chosen[w.n] AS ordinal, p1.word, p1.a, p1.b FROM walk w JOIN p1 ON p1.category = w.category AND p1.ordinal = w.chosen[w.n]),
+sp AS (SELECT x.category, x.rank AS i, y.rank AS j, list_dot_product(x.b, y.b) AS ss, least(list_dot_product(x.a, y.a), list_dot_product(x.b, y.b)) AS sd, x.word AS wi, y.word AS wj
+    FROM pick x JOIN pick y ON x.category = y.category AND x.rank < y.rank),
+step AS (SELECT category, []::INTEGER[] AS used, NULL::INTEGER AS i, NULL::INTEGER AS j FROM (SELECT DISTINCT category FROM pick WHERE category IN {NEGATED})
+    UNION ALL SELECT category, list_concat(used, [b.i, b.j]), b.i, b.j FROM (
+        SELECT step.category, step.used, arg_min({{'i': p.i, 'j': p.j}}, {{'a': p.ss, 'b': p.i, 'c': p.j}}) AS b FROM step JOIN sp p
+        ON p.category = step.category AND NOT list_contains(step.used, p.i) AND NOT list_contains(step.used, p.j) GROUP BY ALL)),
+mates AS (SELECT category, i AS rank, j AS mate FROM step WHERE i IS NOT NULL UNION ALL SELECT category, j, i FROM step WHERE i IS NOT NULL)"""
+
+
+@query(
+    "gated_selection",
+    f"""WITH RECURSIVE {GATED} SELECT pick.category, pick.rank, pick.word, o.word AS opposite FROM pick LEFT JOIN mates m ON m.category = pick.category AND m.rank = pick.rank
+    LEFT JOIN pick o ON o.category = m.category AND o.rank = m.mate""",
+)
 def gated_selection(spark, sf):
     s = select_pools(pool_vectors(spark, sf), 12, THR, negatable=[0, 2, 4, 6, 8])
     return s.selected.select("category", "rank", "word", "opposite")
 
 
-@query("gated_selection_summary")
+@query(
+    "gated_selection_summary",
+    f"""WITH RECURSIVE {GATED}, b AS (SELECT category, avg(least(sv, ss)) AS mean FROM q1 GROUP BY 1), c AS (SELECT category, count(*) AS n FROM p1 GROUP BY 1),
+a AS (SELECT category, avg(sd) AS mean, arg_max(wi, sd) AS wa, arg_max(wj, sd) AS wb, max(sd) AS sim FROM sp GROUP BY 1), k AS (SELECT category, count(*) AS n FROM pick GROUP BY 1)
+SELECT c.category, c.n AS candidates, len(kept) AS after_filter, k.n AS selected, c.n - len(kept) AS redundant_dropped, round(b.mean, 4) + 0.0 AS before_mean_sim,
+    round(a.mean, 4) + 0.0 AS after_mean_sim, round(b.mean - a.mean, 4) + 0.0 AS improvement, wa AS similar_a, wb AS similar_b, round(sim, 4) + 0.0 AS similarity
+FROM c JOIN kept USING (category) JOIN b USING (category) JOIN a USING (category) JOIN k USING (category)""",
+)
 def gated_selection_summary(spark, sf):
-    return select_pools(pool_vectors(spark, sf), 12, THR, negatable=[0, 2, 4, 6, 8]).summary
+    s = select_pools(pool_vectors(spark, sf), 12, THR, negatable=[0, 2, 4, 6, 8]).summary.drop("elbow_k")
+    return s.withColumns({c: F.col(c) + F.lit(0.0) for c in ("before_mean_sim", "after_mean_sim", "improvement", "similarity")})
 
 
 # ---- probes ----------------------------------------------------------------------------------------

@@ -61,6 +61,14 @@ def test_reallocation_replay(spark):
     assert last["word"] == "twice" and got.count() == len(rows)
 
 
+def test_only_the_first_copy_moves(spark):
+    e = np.eye(2)
+    rows = [("x", i, f"x{i}", e[0], e[0]) for i in range(9)] + [("y", 20 + i, f"y{i}", e[1], e[1]) for i in range(3)]
+    rows += [("x", 10 + i, "copy", e[1], e[1]) for i in range(3)]
+    got = C.reallocate(vector_frame(spark, rows)).filter("word = 'copy'").orderBy("ordinal").collect()
+    assert [(r["category"], r["moved"]) for r in got] == [("x", False), ("x", False), ("y", True)]
+
+
 def test_zero_centroid_stays_zero(spark):
     v = np.array([1.0, 0.0])
     df = vector_frame(spark, [("a", 0, "p", v, v), ("a", 1, "q", -v, -v)])

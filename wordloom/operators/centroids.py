@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from ..functions.labels import QUADRANTS, quadrant
+from ..session import cut
 from . import tiles as T
 from .moments import centroids
 from .pairs import top_pairs
@@ -200,17 +201,20 @@ def largest_moves(moves: DataFrame, k: int = 5) -> DataFrame:
 def reallocate(words: DataFrame, min_delta: float = 0.01, **kw) -> DataFrame:
     """The pool after the agreed moves, with ``moved``.  Moved words go to the end of their new category.
 
-    Moves of different words never interact.  A word with one move is settled by a join; only words
-    that several categories want to move are replayed, each on its own few rows.
+    Moves of different words never interact, so each moved word is replayed on its own.  Copies of a word
+    inside a category are first combined (only the first copy can move, because the next finds the target
+    taken), so a replay sees at most one row per category.
     """
-    moves = proposed_moves(words, min_delta, **kw)
+    moves = proposed_moves(words, min_delta, **kw).groupBy("word", F.col("from_category").alias("category")).agg(
+        F.min("ordinal").alias("ordinal"), F.min_by("to_category", "ordinal").alias("to_category")
+    )
+    moves = cut(moves)
     word_t = words.schema["word"].dataType.simpleString()
     cat_t = words.schema["category"].dataType.simpleString()
-    held = words.select("word", "category", "ordinal")
-    touched = held.join(moves.select("word").distinct(), "word", "left_semi").join(
-        moves.select("word", F.col("from_category").alias("category"), "ordinal", "to_category"),
-        ["word", "category", "ordinal"],
-        "left",
+    held = words.select("word", "category", "ordinal").join(moves.select("word").distinct(), "word", "left_semi")
+    touched = (
+        held.groupBy("word", "category").agg(F.min("ordinal").alias("ordinal"))
+        .join(moves.select("word", "category", "to_category"), ["word", "category"], "left")
     )
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
