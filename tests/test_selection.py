@@ -130,6 +130,30 @@ def test_opposites(request, which, kw):
     assert got == want
 
 
+def test_opposites_of_many_copies_need_few_rounds(spark, monkeypatch):
+    """Classes of equal vectors are paired as wholes, so copies do not cost a round each."""
+    base = unit_rows(6, 4, 8)
+    v = np.repeat(base, [60, 1, 2, 20, 5, 9], axis=0)[np.random.default_rng(2).permutation(97)]
+    df = vector_frame(spark, [("t", i, f"w{i}", v[i], v[i]) for i in range(97)])
+    rounds = []
+    inner = S._best_classes
+    monkeypatch.setattr(S, "_best_classes", lambda *a: rounds.append(1) or inner(*a))
+    got = {r["word"]: r["opposite"] for r in S.opposite_pairs(df, small=3, rows=4).collect()}
+    sim = np.round(v @ v.T, 12)  # equal vectors must tie exactly in the plain rule too
+    assert got == {f"w{i}": f"w{j}" for i, j in pairing(sim).items()}
+    assert len(rounds) <= 10
+
+
+def test_opposites_with_ties_between_classes(spark):
+    e = np.eye(3)
+    which = [0, 1, 2, 0, 1, 0, 2, 1, 0, 0, 2]
+    df = vector_frame(spark, [("t", i, f"w{i}", e[k], e[k]) for i, k in enumerate(which)])
+    v = e[which]
+    want = {f"w{i}": f"w{j}" for i, j in pairing(v @ v.T).items()}
+    for kw in PATHS:
+        assert {r["word"]: r["opposite"] for r in S.opposite_pairs(df, **kw).collect()} == want
+
+
 @pytest.mark.parametrize("rows", [4096, 8])
 @pytest.mark.parametrize("n", [1, 6, 40])
 def test_distant_pairs(pool, rows, n):

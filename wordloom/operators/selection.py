@@ -368,77 +368,144 @@ def opposite_pairs(
     return out.unionByName(big.select(*names).join(mates, [*by, "ordinal"]).join(words, [*by, "mate"]).select(*names, "opposite", "similarity"))
 
 
-def best_partners(df: DataFrame, gate: str, by: list[str], rows: int) -> DataFrame:
-    """Per row its least similar partner, by the total order (similarity, first, second ordinal)."""
-    keys = [*by, "ordinal"]
+def _best_classes(active: DataFrame, gate: str, by: list[str], rows: int) -> DataFrame:
+    """Per class of equal vectors its least similar partner class, which may be itself.
+
+    ``ordinal`` and ``second`` are the first two free words of a class; edges are ordered by (similarity,
+    first, second ordinal).  ``tied`` tells that another edge of the class has the same similarity.
+    """
+    keys = [*by, "cls"]
+    carry = ["ordinal", "free", "used"]
+    names = [*keys, *carry, "sim", "mate", "mate_at", "ties"]
 
     def kernel(table: pa.Table) -> pa.Table:
         a, b, same = T.split_sides(table)
-        best_a: list[tuple] = []
-        low_b = np.full(len(b), np.inf)
-        low_b_j = np.zeros(len(b), np.int64)
+        cls_a, cls_b = A.column(a.table, "cls"), A.column(b.table, "cls")
+        low = [np.full(len(x), np.inf) for x in (a, b)]
+        mate = [np.zeros(len(x), np.int64) for x in (a, b)]
+        at = [np.zeros(len(x), np.int64) for x in (a, b)]
+        ties = [np.zeros(len(x), np.int64) for x in (a, b)]
         for strip, sims in T.strips(a, b, [gate], 0.5):
             sim = sims[gate]
-            oa, ob = a.ordinal[strip].astype(np.int64), b.ordinal.astype(np.int64)
+            r = np.arange(sim.shape[0])
             if same:
-                sim = np.where(oa[:, None] == ob[None, :], np.inf, sim)
-            # rows and columns are in ordinal order, so the first hit has the least partner ordinal,
-            # which is also the least (first, second) pair for a fixed row
-            at = sim.argmin(axis=1)
-            r = np.arange(len(oa))
-            best_a.append((oa, sim[r, at], ob[at]))
-            if not same:
-                ct = sim.argmin(axis=0)
-                c = np.arange(len(ob))
-                v = sim[ct, c]
-                upd = (v < low_b) | ((v == low_b) & (oa[ct] < low_b_j))
-                low_b = np.where(upd, v, low_b)
-                low_b_j = np.where(upd, oa[ct], low_b_j)
+                own = sim[r, r + strip.start].copy()
+                sim = np.where(cls_a[strip][:, None] == cls_b[None, :], np.inf, sim)
+            # columns are in ordinal order: the first hit has the least partner ordinal
+            best = sim.argmin(axis=1)
+            v = sim[r, best]
+            low[0][strip], mate[0][strip], at[0][strip] = v, cls_b[best], b.ordinal[best]
+            ties[0][strip] = (sim == v[:, None]).sum(axis=1)
+            if same:  # two words of one class may be paired with each other
+                second = A.column(a.table, "second")[strip]
+                twice = A.column(a.table, "free")[strip] >= 2
+                equal = twice & (own == v)
+                first = twice & ((own < v) | (equal & (second < at[0][strip])))
+                ties[0][strip] = np.where(equal, ties[0][strip] + 1, np.where(first, 1, ties[0][strip]))
+                low[0][strip] = np.where(first, own, v)
+                mate[0][strip] = np.where(first, cls_a[strip], mate[0][strip])
+                at[0][strip] = np.where(first, second, at[0][strip])
+            else:
+                best = sim.argmin(axis=0)
+                c = np.arange(sim.shape[1])
+                v = sim[best, c]
+                n = (sim == v[None, :]).sum(axis=0)
+                better, equal = v < low[1], v == low[1]
+                ties[1] = np.where(better, n, np.where(equal, ties[1] + n, ties[1]))
+                low[1] = np.where(better, v, low[1])
+                # strips come in ordinal order, so an equal later hit has a larger ordinal
+                mate[1] = np.where(better, cls_a[strip][best], mate[1])
+                at[1] = np.where(better, a.ordinal[strip][best], at[1])
         out = []
-        own = np.concatenate([x[0] for x in best_a]) if best_a else np.zeros(0, np.int64)
-        for ords, val, mate in ((own, *[np.concatenate([x[i] for x in best_a]) if best_a else np.zeros(0) for i in (1, 2)]),
-                                (b.ordinal.astype(np.int64), low_b, low_b_j))[: 1 if same else 2]:
-            ok = np.isfinite(val)
-            m = int(ok.sum())
-            cols = [A.plain(table.column(c)).take(pa.array(np.zeros(m, np.int64))) for c in by]
-            out.append(pa.table([*cols, pa.array(ords[ok]), pa.array(val[ok]), pa.array(mate[ok].astype(np.int64))],
-                                names=[*keys, "sim", "mate"]))
+        for side, block in enumerate((a, b)[: 1 if same else 2]):
+            ok = np.nonzero(np.isfinite(low[side]))[0]
+            t = block.table.select([*keys, *carry]).take(pa.array(ok))
+            for n, x in (("sim", low), ("mate", mate), ("mate_at", at), ("ties", ties)):
+                t = t.append_column(n, pa.array(x[side][ok]))
+            out.append(t.select(names))
         return pa.concat_tables(out)
 
-    tiled = T.self_tiles(df.select(*keys, "visual", "semantic"), by, "ordinal", rows)
-    parts = T.per_tile(tiled, by, kernel, f"{_ddl(df, by)}{', ' if by else ''}ordinal bigint, sim double, mate bigint")
-    order = F.struct("sim", F.least("ordinal", "mate").alias("i"), F.greatest("ordinal", "mate").alias("j"))
-    return parts.groupBy(*keys).agg(F.min_by(F.struct("sim", "mate"), order).alias("b")).select(*keys, "b.sim", "b.mate")
+    tiled = T.self_tiles(active, by, "cls", rows)
+    head = _ddl(active, [*keys, *carry])
+    parts = T.per_tile(tiled, by, kernel, f"{head}, sim double, mate bigint, mate_at bigint, ties bigint")
+    merged = parts.groupBy(*keys, *carry).agg(
+        F.min_by(F.struct("sim", "mate", "ties"), F.struct("sim", "mate_at")).alias("b"),
+        F.collect_list("sim").alias("sims"),  # one value per tile
+    )
+    tied = (F.col("b.ties") > 1) | (F.size(F.filter("sims", lambda x: x == F.col("b.sim"))) > 1)
+    return merged.select(*keys, *carry, "b.sim", "b.mate", tied.alias("tied"))
 
 
 def _pair_rounds(df: DataFrame, gate: str, by: list[str], rows: int) -> DataFrame:
     """(by, ordinal, mate, similarity) for large groups.
 
-    A pair that is best for both its words is also the next greedy choice among its neighbours, so all
-    such pairs can be taken at once; the rest goes to the next round.
+    Words with equal vectors form a class, of which only the number of used words is tracked.  A pair of
+    classes that are each other's best is also the next greedy choice among its neighbours, so all such
+    pairs are taken at once, and as long as no other edge has the same similarity, the free words of both
+    classes are paired off in order until one class is used up.
     """
-    keys = [*by, "ordinal"]
-    work = df.select(*keys, "visual", "semantic")
-    free, taken = work, []
+    keys = [*by, "cls"]
+    flat = F.coalesce("semantic", F.array().cast("array<double>"))
+    work = df.select(*by, "ordinal", "visual", "semantic")
+    named = work.withColumn("_s", flat)
+    classes = cut(
+        named.groupBy(*by, "visual", "_s").agg(F.min("ordinal").alias("cls"), F.count(F.lit(1)).alias("n"), F.first("semantic").alias("semantic"))
+    )
+    members = named.select(*by, "visual", "_s", "ordinal").join(classes.select(*by, "visual", "_s", "cls"), [*by, "visual", "_s"])
+    members = cut(dense_index(members.select(*keys, "ordinal"), keys, "ordinal", "pos"))
+    state = classes.select(*keys, "n", "visual", "semantic").withColumn("used", F.lit(0).cast("bigint"))
+    taken: list[DataFrame] = []
     while True:
-        best = cut(best_partners(free, gate, by, rows))
+        live = state.filter("used < n")
+        ahead = live.select(*keys, F.explode(F.array(F.col("used") + 1, F.col("used") + 2)).alias("pos"))
+        heads = ahead.join(members, [*keys, "pos"]).groupBy(*keys).agg(F.min("ordinal").alias("ordinal"), F.max("ordinal").alias("second"))
+        active = live.join(heads, keys).select(*keys, "ordinal", "second", (F.col("n") - F.col("used")).alias("free"), "used", "visual", "semantic")
+        best = cut(_best_classes(active, gate, by, rows))
         if best.isEmpty():
             break
-        edge = [F.least("ordinal", "mate").alias("i"), F.greatest("ordinal", "mate").alias("j")]
-        both = best.groupBy(*by, *edge).agg(F.count(F.lit(1)).alias("c"), F.min("sim").alias("similarity")).filter("c = 2")
-        pairs = cut(
-            both.select(*by, F.explode(F.array(F.struct(F.col("i").alias("ordinal"), F.col("j").alias("mate")),
-                                               F.struct(F.col("j").alias("ordinal"), F.col("i").alias("mate")))).alias("p"), "similarity")
-            .select(*by, "p.ordinal", "p.mate", "similarity")
+        edges = best.groupBy(*by, F.least("cls", "mate").alias("x"), F.greatest("cls", "mate").alias("y")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("sim").alias("similarity"), F.array_sort(F.collect_list(F.struct("cls", "used", "free", "tied"))).alias("s"),  # one or two entries
+        )
+        a, b = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+        alone = F.col("x") == F.col("y")
+        many = F.when(alone, F.floor(a["free"] / 2)).otherwise(F.least(a["free"], b["free"]))
+        one_by_one = a["tied"] | F.coalesce(b["tied"], F.lit(False))
+        picks = cut(
+            edges.filter(alone | (F.col("c") == 2)).select(
+                *by, "x", "y", "similarity", a["used"].alias("used_x"), F.coalesce(b["used"], a["used"]).alias("used_y"),
+                F.when(one_by_one, F.lit(1)).otherwise(many).cast("bigint").alias("take"),
+            )
+        )
+        taken.append(picks)
+        spent = picks.select(*by, F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("cls"), (2 * F.col("take")).alias("more")))).otherwise(
+            F.array(F.struct(F.col("x").alias("cls"), F.col("take").alias("more")), F.struct(F.col("y").alias("cls"), F.col("take").alias("more")))
+        )).alias("p")).select(*by, "p.*")
+        state = cut(live.join(spent, keys, "left").withColumn("used", F.col("used") + F.coalesce("more", F.lit(0))).drop("more").filter("used < n"))
+    mates: list[DataFrame] = []
+    if taken:
+        picks = taken[0]
+        for t in taken[1:]:
+            picks = picks.unionByName(t)
+        # long runs are cut into blocks that spread over the cluster before they are written out
+        block = 1 << 16
+        runs = picks.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("take") - 1) / block)))).repartition(*by, "x", "y", "_b")
+        each = runs.withColumn("k", F.explode(F.sequence(F.col("_b") * block + 1, F.least("take", (F.col("_b") + 1) * block))))
+        alone = F.col("x") == F.col("y")
+        at = each.select(
+            *by, "x", "y", "similarity",
+            F.when(alone, F.col("used_x") + 2 * F.col("k") - 1).otherwise(F.col("used_x") + F.col("k")).alias("px"),
+            F.when(alone, F.col("used_x") + 2 * F.col("k")).otherwise(F.col("used_y") + F.col("k")).alias("py"),
         )
-        taken.append(pairs)
-        free = cut(free.join(pairs.select(*keys), keys, "left_anti"))
+        who = lambda c, p, o: _renewed(members.select(*by, F.col("cls").alias(c), F.col("pos").alias(p), F.col("ordinal").alias(o)))
+        both = at.join(who("x", "px", "i"), [*by, "x", "px"]).join(who("y", "py", "j"), [*by, "y", "py"])
+        two = F.explode(F.array(F.struct(F.col("i").alias("ordinal"), F.col("j").alias("mate")), F.struct(F.col("j").alias("ordinal"), F.col("i").alias("mate"))))
+        mates.append(both.select(*by, two.alias("p"), "similarity").select(*by, "p.ordinal", "p.mate", "similarity"))
     # at most one word per group is left: its partner may be any word of the group
-    if not free.isEmpty():
-        lone = best_partners_of(free, work, gate, by, rows)
-        taken.append(cut(lone))
-    out = taken[0]
-    for t in taken[1:]:
+    if not state.isEmpty():
+        last = state.select(*keys, (F.col("used") + 1).alias("pos")).join(members, [*keys, "pos"]).select(*by, "ordinal")
+        mates.append(cut(best_partners_of(cut(work.join(last, [*by, "ordinal"])), work, gate, by, rows)))
+    out = mates[0]
+    for t in mates[1:]:
         out = out.unionByName(t)
     return out
 
