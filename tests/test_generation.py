@@ -120,3 +120,32 @@ def test_sampled_words(spark, comps):
 def test_artifacts_depend_on_the_hash_only(spark):
     df = spark.range(20000).select(F.md5(F.col("id").cast("string")).alias("hash"))
     assert 10 < G.flag_artifacts(df).filter("is_artifact").count() < 90
+
+
+# Words per category and the categories of the slots of each template.
+POOL_SIZES = {
+    "atmosphere_field": 62, "color_logic": 62, "light_behavior": 64, "material_substance": 65, "medium_render": 59, "phenomenon_pattern": 62,
+    "scale_perspective": 64, "setting_location": 59, "spatial_logic": 64, "subject_form": 58, "temporal_state": 62, "texture_density": 60,
+}
+SLOTS = {
+    "material_study": "subject_form material_substance texture_density light_behavior color_logic medium_render",
+    "environmental": "scale_perspective setting_location atmosphere_field subject_form light_behavior medium_render",
+    "process_state": "temporal_state subject_form phenomenon_pattern material_substance color_logic medium_render",
+    "specimen": "scale_perspective material_substance subject_form medium_render color_logic",
+    "abstract_field": "phenomenon_pattern spatial_logic color_logic atmosphere_field medium_render",
+    "liminal": "setting_location light_behavior atmosphere_field spatial_logic color_logic medium_render",
+    "textural_macro": "scale_perspective texture_density material_substance light_behavior color_logic medium_render",
+    "ruin_state": "temporal_state setting_location atmosphere_field phenomenon_pattern color_logic medium_render",
+    "minimal_object": "material_substance subject_form spatial_logic light_behavior color_logic medium_render",
+    "material_collision": "material_substance material_substance phenomenon_pattern texture_density light_behavior color_logic medium_render",
+    "atmospheric_depth": "subject_form atmosphere_field atmosphere_field light_behavior scale_perspective color_logic medium_render",
+    "temporal_diptych": "temporal_state temporal_state subject_form spatial_logic material_substance color_logic medium_render",
+    "essence": "texture_density subject_form spatial_logic",
+    "site_decay": "scale_perspective temporal_state setting_location phenomenon_pattern texture_density",
+}
+
+
+def test_size_of_the_known_space(spark):
+    comp = spark.createDataFrame([(c,) for c, n in POOL_SIZES.items() for _ in range(n)], "category string")
+    t = templates(spark, **{k: " ".join("{" + c + "}" for c in v.split()) for k, v in SLOTS.items()})
+    assert int(T.total_combinations(T.parse_slots(t), comp).first()["permutations"]) == 10_628_638_727_072

@@ -102,18 +102,19 @@ def embed_models(df: DataFrame, text: str, models: list[str]) -> DataFrame:
 
 
 def pool_tokens(tokens: DataFrame, by: list[str]) -> DataFrame:
-    """Masked mean of token vectors, scaled to unit length.
+    """Masked mean of token vectors, scaled to unit length; zero where the mask leaves nothing.
 
-    ``tokens`` has ``by``, ``mask`` (0/1) and ``vector``.  Tokens are summed map-side by position.
+    ``tokens`` has ``by``, ``mask`` (0/1) and ``vector``.  The scaling makes the division by the number of
+    tokens immaterial, so this is the unit vector of the masked sum, added up map-side.
     """
     from pyspark.sql import functions as F
 
-    from .vectors import unit
+    from ..operators.moments import centroids
 
-    flat = tokens.select(*by, "mask", F.posexplode("vector").alias("pos", "x"))
-    sums = flat.groupBy(*by, "pos").agg(
-        F.sum(F.col("x").cast("double") * F.col("mask")).alias("s"), F.sum(F.col("mask").cast("double")).alias("m")
+    masked = tokens.select(
+        *by,
+        F.lit(0).cast("bigint").alias("ordinal"),
+        F.transform("vector", lambda x: x.cast("double") * F.col("mask")).alias("visual"),
+        F.lit(None).cast("array<double>").alias("semantic"),
     )
-    mean = F.col("s") / F.greatest(F.col("m"), F.lit(1e-9))
-    packed = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", mean.alias("v")))).alias("p"))
-    return packed.select(*by, unit(F.transform("p", lambda p: p["v"])).alias("vector"))
+    return centroids(masked, by).select(*by, F.col("visual").alias("vector"))

@@ -44,6 +44,14 @@ def centroids(df: DataFrame, by: list[str]) -> DataFrame:
 
     A zero mean stays zero.  ``semantic`` is NULL for a group without semantic vectors.
     """
+    return vector_sums(df, by, to_unit=True)
+
+
+def vector_sums(df: DataFrame, by: list[str], to_unit: bool = False) -> DataFrame:
+    """Sum of the vectors per group in both spaces, with the word count and the first ordinal.
+
+    A task adds up its rows in numpy and emits one row per group.
+    """
     df = df.select(*by, "ordinal", "visual", "semantic")
     head = _ddl(df, by)
     part_schema = head + "n bigint, first bigint, visual array<double>, semantic array<double>, ns bigint"
@@ -90,7 +98,7 @@ def centroids(df: DataFrame, by: list[str]) -> DataFrame:
             if m is None:
                 return None
             total = m.sum(axis=0)
-            n = np.linalg.norm(total)
+            n = np.linalg.norm(total) if to_unit else 0.0
             return (total / n if n > 0 else total).tolist()
 
         cols = [table.column(c).combine_chunks().slice(0, 1) for c in by]

@@ -9,7 +9,7 @@ from ..functions.encoders import embed_text
 from ..functions.hashing import md5_normal
 from ..functions.text import vocabulary_token
 from ..functions.vectors import interpolate, unit
-from ..session import cut, spread
+from ..session import cut, spread, width
 from .nearest import nearest
 
 SCALES = (0.01, 0.05, 0.1, 0.2, 0.4)  # fixed values: radii of the jitter clouds
@@ -98,7 +98,7 @@ def mine_vocabulary(tokens: DataFrame, base: DataFrame, encoder, top_k: int = 10
     # raw tokens are made distinct first: cleaning costs more than hashing, and texts repeat their words
     raw = tokens.select("token").distinct()
     clean = raw.select(vocabulary_token(F.col("token")).alias("id")).filter("id is not null").distinct()
-    vectors = embed_text(clean, "id", {"vector": encoder})
+    vectors = embed_text(clean.repartition(width(tokens.sparkSession)), "id", {"vector": encoder})
     near = nearest(vectors, base, **kw)
     return (
         near.select(F.col("id").alias("token"), (F.lit(1.0) - F.col("sim")).alias("distance"), "near_word")

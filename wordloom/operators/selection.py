@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
-from ..session import cut
+from ..session import cut, grouped, width
 from . import tiles as T
 from .ordered import dense_index
 
@@ -87,7 +87,7 @@ def _redundancy(df, threshold, gate, by, small, rows) -> DataFrame:
                 dropped[i + 1 :] |= sim[i, i + 1 :] > threshold
         return pa.table([*_columns(block, names), pa.array(~dropped)], names=[*names, "kept"])
 
-    out = little.groupBy(*by).applyInArrow(scan, f"{_ddl(df, names)}, kept boolean")
+    out = grouped(little, by).applyInArrow(scan, f"{_ddl(df, names)}, kept boolean")
     if big is None:
         return out
     state = _redundancy_rounds(big, threshold, gate, by, rows)
@@ -218,7 +218,7 @@ def diverse_words(
         return t.append_column("similarity", pa.array(g, mask=np.isnan(g)))
 
     schema = f"{_ddl(df, names)}, rank int, similarity double"
-    out = little.groupBy(*by).applyInArrow(solve, schema)
+    out = grouped(little, by).applyInArrow(solve, schema)
     if big is None:
         return out
     if not seed_farthest_pair:  # groups of at most k words need no rounds
@@ -245,8 +245,7 @@ def _diverse_rounds(df, k, gate, linkage, by, alpha, farthest, rows) -> DataFram
     work = df.select(*keys, "visual", "semantic", "_seed")
     sizes = work.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_tiles"), F.min("ordinal").alias("_first"))
     base = work.join(sizes, by).withColumn("_tile", F.pmod(F.xxhash64("ordinal"), F.col("_tiles")).cast("int"))
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    base = base.repartition(parts, *by, "_tile").persist()
+    base = base.repartition(width(df.sparkSession), *by, "_tile").persist()
     if farthest:
         low = pair_stats(df, by, [gate], alpha, rows=rows).select(*by, F.array("most_distant.i", "most_distant.j").alias("o"))
         start = low.select(*by, F.posexplode("o").alias("p", "ordinal")).select(*by, "ordinal", (F.col("p") + 1).alias("rank"))
@@ -360,7 +359,7 @@ def opposite_pairs(
         t = t.append_column("opposite", A.plain(block.table.column("word")).take(pa.array(mate[mate >= 0])))
         return t.append_column("similarity", pa.array(value[mate >= 0]))
 
-    out = little.groupBy(*by).applyInArrow(solve, f"{_ddl(df, names)}, opposite {word_t}, similarity double")
+    out = grouped(little, by).applyInArrow(solve, f"{_ddl(df, names)}, opposite {word_t}, similarity double")
     if big is None:
         return out
     mates = _pair_rounds(big, gate, by, rows)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
+from ..session import grouped
 
 TILE_ROWS = 4096  # 4096 rows x 1024 doubles = 32 MB per side
 STRIP_ROWS = 512  # rows of one similarity strip inside a kernel
@@ -70,7 +71,7 @@ def cross_tiles(left: DataFrame, right: DataFrame, key: str, rows: int = TILE_RO
 
 
 def per_tile(tiled: DataFrame, by: list[str], kernel: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    return tiled.groupBy(*by, "_lo", "_hi").applyInArrow(kernel, schema)
+    return grouped(tiled, [*by, "_lo", "_hi"]).applyInArrow(kernel, schema)
 
 
 # ---- inside tasks ---------------------------------------------------------------------------------

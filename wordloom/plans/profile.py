@@ -9,6 +9,7 @@ from ..functions.encoders import embed_text
 from ..functions.labels import gated_scores
 from ..operators import tiles as T
 from ..operators.generation import generate
+from ..operators.moments import vector_sums
 from ..operators.pairs import pair_stats
 from ..operators.templates import combinations, parse_slots, structure_features
 
@@ -24,12 +25,10 @@ def sample_vectors(templates: DataFrame, components: DataFrame, n: int, seed: in
 
 def vector_totals(vectors: DataFrame, by: str = "template_id") -> DataFrame:
     """Per group: count and the sum of its vectors in both spaces, by position (a few rows per group)."""
-    long = vectors.select(by, F.explode(F.array(
-        F.struct(F.lit("visual").alias("space"), F.col("visual").alias("v")),
-        F.struct(F.lit("semantic").alias("space"), F.col("semantic").alias("v")),
-    )).alias("s")).select(by, "s.space", F.posexplode("s.v").alias("pos", "x"))
-    # a few rows per group, read more than once by the callers
-    return long.groupBy(by, "space", "pos").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n")).persist()
+    sums = vector_sums(vectors, [by])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("space"), F.col(s).alias("v")) for s in ("visual", "semantic")]))
+    long = sums.select(by, "n", each.alias("s")).select(by, "n", "s.space", F.posexplode("s.v").alias("pos", "x"))
+    return long.persist()  # read more than once by the callers
 
 
 def cross_means(vectors: DataFrame, by: str = "template_id") -> DataFrame:

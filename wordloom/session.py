@@ -56,12 +56,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def width(spark: SparkSession) -> int:
+    """Tasks to use for work that is heavy for its bytes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for per-row work on an input of fewer partitions than cores.
+    """Use all cores for per-row work on a scan of fewer partitions than cores.
 
-    A scan of many files has partitions enough and passes through; only a small input is shuffled.
+    A scan of many files has partitions enough and passes through; only a small input is shuffled.  Plans
+    with an exchange pass through too, because counting their partitions would run them.
     """
-    if df.isStreaming:
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def grouped(df: DataFrame, keys: list[str]):
+    """``groupBy`` whose groups spread over all tasks.
+
+    Kernels are heavy for the bytes they read, and adaptive execution would merge small partitions into
+    one task; an explicit number of partitions is kept, and the grouping needs no second exchange.
+    """
+    return df.repartition(width(df.sparkSession), *keys).groupBy(*keys)

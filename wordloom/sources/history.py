@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 COMPONENT_MAP = "map<string,array<string>>"
 
 
@@ -48,15 +50,28 @@ def unseen(prompts: DataFrame, history: DataFrame) -> DataFrame:
     return prompts.join(history.select("hash"), "hash", "left_anti")
 
 
-def append_new(prompts: DataFrame, path: str, order: str = "id") -> None:
-    """Insert-or-ignore on the hash: the first write of a batch, unless history has the hash."""
+SMALL_BATCH = 1_000_000  # hashes of a batch that is counted to be this small are shipped to the history's tasks
+
+
+def append_new(prompts: DataFrame, path: str, order: str = "id", small_batch: int = SMALL_BATCH) -> None:
+    """Insert-or-ignore on the hash: the first write of a batch, unless history has the hash.
+
+    An anti join would shuffle the whole history for every batch.  So the hashes of a small batch go to the
+    history first, which is then only scanned; what they hit there is as small as the batch.
+    """
     spark = prompts.sparkSession
-    new = first_writes(prompts, order)
+    new = cut(first_writes(prompts, order))
     try:
-        new = unseen(new, spark.read.parquet(path))
+        old = spark.read.parquet(path)
     except Exception as e:  # the table does not exist yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
+        old = None
+    if old is not None:
+        hashes = new.select("hash")
+        if new.count() <= small_batch:
+            old = old.select("hash").join(F.broadcast(hashes), "hash", "left_semi")
+        new = unseen(new, old)
     new.select(*prompts.columns).write.mode("append").parquet(path)
 
 
