@@ -57,8 +57,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def width(spark: SparkSession) -> int:
-    """Tasks to use for work that is heavy for its bytes."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Tasks to use for work that is heavy for its bytes: all cores, up to four rounds of them if the
+    session asks for that many shuffle partitions."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, min(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def spread(df: DataFrame) -> DataFrame:
