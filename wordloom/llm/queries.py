@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, wildcard, zipwarc
+from . import bpe, compression, convnet, huffman, rules, wildcard, zipwarc
+from .samples import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +36,43 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.select("pair.doc_id", "pair.n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query(
+    "op4_rule_ledger",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS i, word FROM (
+             SELECT k, generate_subscripts(x, 1) AS i, unnest(x) AS word FROM (SELECT k, string_split_regex(text, '[ 	-
+]+') AS x FROM d)) WHERE word <> ''),
+     g AS (SELECT k, i, word, CASE WHEN lead(word, 7) OVER o IS NOT NULL THEN
+             word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o || ' ' ||
+             lead(word, 5) OVER o || ' ' || lead(word, 6) OVER o || ' ' || lead(word, 7) OVER o END AS gram FROM w WINDOW o AS (PARTITION BY k ORDER BY i)),
+     r AS (SELECT k, i, word, gram IS NOT NULL AND count(*) OVER (PARTITION BY k, gram) > 1 AS twice FROM g),
+     c AS (SELECT k, i, word, word = lag(word) OVER (PARTITION BY k ORDER BY i) AS same, bool_or(twice) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS inside FROM r),
+     m AS (SELECT k, count(*) AS n_words, sum(length(word)) AS word_chars, sum(CASE WHEN inside THEN 1 ELSE 0 END) AS n_repeat_words,
+             sum(length(regexp_replace(word, '[^\p{L}]', '', 'g'))) AS n_letters, sum(length(regexp_replace(word, '[^\p{Lu}]', '', 'g'))) AS n_capitals,
+             sum(CASE WHEN word LIKE '%!!' THEN 1 ELSE 0 END) AS n_shouts,
+             sum(CASE WHEN same THEN 1 ELSE 0 END) AS n_stutters FROM c GROUP BY k),
+     l AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM (
+             SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY k),
+     a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stutters, 0) AS n_stutters,
+             coalesce(n_letters, 0) AS n_letters, coalesce(n_capitals, 0) AS n_capitals, coalesce(n_shouts, 0) AS n_shouts
+           FROM d LEFT JOIN m USING (k) LEFT JOIN l USING (k)),
+     b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_capitals > 60 * n_letters OR
+            100 * n_shouts > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_stutters > 30 * n_words) AS kept
+FROM b""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and the verdict of the newest policy."""
+    rows = rules.ledger(table(spark, sf_dir, "documents"))
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", *measures, (~rules.passes("base")).alias("base_failed"), rules.passes("2").alias("kept"))
+
+
 @query("op6_token_files")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to token files and read from them."""
@@ -63,6 +101,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    rows = compression.score(docs, compression.train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= compression.CUT).cast("int").alias("predicted"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    rows = convnet.score(docs, convnet.train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= convnet.CUT).cast("int").alias("predicted"))
+
+
 @query(
     "op10_url_rules",
     r"""
