@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, convnet, huffman, rules, wildcard, zipwarc
+from . import bpe, compression, convnet, decontaminate, huffman, pii, rules, wildcard, zipwarc
 from .samples import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.select("pair.doc_id", "pair.n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: base spans and those that the trained classifier adds."""
+    docs = table(spark, sf_dir, "documents")
+    rows = pii.find(docs.select("doc_id", "text"), pii.train(docs))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.listed("spans", True), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+@query("op3_benchmark_leaks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds, within the edit budget."""
+    found = decontaminate.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "distance")
+
+
 @query(
     "op4_rule_ledger",
     r"""
