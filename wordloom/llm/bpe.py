@@ -14,18 +14,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, two
+from .common import bounded, flat_ranges, two
 from .tokens import TOKEN_BATCH, Words
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Pairs of tokens, and pieces, whose answers a worker keeps.
-KEEP_PAIRS, KEEP_PIECES = 1_000_000, 500_000
+KEEP_PAIRS, KEEP_PIECES = 400_000, 50_000
 
 
 class Vocabulary:
@@ -193,6 +194,35 @@ class Prefixes:
         return out[::-1]
 
 
+class Table:
+    """The bytes of all tokens end to end, to decode many values at once."""
+
+    def __init__(self, table: dict[int, bytes]):
+        n = max(table, default=-1) + 1
+        sizes = np.zeros(n, np.int64)
+        sizes[list(table)] = [len(t) for t in table.values()]
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(table[k] for k in sorted(table)), np.uint8)
+
+    @staticmethod
+    @lru_cache(maxsize=4)
+    def load(path: str) -> Table:
+        with open(path, "rb") as f:
+            return Table({int(b): base64.b64decode(a) for a, b in map(bytes.split, f)})
+
+    def decode(self, column: pa.Array) -> pa.Array:
+        """Bytes for each packed value; null for null."""
+        counts = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        ids = np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), "<u4")
+        if len(ids) and (int(ids.max()) >= len(self.sizes) or not self.sizes[ids].all()):
+            raise ValueError("an id that the vocabulary does not have")
+        sizes = self.sizes[ids]
+        data = self.bytes[flat_ranges(self.starts[ids], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        out = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        return pc.if_else(pc.is_null(column), pa.scalar(None, pa.binary()), out) if column.null_count else out
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``id_col``, n_tokens, ids: one row for each row.  ``ids`` are little-endian unsigned 32-bit integers in a binary
     value, which costs no conversion; :func:`as_array` gives an array.
@@ -227,10 +257,9 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
     key = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.load(vocabulary)
+        table = Table.load(vocabulary)
         for b in bounded(batches, "ids"):
-            out = [None if x is None else v.decode(np.frombuffer(x, "<u4").tolist()) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), table.decode(b.column(1))], ["id", "ids", "decoded"])
 
     rows = df.select(df[id_col].alias("id"), df[ids_col].alias("ids"))
     return rows.mapInArrow(run, f"id {key.simpleString()}, ids binary, decoded binary").withColumnRenamed("id", id_col)

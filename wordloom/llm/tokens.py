@@ -19,9 +19,9 @@ from .common import flat_ranges
 #: White space beside a space, where a space does not begin a piece of its own (RE2 has no Unicode \s).
 ODD = r"(^ )|( $)|( [\s\v\x1c-\x1f\x{85}\p{Z}])|([\s\v\x1c-\x1f\x{85}\p{Z}] )"
 #: Bytes of text encoded at once: more of its words are equal than in a small batch.
-TOKEN_BATCH = 16 << 20
+TOKEN_BATCH = 8 << 20
 #: Words whose ids a worker keeps, and the longest it keeps.
-KEEP, KEEP_CHARS = 400_000, 64
+KEEP, KEEP_CHARS = 250_000, 64
 
 
 class Words:
