@@ -28,7 +28,7 @@ BASE = {
 }
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]++)++",
-    "phone": r"(?<![+0-9A-Za-z.-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}+(?![ .-]?[0-9A-Za-z])",
+    "phone": r"(?<![+0-9A-Za-z.-])(?<![0-9] )\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}+(?![ .-]?[0-9A-Za-z])",
 }
 LABELERS = ("pattern", "gazetteer", "context", "shape", "edges")
 #: Length buckets of the classifier; characters of context; score from which a span is added; rounds of estimation.

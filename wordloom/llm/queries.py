@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, convnet, decontaminate, huffman, pii, rules, wildcard, zipwarc
+from . import bpe, compression, convnet, decontaminate, forest, huffman, pii, rules, wildcard, zipwarc
 from .samples import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, (~rules.passes("base")).alias("base_failed"), rules.passes("2").alias("kept"))
 
 
+@query("op5_near_duplicates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near-duplicates, by shingles of two words."""
+    return forest.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 @query("op6_token_files")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to token files and read from them."""
