@@ -223,9 +223,9 @@ class Table:
         return pc.if_else(pc.is_null(column), pa.scalar(None, pa.binary()), out) if column.null_count else out
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``id_col``, n_tokens, ids: one row for each row.  ``ids`` are little-endian unsigned 32-bit integers in a binary
-    value, which costs no conversion; :func:`as_array` gives an array.
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, arrays: bool = False) -> DataFrame:
+    """``id_col``, n_tokens, ids: one row for each row.  ``ids`` are an array, or else, which :func:`decode` takes,
+    little-endian unsigned 32-bit integers in a binary value.
 
     A null text is empty; an empty text has no ids; long texts are whole; repeated rows and null ids are rows like any
     other; other columns are not carried.  Work is a pass over the rows: no shuffle, caches of bounded size.
@@ -237,18 +237,23 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         words = _WORDS.setdefault(vocabulary, Words(v.encode_many))
         for b in bounded(batches, "text", TOKEN_BATCH):
             ids, counts = words.encode_texts(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), packed(ids, counts)], ["id", "n_tokens", "ids"])
+            if arrays:
+                coded = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids.astype(np.int32)))
+            else:
+                coded = packed(ids, counts)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), coded], ["id", "n_tokens", "ids"])
 
-    return two(df, id_col, text_col).mapInArrow(run, f"id {key.simpleString()}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    kind = "array<int>" if arrays else "binary"
+    return two(df, id_col, text_col).mapInArrow(run, f"id {key.simpleString()}, n_tokens long, ids {kind}").withColumnRenamed("id", id_col)
 
 
 _WORDS: dict[str, Words] = {}
 
 
-def packed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """A binary value of little-endian unsigned 32-bit integers for each count."""
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 4
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4").tobytes())])
+def packed(ids: np.ndarray, counts: np.ndarray, kind: str = "<u4") -> pa.Array:
+    """A binary value of little-endian unsigned integers for each count."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind).tobytes())])
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -265,15 +270,6 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
     return rows.mapInArrow(run, f"id {key.simpleString()}, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
-def as_array(ids):
-    """A column of packed ids as array<bigint>."""
-    digits = F.hex(ids)
-    turn = lambda i: F.conv(F.concat(*[F.substring(digits, i * 8 + k, F.lit(2)) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
-    return F.when(F.octet_length(ids) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), (F.octet_length(ids) / 4).cast("int") - 1), turn)
-    )
-
-
 def replace(df: DataFrame, id_col: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
     """Edits of encoded texts: from ``id_col``, text, ids, start, end, new to ``id_col``, text, ids after the edit.
 
