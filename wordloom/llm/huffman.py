@@ -42,12 +42,29 @@ def _words(path: str) -> Words:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return Words(lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)])
+
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        # The library's results hold far more than ids; a few at a time are kept.
+        return [x.ids for k in range(0, len(texts), 1024) for x in t.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False)]
+
+    return Words(encode)
+
+
+@lru_cache(maxsize=4)
+def width(path: str) -> int:
+    """Bytes of an id between the passes: 2 if the vocabulary allows."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
-    """(id, n_tokens, ids): the ids of every whole text and the end id, packed; null and empty texts have the end id only."""
-    key = df.schema[id_col].dataType
+    """(id, n_tokens, ids): the ids of every whole text and the end id; null and empty texts have the end id only.
+
+    ``ids`` are little-endian unsigned integers of :func:`width` bytes in a binary value.
+    """
+    key, kind = df.schema[id_col].dataType, f"<u{width(tokenizer)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer)
@@ -55,12 +72,12 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             ids, counts = words.encode_texts(b.column(1))
             ids = np.insert(ids, np.cumsum(counts), end)
             counts = counts + 1
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), packed(ids, counts)], ["id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), packed(ids, counts, kind)], ["id", "n_tokens", "ids"])
 
     return two(df, id_col, text_col).mapInArrow(run, f"id {key.simpleString()}, n_tokens long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> dict[int, int]:
+def count_ids(tokens: DataFrame, kind: str) -> dict[int, int]:
     """How often each id occurs.  A task adds up its own ids, partial sums meet by id; the result has a row for each id
     of the vocabulary at most, which bounds what the driver gets."""
 
@@ -68,7 +85,7 @@ def count_ids(tokens: DataFrame) -> dict[int, int]:
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+                n = np.bincount(np.frombuffer(x.as_buffer(), kind))
                 if len(n) > len(total):
                     total = np.pad(total, (0, len(n) - len(total)))
                 total[: len(n)] += n
@@ -159,7 +176,7 @@ class Code:
         return out.reshape(-1)[:n]
 
 
-def _write(system, path: str, code: Code, rows: Iterator[tuple[int | None, bytes]]) -> tuple[int, int]:
+def _write(system, path: str, code: Code, kind: str, rows: Iterator[tuple[int | None, bytes]]) -> tuple[int, int]:
     """One file of documents in the given order; returns (documents, tokens).  Memory: a block and the footer."""
     docs, sizes, blocks, held, n_held, total = [], [], [], [], 0, 0
     with system.open_output_stream(path) as out:
@@ -175,7 +192,7 @@ def _write(system, path: str, code: Code, rows: Iterator[tuple[int | None, bytes
             at += len(head) + len(data)
 
         for doc, packed_ids in rows:
-            ids = np.frombuffer(packed_ids, "<u4")
+            ids = np.frombuffer(packed_ids, kind)
             docs.append(doc)
             sizes.append(len(ids))
             total += len(ids)
@@ -239,12 +256,12 @@ def write_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = df.sparkSession
     tokens = written(tokenize(df, id_col, text_col, tokenizer, end), "token-ids")
-    code = spark.sparkContext.broadcast(Code(code_lengths(count_ids(tokens), limit)))  # bounded by the vocabulary
+    code = spark.sparkContext.broadcast(Code(code_lengths(count_ids(tokens, f"<u{width(tokenizer)}"), limit)))  # bounded by the vocabulary
     folder = shared_folder(spark, "tokens")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Rows of one id, if there are many, lie in several parts: the order goes on by a hash of the tokens.
     dealt = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie").withColumn("part", F.spark_partition_id())
-    files = written(dealt.select("part", "id", "ids").mapInArrow(_writer(folder, code), "part int, path string, documents long, tokens long"), "token-files")
+    files = written(dealt.select("part", "id", "ids").mapInArrow(_writer(folder, code, f"<u{width(tokenizer)}"), "part int, path string, documents long, tokens long"), "token-files")
     # A row for each file; every file's start is the sum of those before.
     totals = [(r["part"], r["tokens"]) for r in files.select("part", "tokens").collect()]
     starts, at = [], 0
@@ -254,7 +271,7 @@ def write_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return files.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part")
 
 
-def _writer(folder: str, code: Broadcast):
+def _writer(folder: str, code: Broadcast, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = [0]
 
@@ -267,7 +284,7 @@ def _writer(folder: str, code: Broadcast):
         it = rows()
         for one in it:
             name = f"{os.urandom(12).hex()}.tids"
-            docs, tokens = _write(system, f"{inner}/{name}", code.value, (x for part in ([one], it) for x in part))
+            docs, tokens = _write(system, f"{inner}/{name}", code.value, kind, (x for part in ([one], it) for x in part))
             yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "path": [f"{folder}/{name}"], "documents": [docs], "tokens": [tokens]})
 
     return run

@@ -9,6 +9,7 @@ its ends, is encoded whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,55 +21,68 @@ from .common import flat_ranges
 ODD = r"(^ )|( $)|( [\s\v\x1c-\x1f\x{85}\p{Z}])|([\s\v\x1c-\x1f\x{85}\p{Z}] )"
 #: Bytes of text encoded at once: more of its words are equal than in a small batch.
 TOKEN_BATCH = 8 << 20
-#: Words whose ids a worker keeps, and the longest it keeps.
-KEEP, KEEP_CHARS = 250_000, 64
+#: Words whose ids a worker keeps, and bytes of the longest it keeps past that.
+KEEP, KEEP_BYTES = 1_000_000, 64
 
 
 class Words:
-    """``encode`` gets a list of different texts and gives their ids; results are kept up to a bound."""
+    """``encode`` gets a list of different texts and gives their ids; those of words after a space are kept up to a
+    bound, as columns: a batch's words are found among them at once, and only new ones are encoded."""
 
     def __init__(self, encode: Callable[[list[str]], list], keep: int = KEEP):
-        self.encode, self.keep, self.young, self.old = encode, keep, {}, {}
+        self.encode, self.keep = encode, keep
+        self._clear(pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        young, old = self.young, self.old
-        out = list(map(young.get, words))
-        lost = [k for k, v in enumerate(out) if v is None]
-        still = []
-        for k in lost:
-            v = old.get(words[k])
-            if v is None:
-                still.append(k)
-            else:
-                young[words[k]] = out[k] = v
-        if still:
-            for k, v in zip(still, self.encode([words[k] for k in still]), strict=True):
-                out[k] = np.array(v, np.uint32).tobytes()
-                if len(words[k]) <= KEEP_CHARS:
-                    young[words[k]] = out[k]
-        if len(young) > self.keep:
-            self.old, self.young = young, {}
-        return out
+    def _clear(self, words: pa.Array, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.words, self.flat, self.lengths = words, flat, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    def _find(self, found: pa.Array) -> np.ndarray:
+        """The place of each word of ``found`` (all different) among the kept ones; new ones are added."""
+        at = pc.index_in(found, value_set=self.words)
+        new = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            words = found.take(pa.array(new))
+            flat, lengths = self._encode([" " + w for w in words.to_pylist()])
+            at[new] = len(self.words) + np.arange(len(new))
+            self._clear(pa.concat_arrays([self.words, words]), np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths]))
+        return at
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = self.encode(texts)
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Past the bound, only the last batch's words stay, and of them only ones of usual length."""
+        if len(self.words) > self.keep or self.words.nbytes > 64 * self.keep:
+            used = np.unique(used)
+            used = used[pc.binary_length(self.words.take(pa.array(used))).to_numpy(zero_copy_only=False) <= KEEP_BYTES][-self.keep // 2 :]
+            self._clear(self.words.take(pa.array(used)), self.flat[flat_ranges(self.starts[used], self.lengths[used])], self.lengths[used])
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many for each text), ids of all texts one after the other."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), pa.scalar(""), texts)
         parts = pc.split_pattern(plain, " ")
         sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.dictionary_encode(parts.flatten())
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        found = coded.dictionary.to_pylist()
+        index = coded.indices.to_numpy(zero_copy_only=False)
         first = np.cumsum(sizes) - sizes
-        # A dictionary of words after a space; the first word of each text, and odd texts whole, come after it.
-        heads = [found[k] for k in index[first].tolist()]
+        # First words have no space before them; texts of the odd kind are first words as wholes.
+        heads = coded.dictionary.take(pa.array(index[first])).to_pylist()
         for k in np.flatnonzero(odd).tolist():
             heads[k] = texts[k].as_py()
-        index[first] = len(found) + np.arange(len(heads))
-        packed = self.ids([" " + w for w in found]) + self.ids(heads)
-        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        flat = np.frombuffer(b"".join(packed), np.uint32)
-        starts = np.cumsum(lengths) - lengths
-        per_word = lengths[index]
-        ids = flat[flat_ranges(starts[index], per_word)]
-        return ids, np.add.reduceat(per_word, first) if len(first) else np.zeros(0, np.int64)
+        place = self._find(coded.dictionary)
+        flat, lengths = self._encode(heads)
+        starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        per = np.concatenate([self.lengths, lengths])
+        index = place[index]
+        index[first] = len(self.words) + np.arange(len(heads))
+        per_word = per[index]
+        ids = np.concatenate([self.flat, flat])[flat_ranges(starts[index], per_word)]
+        self._forget(place)
+        return ids, np.add.reduceat(per_word, first)
