@@ -6,7 +6,7 @@ window says what toxic texts say.  A text's largest savings, against thresholds
 neither dictionary has seen, give its probability.
 
 The library's own trainer picks a dictionary of a few kilobytes from epochs of its samples and leaves out frequent
-pieces of the toxic text (measured: 2 of 10 English insults).  The toxic content is so chosen here by the same idea, a
+pieces of the toxic text (README has what was measured).  So the toxic content is chosen here by the same idea, a
 cover of frequent pieces: spans of bytes whose 5-grams are far commoner in toxic than in ordinary text, the commonest
 last, nearest to the window, until every such 5-gram is covered.
 """
