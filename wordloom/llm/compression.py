@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from .common import bounded, two
 from .samples import held_out, labelled, logistic, sigmoid
 
-WINDOW, GRAM = 5, 5
-#: A 5-gram is toxic if this share of toxic texts has it, this many times the share of ordinary texts.
-SHARE, TIMES = 0.006, 15.0
+WINDOW, GRAM = 10, 5
+#: A 5-gram is toxic if this share of toxic texts has it, this many times the share of ordinary texts; bytes of a span.
+SHARE, TIMES, LONGEST = 0.03, 15.0, 24
 #: Bytes of the contents; labelled texts of each class; characters of each of them.
 ORDINARY_BYTES, TOXIC_BYTES, PER_CLASS, CHARS = 16_384, 4_096, 3_000, 20_000
 #: A window counts as a hit from this saving on; texts count as toxic from this score on.
-SAVED, CUT = 3, 0.3
+SAVED, CUT = 2, 0.3
 
 
 @dataclass(frozen=True)
@@ -49,9 +49,11 @@ def windows(text: str) -> list[bytes]:
     return [f" {' '.join(words[i : i + WINDOW])} ".encode() for i in range(0, len(words), WINDOW)]
 
 
-def _grams(word: str) -> list[bytes]:
-    b = f" {word} ".encode()
-    return [b[i : i + GRAM] for i in range(max(1, len(b) - GRAM + 1))]
+def _pieces(b: bytes) -> list[bytes]:
+    """The 5-grams of some bytes, and their beginnings of 6 to 9 bytes if they begin a word: with letters of two bytes
+    a 5-gram is short."""
+    starts = [b[:n] for n in range(GRAM + 1, min(GRAM + 4, len(b)) + 1)] if b[:1] == b" " else []
+    return [b[i : i + GRAM] for i in range(max(1, len(b) - GRAM + 1))] + starts
 
 
 def _content(toxic: list[str], ordinary: list[str]) -> bytes:
@@ -59,36 +61,56 @@ def _content(toxic: list[str], ordinary: list[str]) -> bytes:
         words = Counter(w for t in texts for w in set(t.lower().split()))
         grams = Counter()
         for w, n in words.items():
-            for g in set(_grams(w)):
+            for g in set(_pieces(f" {w} ".encode())):
                 grams[g] += n
         return words, grams
 
     (words, mine), (_, theirs) = shares(toxic), shares(ordinary)
-    least = max(3, SHARE * len(toxic))
+    least = max(4, SHARE * len(toxic))
     good = {g for g, n in mine.items() if n >= least and n / len(toxic) >= TIMES * (theirs[g] + 1) / max(1, len(ordinary))}
-    spans = Counter()
+    found: dict[bytes, list[tuple[bytes, int, int]]] = {}
     for w, n in words.items():
         b = f" {w} ".encode()
-        at = [i for i in range(max(1, len(b) - GRAM + 1)) if b[i : i + GRAM] in good]
-        if at:
-            spans[b[at[0] : at[-1] + GRAM]] += n
-    covered, parts = set(), []
-    for s, _ in sorted(spans.items(), key=lambda x: (-x[1], x[0])):
-        new = {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)} & good - covered
-        if new and sum(map(len, parts)) + len(s) <= TOXIC_BYTES:
-            covered |= new
+        begins = [k for k in range(GRAM, GRAM + 5) if k <= len(b) and b[:k] in good]
+        at = [i for i in range(len(b) - GRAM + 1) if b[i : i + GRAM] in good]
+        if begins:  # a telling beginning is enough: what follows it are endings
+            found.setdefault(b[: begins[0]], []).append((b, 0, n))
+        elif at:
+            found.setdefault(b[at[0] : at[-1] + GRAM], []).append((b, at[0], n))
+    spans = Counter()
+    for s, seen in found.items():
+        spans[_grown(s, seen)] += sum(n for *_, n in seen)
+    parts: list[bytes] = []
+    for s, n in sorted(spans.items(), key=lambda x: (-x[1], x[0])):
+        if n >= least and not any(s in p for p in parts) and sum(map(len, parts)) + len(s) <= TOXIC_BYTES:
             parts.append(s)
     return b"".join(reversed(parts))
 
 
+def _grown(span: bytes, seen: list[tuple[bytes, int, int]]) -> bytes:
+    """The span with the bytes after it, as long as most of the words that have it go on alike: a toxic stem's later
+    pieces are common ones, so only its first may be telling, but the whole is what saves bytes."""
+    total = sum(n for *_, n in seen)
+    while len(span) < LONGEST:
+        following = Counter()
+        for b, at, n in seen:
+            if b[at : at + len(span)] == span and at + len(span) < len(b):
+                following[b[at + len(span)]] += n
+        c, n = max(following.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+        if 2 * n <= total:
+            break
+        span += bytes([c])
+    return span
+
+
 def _compressor(content: bytes) -> zs.ZstdCompressor:
-    d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
+    # The library does not index the last bytes of a content: they are filled, or the commonest span would be lost.
+    d = zs.ZstdCompressionDict(content + b"\n" * 16, dict_type=zs.DICT_TYPE_RAWCONTENT)
     p = zs.ZstdCompressionParameters(
         format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=17,
         hash_log=15, chain_log=15, search_log=3, min_match=5, target_length=16, strategy=zs.STRATEGY_DFAST,
     )
-    if d:
-        d.precompute_compress(compression_params=p)
+    d.precompute_compress(compression_params=p)
     return zs.ZstdCompressor(dict_data=d, compression_params=p)
 
 
@@ -117,22 +139,31 @@ def _scorer(ordinary: bytes, toxic: bytes) -> Scorer:
     return Scorer(ordinary, toxic)
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """From (text, label) rows: three in five train the contents, the others calibrate.  Without both classes the score
-    is the share of toxic rows, 0 without rows."""
-    cut = len(rows) * 3 // 5
-    toxic, ordinary = [t for t, y in rows[:cut] if y], [t for t, y in rows[:cut] if not y]
+def _contents(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic content."""
+    toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     said = [w for t in ordinary for w in windows(t)]
     try:
         base = zs.train_dictionary(ORDINARY_BYTES, said[:: max(1, len(said) // 40_000)]).as_bytes()
     except zs.ZstdError:  # too few samples to train on
         base = b"".join(said)[-ORDINARY_BYTES:]
-    more = _content(toxic, ordinary) if toxic else b""
-    s = Scorer(base, more)
-    rest = rows[cut:]
-    if not rest:
-        return Model(base, more, (0.0,) * 6 + (-30.0,))
-    x, y = np.array([s.features(t) for t, _ in rest]), np.array([v for _, v in rest], float)
+    return base, _content(toxic, ordinary) if toxic else b""
+
+
+def fit(rows: list[tuple[str, int]]) -> Model:
+    """From (text, label) rows.  Each half's texts are scored with contents from the other half, which calibrates on
+    texts that the contents have not seen; the model's contents come from all.  Without both classes the score is near
+    the share of toxic rows."""
+    if not rows:
+        return Model(b"", b"", (0.0,) * 6 + (-30.0,))
+    halves = [rows[0::2], rows[1::2]]
+    x, y = [], []
+    for mine, other in (halves, halves[::-1]):
+        s = Scorer(*_contents(other))
+        x += [s.features(t) for t, _ in mine]
+        y += [v for _, v in mine]
+    x, y = np.array(x), np.array(y, float)
+    base, more = _contents(rows)
     # Classes are sampled alike; weights undo that with the usual odds of one toxic text in ten.
     n = np.where(y == 1, 0.1 / max(y.mean(), 1e-9), 0.9 / max(1 - y.mean(), 1e-9))
     return Model(base, more, tuple(logistic(x, y, n).tolist()))

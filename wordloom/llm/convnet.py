@@ -110,7 +110,8 @@ def _gradients(net: Net, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
     d = d @ net.hidden.T
     own = np.repeat(np.arange(len(y)), sizes)
     dc = (d[:, :FILTERS] / sizes[:, None])[own]
-    dc += d[own, FILTERS : 2 * FILTERS] * (c == most[own])
+    top_chunks = (c == most[own]).astype(c.dtype)  # chunks that tie share the gradient
+    dc += d[own, FILTERS : 2 * FILTERS] * top_chunks / np.add.reduceat(top_chunks, first)[own]
     left = h[a] >= h[b]
     dh = np.zeros_like(h)
     np.add.at(dh, a, dc * left)

@@ -95,7 +95,7 @@ class Package:
         self.file, size = file, file.size()
         tail_at = max(0, size - 65557)  # the end record and the longest comment
         tail = self._read(tail_at, size - tail_at)
-        end = tail.rfind(b"PK\x05\x06")
+        end = tail.rfind(b"PK\x05\x06", 0, len(tail) - 18)  # an end record has 22 bytes at least
         while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
             end = tail.rfind(b"PK\x05\x06", 0, end)
         if end < 0:
