@@ -19,8 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under the cut; the model learns from those of them that the labels cover."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = compression.train(docs, labels)
-    rows = compression.score(docs, model, carry=tuple(docs.columns))
-    return rows.where(F.col("score") < compression.CUT).select(*docs.columns)
+    return compression.below(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,14 +175,23 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", divisor
     return fit(labelled(documents, labels, label, ~held_out(F.col(id_col), divisor, rest), per_class, chars, id_col))
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``carry``..., score for each row: whole texts, one pass, no shuffle.
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, score for each row: whole texts, one pass, no shuffle.
 
     A null or empty text has no windows and scores as its features, all zero, say.  Repeated rows, null ids and ties
     are rows like any other.
     """
-    keys = list(dict.fromkeys([id_col, *carry]))
-    kept = F.struct(*[df[k].alias(f"k{n}") for n, k in enumerate(keys)]).alias("kept")
+    return _scored(df, [id_col], model, text_col).select(F.col(f"kept.{id_col}").alias(id_col), "score")
+
+
+def below(df: DataFrame, model: Model, cut: float = CUT, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose score is under ``cut``, with all their columns, whatever their names."""
+    return _scored(df, df.columns, model, text_col).where(F.col("score") < cut).select("kept.*")
+
+
+def _scored(df: DataFrame, keep: list[str], model: Model, text_col: str) -> DataFrame:
+    """(kept, score): the columns of ``keep`` as a struct."""
+    kept = F.struct(*[df[k] for k in keep]).alias("kept")
     rows = df.select(kept, F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["kept"].dataType.simpleString()
 
@@ -192,5 +201,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             x = np.array([s.features(t) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigmoid(x @ w[:-1] + w[-1]))], ["kept", "score"])
 
-    out = rows.mapInArrow(run, f"kept {kind}, score double")
-    return out.select(*[F.col(f"kept.k{n}").alias(k) for n, k in enumerate(keys)], "score")
+    return rows.mapInArrow(run, f"kept {kind}, score double")
