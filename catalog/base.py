@@ -217,13 +217,18 @@ WORD_POOL = ["fog", "dust motes", "crt", "charcoal", "silk", "oak", "Rain ", "mo
 
 def user_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Events as prompts of one slot each: the words are two vector ids, or a keyword for every third event."""
-    return prompt_columns(table(spark, sf, "events"))
+    return prompt_columns(table(spark, sf, "events"), vector_count(spark, sf))
 
 
-def prompt_columns(e: DataFrame) -> DataFrame:
+def vector_count(spark: SparkSession, sf: str) -> int:
+    return max(1, table(spark, sf, "embeddings").count())
+
+
+def prompt_columns(e: DataFrame, vectors: int) -> DataFrame:
+    """Words are ids of any of the ``vectors`` vectors."""
     cents = F.round(F.col("value") * 100).cast("bigint")
     named = F.get(F.lit(WORD_POOL), F.pmod(cents, F.lit(8)).cast("int"))
-    ids = F.array(F.pmod(cents, F.lit(499)).cast("string"), F.pmod(cents * 7, F.lit(499)).cast("string"))
+    ids = F.array(F.pmod(cents, F.lit(vectors)).cast("string"), F.pmod(cents * 7, F.lit(vectors)).cast("string"))
     words = F.when(F.col("event_id") % 3 == 0, F.array(named)).otherwise(ids)
     return e.select(
         "user_id",
@@ -236,7 +241,7 @@ def prompt_columns(e: DataFrame) -> DataFrame:
 PROMPTS_SQL = f"""prm AS (SELECT user_id, event_id AS id, {_case('event_type', EVENT_TEMPLATE, 'other')} AS template_id,
     {_case('event_type', EVENT_CATEGORY, 'other')} AS category,
     CASE WHEN event_id % 3 = 0 THEN [(['fog', 'dust motes', 'crt', 'charcoal', 'silk', 'oak', 'Rain ', 'moiré'])[(round(value * 100)::BIGINT % 8) + 1]]
-    ELSE [(round(value * 100)::BIGINT % 499)::VARCHAR, (round(value * 100)::BIGINT * 7 % 499)::VARCHAR] END AS words FROM events)"""
+    ELSE [(round(value * 100)::BIGINT % nv.n)::VARCHAR, (round(value * 100)::BIGINT * 7 % nv.n)::VARCHAR] END AS words FROM events, (SELECT greatest(1, count(*)) AS n FROM embeddings) nv)"""
 
 
 def state_sql(defaults: dict[str, list[str]]) -> str:

@@ -223,6 +223,22 @@ def batch_run(spark, sf):
     return h.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("hash").alias("hashes"), F.count_if("favorited").alias("favorites"))
 
 
+@query(
+    "batch_run_rows",
+    generated_sql(
+        f"{N_PART} * 2",
+        f""", d AS (SELECT hash, min(prompt_no) AS prompt_no FROM gen GROUP BY 1), o AS (SELECT row_number() OVER (ORDER BY prompt_no) AS id, hash, prompt_no FROM d)
+SELECT (CASE WHEN id <= {N_PART} THEN 1 ELSE 2 END)::INTEGER AS call, id, o.hash, template_id FROM o JOIN gen USING (prompt_no) WHERE id <= 2 * {N_PART}""",
+    ),
+)
+def batch_run_rows(spark, sf):
+    """The rows that two calls on one table return; they are what it holds."""
+    path, n = fresh_path(spark, "history"), table(spark, sf, "part").count()
+    calls = [B.run_batch(type_templates(spark, sf), components(spark, sf), n, path).withColumn("call", F.lit(k)) for k in (1, 2)]
+    rows = calls[0].unionByName(calls[1]).select("call", "id", "hash", "template_id")
+    return rows.join(read_history(spark, path).select("id", "hash", "template_id"), ["id", "hash", "template_id"], "left_semi")
+
+
 def _sampled_sql() -> str:
     parts = []
     for c in sorted(TYPE_CATEGORY.values()):
@@ -261,13 +277,13 @@ def prompt_spans(spark, sf):
 
 
 def _vectors(spark, sf):
-    """Vectors of generated prompts: one per template for every eighth part."""
-    n = max(2, table(spark, sf, "part").count() // 8)
+    """Vectors of generated prompts: one per template for every part."""
+    n = max(2, table(spark, sf, "part").count())
     return PF.sample_vectors(type_templates(spark, sf), components(spark, sf), n, reuse=False)
 
 
 VECTORS = generated_sql(
-    "(SELECT greatest(2, count(*) // 8) FROM part)",
+    "(SELECT greatest(2, count(*)) FROM part)",
     f""", w AS (SELECT DISTINCT positive AS word FROM gen), vv AS (SELECT * FROM {encoder_sql('w', 'v:', 64, 3)}), sv AS (SELECT * FROM {encoder_sql('w', 's:', 96, 4)}),
 tot AS (SELECT 'v' AS space, template_id, p, sum(v) AS x FROM gen JOIN vv ON gen.positive = vv.word GROUP BY ALL UNION ALL SELECT 's', template_id, p, sum(v) FROM gen JOIN sv ON gen.positive = sv.word GROUP BY ALL),
 cnt AS (SELECT template_id, count(*) AS n FROM gen GROUP BY 1), dot AS (SELECT a.space, a.template_id AS a, b.template_id AS b, sum(a.x * b.x) AS s FROM tot a JOIN tot b USING (space, p) GROUP BY ALL),
@@ -335,7 +351,7 @@ def template_profiles(spark, sf):
 def profile_against_baseline(spark, sf):
     """Profiles with the pool against profiles with the pool of the large parts only."""
     c = components(spark, sf)
-    base = PF.profile_templates(type_templates(spark, sf), c.filter("opposite is not null"), max(2, table(spark, sf, "part").count() // 8))
+    base = PF.profile_templates(type_templates(spark, sf), c.filter("opposite is not null"), max(2, table(spark, sf, "part").count()))
     d = PF.against_baseline(_profiles(spark, sf), base)
     return rounded(d, *SCORES, *[f"delta_{s}" for s in SCORES])
 

@@ -16,7 +16,7 @@ from wordloom.streaming import prompts as SP
 from wordloom.streaming import runs as R
 
 from .base import (
-    HISTORY_SQL, PV, USAGE_SQL, caps, centroid_sql, history, pool_vectors, prices, prompt_columns, query, r6, rounded, state_sql, table, usage, user_prompts,
+    HISTORY_SQL, PV, USAGE_SQL, caps, centroid_sql, history, pool_vectors, prices, prompt_columns, query, r6, rounded, state_sql, table, usage, user_prompts, vector_count,
 )
 from .prompts import COMBOS
 from .words import FNV, TERMS
@@ -194,7 +194,7 @@ def carried_state_chunked(spark, sf):
 
 @query("carried_state_streamed", STATE_SELECT)
 def carried_state_streamed(spark, sf):
-    stream = prompt_columns(R.file_stream(spark, sf, "events.parquet"))
+    stream = prompt_columns(R.file_stream(spark, sf, "events.parquet"), vector_count(spark, sf))
     return _state_text(R.drain(SP.carried_state(stream, "user_id")))
 
 
@@ -277,7 +277,7 @@ def prompt_dynamics(spark, sf):
 @query("prompt_dynamics_streamed", DYN_SELECT)
 def prompt_dynamics_streamed(spark, sf):
     total, n = ST.centroid_total(pool_vectors(spark, sf))
-    states = SP.carried_state(prompt_columns(R.file_stream(spark, sf, "events.parquet")), "user_id")
+    states = SP.carried_state(prompt_columns(R.file_stream(spark, sf, "events.parquet"), vector_count(spark, sf)), "user_id")
     out = fresh_path(spark, "dynamics")
     SP.dynamics_stream(states, _word_vectors(spark, sf), total, n, out, fresh_path(spark, "progress")).awaitTermination()
     d = spark.read.parquet(out).drop("batch")

@@ -12,6 +12,7 @@ from wordloom.operators import probes as PB
 from wordloom.operators import selection as S
 from wordloom.operators.nearest import nearest
 from wordloom.plans.select_pools import select_pools
+from wordloom.session import fresh_path
 from wordloom.sources import vectors as SV
 
 from .base import ALLPAIRS, PAIRS, PV, bands, centroid_sql, closest_sql, pool_vectors, query, r6, rounded, table
@@ -131,14 +132,26 @@ def pair_disagreement_semantic(spark, sf):
     return rounded(D.pair_disagreement(pool_vectors(spark, sf), 10, False), "sim_visual", "sim_semantic", "gap")
 
 
+@query(
+    "archive_metadata",
+    f"""WITH {PV} SELECT 'visual' AS space, 'encoder_a' AS model, max(len(a)) AS dimension, count(a) AS words, count(*) AS total FROM pv
+UNION ALL SELECT 'semantic', 'encoder_b', max(len(b)), count(b), count(*) FROM pv""",
+)
+def archive_metadata(spark, sf):
+    """What is written beside an archive's vectors."""
+    meta = SV.write_archive(pool_vectors(spark, sf), fresh_path(spark, "archive"), {"visual": "encoder_a", "semantic": "encoder_b"})
+    return meta.select("space", "model", F.col("dimension").cast("bigint").alias("dimension"), "words", "total")
+
+
 @query(
     "model_stats",
-    f"""WITH {PAIRS}, l AS (SELECT category, 'encoder_a' AS model, sv AS s FROM pairs UNION ALL SELECT category, 'encoder_b', ss FROM pairs)
+    f"""WITH {PAIRS}, l AS (SELECT category, 'encoder_a' AS model, sv AS s FROM pairs UNION ALL SELECT category, 'encoder_b', ss FROM pairs UNION ALL SELECT category, 'encoder_c', sv FROM pairs)
 SELECT model, category, round(avg(s), 4) + 0.0 AS mean, round(min(s), 4) + 0.0 AS min, round(max(s), 4) + 0.0 AS max,
     round(stddev_pop(s), 4) + 0.0 AS std, count(*) FILTER (s > {THR}) AS redundant_pairs FROM l GROUP BY ALL""",
 )
 def model_stats(spark, sf):
-    s = D.by_model(pool_vectors(spark, sf), {"encoder_a": "visual", "encoder_b": "semantic"}, THR)
+    three = {"encoder_a": "visual", "encoder_b": "semantic", "encoder_c": "visual"}
+    s = D.by_model(D.models_as_rows(pool_vectors(spark, sf), three), THR)
     return s.withColumns({c: F.col(c) + F.lit(0.0) for c in ("mean", "min", "max", "std")})
 
 
@@ -147,7 +160,7 @@ def model_stats(spark, sf):
     f"""WITH {PAIRS} SELECT category, round(avg(sv), 4) + 0.0 AS encoder_a, round(avg(ss), 4) + 0.0 AS encoder_b FROM pairs GROUP BY 1""",
 )
 def model_pivot(spark, sf):
-    stats = D.by_model(pool_vectors(spark, sf), {"encoder_a": "visual", "encoder_b": "semantic"}, THR)
+    stats = D.by_model(D.models_as_rows(pool_vectors(spark, sf), {"encoder_a": "visual", "encoder_b": "semantic"}), THR)
     p = D.model_pivot(stats, ["encoder_a", "encoder_b"])
     return p.withColumns({c: F.col(c) + F.lit(0.0) for c in ("encoder_a", "encoder_b")})
 
@@ -183,15 +196,21 @@ def centroids(spark, sf):
     return rounded(c.select("category", F.posexplode(both).alias("pos", "z")).select("category", F.col("pos").cast("bigint").alias("pos"), "z.visual", "z.semantic"), "visual", "semantic")
 
 
-@query(
-    "contamination",
-    f"""WITH {closest_sql()} SELECT word, category AS assigned, says_j AS closest, round(own_j, 6) + 0.0 AS sim_assigned,
-    round(best_j, 6) + 0.0 AS sim_closest, round(best_j - own_j, 6) + 0.0 AS delta FROM best WHERE says_j <> category""",
-)
+CONTAMINATION = f"""WITH {closest_sql()} SELECT word, category AS assigned, says_j AS closest, round(own_j, 6) + 0.0 AS sim_assigned,
+    round(best_j, 6) + 0.0 AS sim_closest, round(best_j - own_j, 6) + 0.0 AS delta FROM best WHERE says_j <> category"""
+
+
+@query("contamination", CONTAMINATION)
 def contamination(spark, sf):
     return rounded(C.contamination(pool_vectors(spark, sf)).drop("ordinal"), "sim_assigned", "sim_closest", "delta")
 
 
+@query("contamination_tiled", CONTAMINATION)
+def contamination_tiled(spark, sf):
+    """The form for centroids too large to ship."""
+    return rounded(C.contamination(pool_vectors(spark, sf), broadcast_bytes=0, rows=256).drop("ordinal"), "sim_assigned", "sim_closest", "delta")
+
+
 @query(
     "contamination_top",
     f"""WITH {closest_sql()} SELECT word, category AS assigned, says_j AS closest, round(best_j - own_j, 6) + 0.0 AS delta
@@ -374,14 +393,22 @@ scan AS (SELECT category, 0::BIGINT AS p, []::BIGINT[] AS kept FROM (SELECT DIST
 last AS (SELECT category, arg_max(kept, p) AS kept FROM scan GROUP BY 1)"""
 
 
-@query(
-    "redundancy_filter",
-    f"WITH RECURSIVE {KEPT} SELECT pv.category, pv.ordinal, pv.word, list_contains(last.kept, pv.ordinal) AS kept FROM pv JOIN last USING (category)",
+REDUNDANCY = (
+    f"WITH RECURSIVE {KEPT} SELECT pv.category, pv.ordinal, pv.word, list_contains(last.kept, pv.ordinal) AS kept FROM pv JOIN last USING (category)"
 )
+
+
+@query("redundancy_filter", REDUNDANCY)
 def redundancy_filter(spark, sf):
     return S.mark_redundant(pool_vectors(spark, sf), THR).select("category", "ordinal", "word", "kept")
 
 
+@query("redundancy_filter_rounds", REDUNDANCY)
+def redundancy_filter_rounds(spark, sf):
+    """The form for groups beyond one task."""
+    return S.mark_redundant(pool_vectors(spark, sf), THR, small=8, rows=64).select("category", "ordinal", "word", "kept")
+
+
 def _walk_sql(sim: str, k: int, start: str, fold: str = "min") -> str:
     """Farthest-point walk: ``start`` gives (category, chosen, n)."""
     return f"""sym AS (SELECT category, i, j, {sim} AS s FROM pairs UNION ALL SELECT category, j, i, {sim} FROM pairs),
@@ -397,15 +424,24 @@ FIRST = "SELECT category, [min(ordinal)] AS chosen, 1 AS n, NULL::DOUBLE AS cur
 APART = "SELECT category, [arg_min(i, {'a': s, 'b': i, 'c': j}), arg_min(j, {'a': s, 'b': i, 'c': j})] AS chosen, 2 AS n, NULL::DOUBLE AS cur FROM sym GROUP BY 1"
 
 
-@query(
-    "diverse_words",
+DIVERSE = (
     f"""WITH RECURSIVE {PAIRS}, {_walk_sql('least(sv, ss)', 12, FIRST)}
-SELECT category, n AS rank, chosen[n] AS word, round(cur, 6) + 0.0 AS similarity FROM walk""",
+SELECT category, n AS rank, chosen[n] AS word, round(cur, 6) + 0.0 AS similarity FROM walk"""
 )
+
+
+@query("diverse_words", DIVERSE)
 def diverse_words(spark, sf):
     return rounded(S.diverse_words(pool_vectors(spark, sf), 12), "similarity").select("category", "rank", "word", "similarity")
 
 
+@query("diverse_words_rounds", DIVERSE)
+def diverse_words_rounds(spark, sf):
+    """The form for groups beyond one task."""
+    d = S.diverse_words(pool_vectors(spark, sf), 12, small=8, rows=64)
+    return rounded(d, "similarity").select("category", "rank", "word", "similarity")
+
+
 @query(
     "diverse_words_max",
     f"""WITH RECURSIVE {PAIRS}, {_walk_sql('least(sv, ss)', 12, FIRST, 'max')}
@@ -435,14 +471,20 @@ lone AS (SELECT pv.category, pv.word, arg_min(CASE WHEN p.i = pv.word THEN p.j E
     WHERE NOT EXISTS (SELECT 1 FROM mates m WHERE m.category = pv.category AND m.word = pv.word) GROUP BY ALL)"""
 
 
-@query(
-    "opposite_pairs",
-    f"WITH RECURSIVE {OPP} SELECT category, word, opposite, round(s, 6) + 0.0 AS similarity FROM (SELECT * FROM mates UNION ALL SELECT * FROM lone)",
-)
+OPPOSITE = f"WITH RECURSIVE {OPP} SELECT category, word, opposite, round(s, 6) + 0.0 AS similarity FROM (SELECT * FROM mates UNION ALL SELECT * FROM lone)"
+
+
+@query("opposite_pairs", OPPOSITE)
 def opposite_pairs(spark, sf):
     return rounded(S.opposite_pairs(pool_vectors(spark, sf)).drop("ordinal"), "similarity")
 
 
+@query("opposite_pairs_rounds", OPPOSITE)
+def opposite_pairs_rounds(spark, sf):
+    """The form for groups beyond one task."""
+    return rounded(S.opposite_pairs(pool_vectors(spark, sf), small=8, rows=64).drop("ordinal"), "similarity")
+
+
 @query(
     "distant_pairs",
     f"""WITH RECURSIVE {ALLPAIRS}, cross_ AS (SELECT * FROM pairs WHERE ci <> cj),
@@ -511,17 +553,27 @@ def _base(spark, sf):
     return pool_vectors(spark, sf).select("ordinal", "word", F.col("semantic").alias("vector"))
 
 
-@query(
-    "nearest_words",
+NEAREST = (
     f"""WITH {ALLPAIRS}, sym AS (SELECT i, j, ss AS s FROM pairs UNION ALL SELECT j, i, ss FROM pairs)
-SELECT i AS id, round(max(s), 6) + 0.0 AS sim, arg_max(j, s) AS near_word FROM sym GROUP BY 1""",
+SELECT i AS id, round(max(s), 6) + 0.0 AS sim, arg_max(j, s) AS near_word FROM sym GROUP BY 1"""
 )
+
+
+@query("nearest_words", NEAREST)
 def nearest_words(spark, sf):
     b = _base(spark, sf)
     n = nearest(b.select(F.col("ordinal").alias("id"), "vector"), b, exclude_self=True)
     return rounded(n.select("id", "sim", "near_word"), "sim")
 
 
+@query("nearest_words_tiled", NEAREST)
+def nearest_words_tiled(spark, sf):
+    """The form for a base too large to ship."""
+    b = _base(spark, sf)
+    n = nearest(b.select(F.col("ordinal").alias("id"), "vector"), b, exclude_self=True, broadcast_bytes=0, rows=128)
+    return rounded(n.select("id", "sim", "near_word"), "sim")
+
+
 def _normal_sql(key: str) -> str:
     u = lambda k: f"('0x' || substr(md5({k}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
     a = f"{key} || '/u'"

@@ -15,6 +15,7 @@ from wordloom.operators.diversity import diversity
 from wordloom.session import fresh_path
 from wordloom.sources import pools as SP
 from wordloom.sources import reports
+from wordloom.sources import vectors as SV
 
 from .base import COMPONENTS_SQL, PAIRS, POOLS, POOLS_SQL, components, pool_vectors, pools, query, r6, rounded, table
 
@@ -338,6 +339,22 @@ def text_vectors(spark, sf):
     return v.select("word", r6(total("visual")).alias("visual_sum"), r6(total("semantic")).alias("semantic_sum"))
 
 
+@query(
+    "cached_vectors",
+    f"""WITH w AS (SELECT p_name AS word FROM part UNION SELECT p_brand FROM part), v AS (SELECT * FROM {encoder_sql('w', 'v:', 64, 3)}), s AS (SELECT * FROM {encoder_sql('w', 's:', 96, 4)}),
+a AS (SELECT word, round(sum(v * p), 6) + 0.0 AS visual_sum FROM v GROUP BY 1), b AS (SELECT word, round(sum(v * p), 6) + 0.0 AS semantic_sum FROM s GROUP BY 1)
+SELECT word, visual_sum, semantic_sum FROM a JOIN b USING (word)""",
+)
+def cached_vectors(spark, sf):
+    """Names first, then names and brands: the second call encodes the brands only."""
+    part, path = table(spark, sf, "part"), fresh_path(spark, "cache")
+    names, spaces = part.select(F.col("p_name").alias("word")), {"visual": "visual", "semantic": "semantic"}
+    SV.embed_once(names, path, spaces)
+    v = SV.embed_once(names.union(part.select("p_brand")).distinct(), path, spaces)
+    total = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return v.select("word", r6(total("visual")).alias("visual_sum"), r6(total("semantic")).alias("semantic_sum"))
+
+
 @query(
     "text_vectors_by_model",
     f"""WITH w AS (SELECT DISTINCT p_name AS word FROM part), l AS (SELECT 'visual' AS model, * FROM {encoder_sql('w', 'v:', 64, 3)} UNION ALL SELECT 'semantic', * FROM {encoder_sql('w', 's:', 96, 4)})

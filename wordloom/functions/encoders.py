@@ -30,17 +30,28 @@ def ngram_encoder(dim: int = 64, n: int = 3, salt: str = "") -> Encoder:
         return int(h[:8], 16) % dim, 1.0 if int(h[8], 16) < 8 else -1.0
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, text in zip(out, texts):
-            padded = f" {text} "
-            for i in range(len(padded) - n + 1):
-                at, sign = place(padded[i : i + n])
-                row[at] += sign
-            size = np.sqrt((row * row).sum())
-            if size > 0:
-                row /= size
-            else:
-                row[0] = 1.0
+        padded = [f" {t} " for t in texts]
+        sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+        joined = "".join(padded)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(points) < n:
+            points = np.zeros(0, np.uint32)
+        # each n-gram becomes a number; every distinct one is hashed once for the whole batch
+        code = points[: len(points) - n + 1].astype(np.int64) if len(points) else np.zeros(0, np.int64)
+        for k in range(1, n):
+            code = np.unique(code * 0x110000 + points[k : len(points) - n + 1 + k], return_inverse=True)[1]
+        row = np.repeat(np.arange(len(texts)), sizes)[: len(code)]
+        inside = row == np.repeat(np.arange(len(texts)), sizes)[n - 1 : n - 1 + len(code)]
+        code, row, at = code[inside], row[inside], np.flatnonzero(inside)
+        kinds, first, which = np.unique(code, return_index=True, return_inverse=True)
+        places = [place(joined[i : i + n]) for i in at[first].tolist()]
+        spot = np.array([p for p, _ in places], np.int64)[which] if len(kinds) else which
+        sign = np.array([s for _, s in places])[which] if len(kinds) else np.zeros(0)
+        out = np.bincount(row * dim + spot, sign, len(texts) * dim).reshape(len(texts), dim).astype(float)
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        flat = length[:, 0] == 0
+        out /= np.where(length > 0, length, 1.0)
+        out[flat, 0] = 1.0
         return out
 
     return encode

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values of the 32-bit FNV-1a hash.
 FNV_OFFSET = 2166136261
 FNV_PRIME = 16777619
+#: White space of Unicode, the separators among the control characters included.
+WHITE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
 
 def md5_long(text: Column) -> Column:
@@ -52,5 +54,5 @@ def fnv_bucket(word: Column, n: int) -> Column:
 
 
 def text_key(word: Column) -> Column:
-    """Lower case without surrounding blanks: the form keyword maps are keyed by."""
-    return F.trim(F.lower(word))
+    """Lower case without surrounding white space of any kind: the form keyword maps are keyed by."""
+    return F.regexp_replace(F.lower(word), f"^{WHITE}+|{WHITE}+$", "")

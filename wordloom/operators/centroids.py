@@ -44,7 +44,8 @@ def closest_centroids(
 ) -> DataFrame:
     """Per word and space: similarity to its own centroid, best similarity, and the category of the best.
 
-    Ties go to the category that appears first in the pool.  ``scope`` (for example ``pool``) keeps
+    Ties go to the category that appears first in the pool.  A word whose category, or scope, has no
+    centroid keeps its row, with NULL where there is nothing to compare.  ``scope`` (for example ``pool``) keeps
     separate sets of centroids apart.  Centroids measured to be small are shipped to the tasks;
     otherwise words meet them tile by tile, and the partial bests are merged map-side.
     """
@@ -68,6 +69,7 @@ def closest_centroids(
             cs, has = A.matrix(sub.column("semantic"))
             packs[key] = (sub.column("category").combine_chunks(), cv, cs, has)
         held = words.sparkSession.sparkContext.broadcast(packs)
+        cat_type = table.schema.field("category").type
 
         def scan(batches):
             for b in batches:
@@ -76,18 +78,23 @@ def closest_centroids(
                 for key in dict.fromkeys(keys):
                     idx = pa.array([i for i, k in enumerate(keys) if k == key], pa.int64())
                     sub = b.take(idx) if scope else b
+                    if key not in held.value:  # a scope without centroids: nothing to compare with
+                        none = [pa.nulls(sub.num_rows, t) for _ in SPACES for t in (pa.float64(), pa.float64(), cat_type)]
+                        heads = [f"{p}_{x}" for x in SPACES for p in ("own", "best", "says")]
+                        yield pa.RecordBatch.from_arrays([*(sub.column(names.index(c)) for c in keep), *none], names=[*keep, *heads])
+                        continue
                     cats, cv, cs, has_c = held.value[key]
                     v, _ = A.matrix(sub.column(names.index("visual")))
                     s, has = A.matrix(sub.column(names.index("semantic")))
                     place = {c: i for i, c in enumerate(cats.to_pylist())}
-                    own_at = np.array([place[c] for c in sub.column(names.index("category")).to_pylist()])
+                    own_at = np.array([place.get(c, -1) for c in sub.column(names.index("category")).to_pylist()])
                     cols = [sub.column(names.index(c)) for c in keep]
                     for x in SPACES:
                         sim = _scores(v, s, has, cv, cs, has_c, alpha)[x]
                         gone = np.isnan(sim).all(axis=1)
                         at = np.where(np.isnan(sim), -np.inf, sim).argmax(axis=1)
                         r = np.arange(len(sim))
-                        own = sim[r, own_at]
+                        own = np.where(own_at >= 0, sim[r, own_at], np.nan)
                         cols += [
                             pa.array(own, mask=np.isnan(own)),
                             pa.array(sim[r, at], mask=gone),
@@ -99,11 +106,15 @@ def closest_centroids(
         need = words.select(*keep, "visual", "semantic")
         return need.mapInArrow(scan, f"{_ddl(need, keep)}, {body}")
 
-    need = words.select(*keep, "visual", "semantic", F.xxhash64(*keep).alias("_k"))
+    # Rows repeated in full share one result; rows that differ in their vectors only do not.
+    print_of = F.xxhash64("visual", "semantic")
+    all_rows = words.select(*keep, print_of.alias("_v"))
+    merge_by = [*keep, "_v"]
+    need = words.select(*keep, "visual", "semantic", print_of.alias("_v"), F.xxhash64(*keep).alias("_k"))
     other = cents.select(
         *scope, "category", F.col("first").alias("ordinal"),
         F.lit(None).cast(words.schema["word"].dataType).alias("word"),
-        "visual", "semantic", F.xxhash64(*scope, "category").alias("_k"),
+        "visual", "semantic", F.lit(0).cast("bigint").alias("_v"), F.xxhash64(*scope, "category").alias("_k"),
     )
     tiled = T.cross_tiles(need, other.select(*need.columns), "_k", rows)
     part = ", ".join(f"own_{x} double, best_{x} double, at_{x} bigint, says_{x} {cat_t}" for x in SPACES)
@@ -115,7 +126,7 @@ def closest_centroids(
             w = w.slice(0, 0)
         if not w.num_rows:
             c = c.slice(0, 0)
-        cols = [A.plain(w.column(k)) for k in keep]
+        cols = [A.plain(w.column(k)) for k in merge_by]
         if not w.num_rows:
             empty = [pa.array([], f) for _ in SPACES for f in (pa.float64(), pa.float64(), pa.int64())]
             cats = A.plain(c.column("category"))
@@ -123,7 +134,7 @@ def closest_centroids(
             for _ in SPACES:
                 out += [*empty[j : j + 3], cats]
                 j += 3
-            return pa.table(out, names=[*keep, *[f"{p}_{x}" for x in SPACES for p in ("own", "best", "at", "says")]])
+            return pa.table(out, names=[*merge_by, *[f"{p}_{x}" for x in SPACES for p in ("own", "best", "at", "says")]])
         cats, ords = A.plain(c.column("category")), A.column(c, "ordinal").astype(np.int64)
         wk = list(zip(*[w.column(k).to_pylist() for k in [*scope, "category"]]))
         ck = list(zip(*[c.column(k).to_pylist() for k in [*scope, "category"]]))
@@ -145,9 +156,9 @@ def closest_centroids(
                 pa.array(own, mask=np.isnan(own)), pa.array(sim[r, at], mask=gone),
                 pa.array(ords[at], mask=gone), cats.take(pa.array(at, pa.int64(), mask=gone)),
             ]
-        return pa.table(cols, names=[*keep, *[f"{p}_{x}" for x in SPACES for p in ("own", "best", "at", "says")]])
+        return pa.table(cols, names=[*merge_by, *[f"{p}_{x}" for x in SPACES for p in ("own", "best", "at", "says")]])
 
-    parts = T.per_tile(tiled, [], kernel, f"{_ddl(need, keep)}, {part}")
+    parts = T.per_tile(tiled, [], kernel, f"{_ddl(need, merge_by)}, {part}")
     aggs = []
     for x in SPACES:
         order = F.when(F.col(f"best_{x}").isNotNull(), F.struct((-F.col(f"best_{x}")).alias("s"), F.col(f"at_{x}").alias("o")))
@@ -155,7 +166,10 @@ def closest_centroids(
             F.max(f"own_{x}").alias(f"own_{x}"), F.max(f"best_{x}").alias(f"best_{x}"),
             F.min_by(f"says_{x}", order).alias(f"says_{x}"),
         ]
-    return parts.groupBy(*keep).agg(*aggs)
+    merged = parts.groupBy(*merge_by).agg(*aggs)
+    renamed = merged.select(*[F.col(c).alias(f"_m_{c}") for c in merge_by], *[f"{p}_{x}" for x in SPACES for p in ("own", "best", "says")])
+    same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in merge_by]
+    return all_rows.join(renamed, same, "left").drop("_v", *[f"_m_{c}" for c in merge_by])
 
 
 def contamination(words: DataFrame, alpha: float = 0.5, **kw) -> DataFrame:

@@ -40,6 +40,7 @@ def _steps(pool: DataFrame, rules: Rules, original: DataFrame | None, require_ke
         log.append(rows.select(F.lit(step).alias("step"), "word", F.col("category").alias("from_category"),
                                (F.lit(None).cast("string") if target is None else target).alias("to_category")))
 
+    after = int(start.agg(F.max("ordinal")).first()[0] or 0) + 1  # moved words come after all that stay
     now = start
     for step, listed in (("garbage", rules.garbage), ("remove", rules.removed)):
         names = listed.select("word").distinct()
@@ -52,7 +53,7 @@ def _steps(pool: DataFrame, rules: Rules, original: DataFrame | None, require_ke
     note("move", seen.join(moves, ["word", "category"]), F.col("to_category"))
     moved = now.join(moves, ["word", "category"])
     stay = now.join(moves, ["word", "category"], "left_anti")
-    arrive = moved.select("word", F.col("to_category").alias("category"), (F.col("ordinal") + F.lit(1 << 40)).alias("ordinal"))
+    arrive = moved.select("word", F.col("to_category").alias("category"), (F.col("ordinal") + F.lit(after)).alias("ordinal"))
     now = stay.select("category", "ordinal", "word").unionByName(
         arrive.join(stay.select("word", "category"), ["word", "category"], "left_anti")
     )
@@ -78,7 +79,7 @@ def _steps(pool: DataFrame, rules: Rules, original: DataFrame | None, require_ke
                 "word", "r.category", "r.place"
             )
         note("restore", back)
-        now = now.unionByName(back.select("category", (F.col("place") + F.lit(1 << 41)).alias("ordinal"), "word"))
+        now = now.unionByName(back.select("category", (F.col("place") + F.lit(2 * after)).alias("ordinal"), "word"))
     return now, log
 
 

@@ -162,13 +162,25 @@ def pair_disagreement(df: DataFrame, k: int, visual_closer: bool, rows: int = TI
     return top.select("word_a", "word_b", "sim_visual", "sim_semantic", F.col("score").alias("gap"))
 
 
-def by_model(df: DataFrame, spaces: dict[str, str], threshold: float = 0.85, rows: int = TILE_ROWS) -> DataFrame:
-    """Per (model, category) spread; ``spaces`` maps a model name to ``visual`` or ``semantic``."""
-    s = pair_stats(df, ["category"], list(spaces.values()), threshold=threshold, rows=rows)
-    name = F.create_map(*[F.lit(x) for m, g in spaces.items() for x in (g, m)])
+def models_as_rows(df: DataFrame, spaces: dict[str, str]) -> DataFrame:
+    """Rows with a vector column per model as rows (model, category, ordinal, word, vector); ``spaces`` maps a model
+    to its column, and any number of models may share one."""
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("vector")) for m, c in spaces.items()])
+    return df.select("category", "ordinal", "word", F.explode(each).alias("m")).select("m.model", "category", "ordinal", "word", "m.vector")
+
+
+def by_model(df: DataFrame, threshold: float = 0.85, rows: int = TILE_ROWS) -> DataFrame:
+    """Per (model, category) spread of rows (model, category, ordinal, word, vector): any number of models.
+
+    Words without a vector of a model do not count for it.
+    """
+    one = df.filter("vector is not null").select(
+        "model", "category", "ordinal", "word", F.col("vector").alias("visual"), F.lit(None).cast("array<double>").alias("semantic")
+    )
+    s = pair_stats(one, ["model", "category"], ["visual"], threshold=threshold, rows=rows)
     z = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), 4)
     return s.select(
-        F.element_at(name, F.col("gate")).alias("model"),
+        "model",
         "category",
         z("mean_similarity").alias("mean"),
         z("min_similarity").alias("min"),

@@ -9,6 +9,7 @@ are measured to be small the words are literals of the plan and nothing is shuff
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import md5_uniform
 from ..functions.text import cut_text, json_text
 from ..session import cut
-from ..sources.history import unseen
+from ..sources.history import SMALL_BATCH, unseen
 from ..sources.pools import BASE_NEGATIVES, NEGATABLE
 from .ordered import dense_index
 from .templates import template_parts
@@ -248,13 +249,14 @@ def generate_unique(
     history: DataFrame | None = None,
     template_id: str | None = None,
     seed: int = 42,
-    max_attempts: int = 100,
     literal_words: int = LITERAL_WORDS,
+    strict: bool = False,
 ) -> DataFrame:
     """``n`` prompts whose hashes are new to each other and to ``history``.
 
-    Each round draws the next ranks, keeps the first prompt of each hash and drops known hashes by left
-    anti joins; the shortfall goes to the next round.  Returns fewer when the space is exhausted.
+    Each round draws the next ranks, keeps the first prompt of each hash and drops known ones; the next round
+    draws as many as the yield so far says the shortfall takes.  Only when the whole space is used up are there
+    fewer than ``n``; ``strict`` raises ValueError then.
     """
     if template_id is not None:
         templates = templates.filter(F.col("id") == template_id)
@@ -264,21 +266,21 @@ def generate_unique(
     parts: list[DataFrame] = []
     have, start = 0, 0
     step = -(-n // max(len(plan), 1))
-    for _ in range(max_attempts):
-        if have >= n or start >= cap:
-            break
+    while have < n and start < cap:
         fresh = generate(templates, components, step, seed, start, literal_words=literal_words, plan=plan)
-        fresh = fresh.groupBy("hash").agg(F.min_by(F.struct(*rows), "prompt_no").alias("r")).select("hash", "r.*")
-        if history is not None:
-            fresh = unseen(fresh, history)
-        for p in parts:
-            fresh = unseen(fresh, p)
+        fresh = cut(fresh.groupBy("hash").agg(F.min_by(F.struct(*rows), "prompt_no").alias("r")).select("hash", "r.*"))
+        # The round's hashes, when they are counted to be few, go to the history, which is then only scanned.
+        few = history is not None and fresh.count() <= SMALL_BATCH
+        known = history.select("hash").join(F.broadcast(fresh.select("hash")), "hash", "left_semi") if few else history
+        for old in [*([] if known is None else [known]), *parts]:
+            fresh = unseen(fresh, old)
         parts.append(cut(fresh))
-        got = parts[-1].count()
-        have += got
+        have += parts[-1].count()
         start += step
-        # ranks the history has used up give nothing: take longer steps until new ones come
-        step = 2 * step if not got else max(-(-(n - have) // len(plan)), 1)
+        share = max(have / (start * len(plan)), 1 / (2 * start * len(plan)))
+        step = min(max(math.ceil((n - have) / share / len(plan) * 1.1), 1), 8 * start, max(cap - start, 1))
+    if strict and have < n:
+        raise ValueError(f"{have} of {n} prompts: the space of these templates holds no more new ones")
     if not parts:
         return generate(templates, components, 0, seed, plan=plan, literal_words=literal_words)
     taken = parts[0]

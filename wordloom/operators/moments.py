@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 
+MERGE_AT_ONCE = 256  # partial sums of one group that a task merges, by partitions that made them
 HELD_DOUBLES = 16 << 20  # partial sums a Python worker holds before it flushes them (128 MB)
 
 
@@ -92,13 +93,13 @@ def vector_sums(df: DataFrame, by: list[str], to_unit: bool = False) -> DataFram
         if held:
             yield flush()
 
-    def merge(table: pa.Table) -> pa.Table:
+    def merge(table: pa.Table, last: bool = True) -> pa.Table:
         def unit(name):
             m, ok = A.matrix(table.column(name))
             if m is None:
                 return None
             total = m.sum(axis=0)
-            n = np.linalg.norm(total) if to_unit else 0.0
+            n = np.linalg.norm(total) if to_unit and last else 0.0
             return (total / n if n > 0 else total).tolist()
 
         cols = [table.column(c).combine_chunks().slice(0, 1) for c in by]
@@ -107,9 +108,20 @@ def vector_sums(df: DataFrame, by: list[str], to_unit: bool = False) -> DataFram
         cols += [pa.array([unit(c)], pa.list_(pa.float64())) for c in ("visual", "semantic")]
         return pa.table(cols, names=[*by, "n", "first", "visual", "semantic"])
 
-    parts = df.mapInArrow(partial, part_schema)
+    parts = df.mapInArrow(partial, part_schema).drop("ns")
+    sums = head + "n bigint, first bigint, visual array<double>, semantic array<double>"
+    parts = _in_steps(df, parts, by, lambda t: merge(t, False), sums)
     grouped = parts.groupBy(*by) if by else parts.withColumn("_all", F.lit(0)).groupBy("_all")
-    return grouped.applyInArrow(merge, head + "n bigint, first bigint, visual array<double>, semantic array<double>")
+    return grouped.applyInArrow(lambda t: merge(t), sums)
+
+
+def _in_steps(df: DataFrame, parts: DataFrame, by: list[str], merge, schema: str) -> DataFrame:
+    """Partial sums, merged ``MERGE_AT_ONCE`` partitions at a time where ``df`` has more: no task then gets the
+    partials of all partitions of a group."""
+    if df.rdd.getNumPartitions() <= MERGE_AT_ONCE:
+        return parts
+    dealt = parts.withColumn("_step", F.expr(f"spark_partition_id() div {MERGE_AT_ONCE}"))
+    return dealt.groupBy(*by, "_step").applyInArrow(lambda t: merge(t.drop_columns(["_step"])), schema)
 
 
 def pair_sums(df: DataFrame, by: list[str]) -> DataFrame:
@@ -158,6 +170,11 @@ def pair_sums(df: DataFrame, by: list[str]) -> DataFrame:
                 size = 0
         yield from flush()
 
+    def add(table: pa.Table) -> pa.Table:
+        m, _ = A.matrix(table.column("row"))
+        cols = [table.column(c).combine_chunks().slice(0, 1) for c in [*by, "kind", "i"]]
+        return pa.table([*cols, A.lists(m.sum(axis=0)[None])], names=[*by, "kind", "i", "row"])
+
     def merge(table: pa.Table) -> pa.Table:
         m, _ = A.matrix(table.column("row"))
         total = m.sum(axis=0)
@@ -167,7 +184,8 @@ def pair_sums(df: DataFrame, by: list[str]) -> DataFrame:
         cols.append(pa.array([total.tolist() if is_n else None], pa.list_(pa.float64())))
         return pa.table(cols, names=[*by, "kind", "sq", "scalars"])
 
-    parts = df.mapInArrow(partial, head + "kind string, i int, row array<double>")
+    kinds = head + "kind string, i int, row array<double>"
+    parts = _in_steps(df, df.mapInArrow(partial, kinds), [*by, "kind", "i"], add, kinds)
     rows = parts.groupBy(*by, "kind", "i").applyInArrow(merge, head + "kind string, sq double, scalars array<double>")
     g = rows.groupBy(*by).agg(
         F.max("scalars").alias("c"),
@@ -177,7 +195,7 @@ def pair_sums(df: DataFrame, by: list[str]) -> DataFrame:
     return g.select(
         *by,
         c(0).cast("bigint").alias("n"),
-        (c(0) * (c(0) - 1) / 2).cast("bigint").alias("pairs"),
+        F.expr("cast(cast(element_at(c, 1) AS decimal(38, 0)) * (cast(element_at(c, 1) AS decimal(38, 0)) - 1) / 2 AS bigint)").alias("pairs"),
         ((F.col("v") - c(1)) / 2).alias("x"),
         ((F.col("s") - c(2)) / 2).alias("y"),
         ((F.col("vv") - c(3)) / 2).alias("xx"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +31,13 @@ def nearest(
     """The most similar ``base`` row of every query: adds ``sim``, ``near`` (ordinal) and ``near_word``.
 
     ``queries`` has ``id`` (unique, any type) and ``vector``; ``base`` has ``ordinal``, ``word``, ``vector``.
-    With ``exclude_self`` the query id is an ordinal of ``base`` and is not its own neighbour.  A base that
+    A query without a vector, or without another base row, has no neighbour: NULLs.  Base rows without a
+    vector are no one's neighbour.  With ``exclude_self`` the query id is an ordinal of ``base`` and is not its own neighbour.  A base that
     is measured to be small is shipped to the tasks; otherwise both sides meet tile by tile, and the
     best of each tile is merged with a map-side minimum.
     """
     queries = queries.select("id", "vector")
-    base = base.select("ordinal", "word", "vector")
+    base = base.select("ordinal", "word", "vector").filter("vector is not null")
     word_t = base.schema["word"].dataType.simpleString()
     id_t = queries.schema["id"].dataType.simpleString()
     measured = base.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
@@ -55,6 +57,13 @@ def nearest(
         def scan(batches):
             mat, ords, words = held.value
             for b in batches:
+                empty = b.filter(pc.is_null(b.column(1)))
+                if empty.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [empty.column(0), pa.nulls(empty.num_rows, pa.float64()), pa.nulls(empty.num_rows, pa.int64()), pa.nulls(empty.num_rows, words.type)],
+                        names=["id", "sim", "near", "near_word"],
+                    )
+                b = b.filter(pc.is_valid(b.column(1)))
                 if not b.num_rows:
                     continue
                 q, _ = A.matrix(b.column(1))
@@ -70,7 +79,7 @@ def nearest(
         return queries.mapInArrow(scan, schema)
 
     null = lambda t: F.lit(None).cast(t)
-    left = queries.select("id", null("bigint").alias("ordinal"), null(word_t).alias("word"), "vector", F.xxhash64("id").alias("_k"))
+    left = queries.filter("vector is not null").select("id", null("bigint").alias("ordinal"), null(word_t).alias("word"), "vector", F.xxhash64("id").alias("_k"))
     right = base.select(null(id_t).alias("id"), "ordinal", "word", "vector", F.xxhash64("ordinal").alias("_k"))
     tiled = T.cross_tiles(left, right, "_k", rows)
 
@@ -102,4 +111,5 @@ def nearest(
     parts = T.per_tile(tiled, [], kernel, schema)
     order = F.struct((-F.col("sim")).alias("s"), F.col("near").alias("o"))
     best = parts.groupBy("id").agg(F.min_by(F.struct("sim", "near", "near_word"), order).alias("b"))
-    return best.select("id", "b.sim", "b.near", "b.near_word")
+    found = best.select(F.col("id").alias("_of"), "b.sim", "b.near", "b.near_word")
+    return queries.select("id").join(found, F.col("id").eqNullSafe(F.col("_of")), "left").drop("_of")

@@ -1,10 +1,10 @@
 """Ordered scans that hold for hot keys: running totals, carried values, dense numbering.
 
-A plain window would put all rows of a key into one task.  Here the order column is cut into chunks at
-approximate quantiles; windows run per (key, chunk), and one row per (key, chunk) carries the state
-across chunks.  Below ``CHUNK_ROWS`` rows there is one chunk, and the plan is the plain window.
+A plain window would put all rows of a key into one task.  Here the rows are dealt into ranges of the order
+column, of any type that sorts; windows run per (key, range), and one row per (key, range) carries the state
+across ranges.  Below ``CHUNK_ROWS`` rows there is one range, and the plan is the plain window.
 
-The order column must be unique within a key (an id): rows with equal values share a chunk.
+The order column must be unique within a key (an id): rows with equal values share a range.
 """
 
 from __future__ import annotations
@@ -14,24 +14,20 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 CHUNK_ROWS = 1_000_000
-MAX_CHUNKS = 4096
 
 
 def with_chunks(df: DataFrame, order: str, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
-    """Add ``_chunk``, non-decreasing in ``order``; the number of chunks comes from a row count."""
-    n = min(MAX_CHUNKS, max(1, math.ceil(df.count() / chunk_rows)))
+    """Add ``_chunk``, non-decreasing in ``order``: ranges of about ``chunk_rows`` rows, as many as that takes.
+
+    The dealt rows are cut, so that all that follows sees the same ranges and the input is not computed again.
+    """
+    n = max(1, math.ceil(df.count() / chunk_rows))
     if n == 1:
         return df.withColumn("_chunk", F.lit(0)), 1
-    from pyspark.ml.feature import Bucketizer
-
-    as_double = df.withColumn("_o", F.col(order).cast("double"))
-    at = [i / n for i in range(1, n)]
-    cuts = as_double.agg(F.percentile_approx("_o", at, 20 * n)).first()[0]
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    b = Bucketizer(splits=splits, inputCol="_o", outputCol="_b", handleInvalid="keep")
-    out = b.transform(as_double).withColumn("_chunk", F.col("_b").cast("int")).drop("_o", "_b")
-    return out, len(splits) - 1
+    return cut(df.repartitionByRange(n, F.col(order)).withColumn("_chunk", F.spark_partition_id())), n
 
 
 def _across(by: list[str]):

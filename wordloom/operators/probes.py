@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoders import embed_text
@@ -75,9 +75,11 @@ def find_voids_iterative(base: DataFrame, dim: int, n_voids: int = 20, n_probes:
             probes = random_probes(base.sparkSession, n_probes, dim, seed, "round0")
         else:
             held = best.count()
-            around = jitter(best.select("id", "vector"), (0.3 / (r + 1),), max(1, n_probes // held), seed, f"round{r}")
-            # copies of a void get ids of their own, larger than those of all earlier rounds
-            probes = around.select(((F.col("id") * n_probes + F.col("copy")) * (rounds + 1) + r + (1 << 40) * r).alias("id"), "vector")
+            each = max(1, n_probes // held)
+            # the voids held are n_voids rows at most; a round's ids follow those of the rounds before
+            placed = best.select(F.row_number().over(Window.orderBy(F.desc("distance"), "id")).alias("id"), "vector")
+            around = jitter(placed, (0.3 / (r + 1),), each, seed, f"round{r}")
+            probes = around.select(((F.col("id") - 1) * each + F.col("copy") + r * max(n_probes, n_voids)).cast("bigint").alias("id"), "vector")
         found = _deepest(probes, base, n_voids, **kw).select(*cols)
         merged = found if best is None else best.select(*cols).unionByName(found)
         best = cut(merged.orderBy(F.desc("distance"), "id").limit(n_voids))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
+from ..functions.vectors import dot, either_distinct, either_similar, joint
 from ..session import cut, grouped, width
 from . import tiles as T
 from .ordered import dense_index
@@ -94,17 +95,30 @@ def _redundancy(df, threshold, gate, by, small, rows) -> DataFrame:
     return out.unionByName(big.join(state, [*by, "ordinal"]))
 
 
+def _own_similarity(gate: str):
+    """A row's similarity to its own copy under a gate, with the visual space for a missing semantic one."""
+    v = dot(F.col("visual"), F.col("visual"))
+    t = F.coalesce(dot(F.col("semantic"), F.col("semantic")), v)
+    return {
+        "visual": v, "semantic": t, "joint": joint(v, t), "either_similar": either_similar(v, t), "either_distinct": either_distinct(v, t),
+        "gap": v - t,
+    }[gate]
+
+
 def _redundancy_rounds(df: DataFrame, threshold: float, gate: str, by: list[str], rows: int) -> DataFrame:
     """(by, ordinal, kept).  A word is kept once all earlier neighbours are dropped, dropped once one is kept.
 
     Tile pairs return two flags per undecided word, never neighbours, so a dense cluster stays linear.
-    Exact copies of a vector are settled first: a copy always shares the fate "dropped".
+    Exact copies of a vector are settled first where the vector is above the threshold to itself: the first
+    copy, kept or not, then leaves no later one.  Copies of short vectors, or of none, stay rows of their own.
     """
     keys = [*by, "ordinal"]
     work = df.select(*keys, "visual", "semantic")
     copies = None
     if threshold < 1:
-        first = work.groupBy(*by, "visual", "semantic").agg(F.min("ordinal").alias("ordinal"))
+        alike = work.withColumn("_alike", F.coalesce(_own_similarity(gate) > threshold, F.lit(False)))
+        single = F.when(F.col("_alike"), F.lit(None)).otherwise(F.col("ordinal"))  # unlike itself: a class of its own
+        first = alike.groupBy(*by, "visual", "semantic", single.alias("_single")).agg(F.min("ordinal").alias("ordinal"))
         first = cut(first.select(*keys, "visual", "semantic"))
         copies = work.select(*keys).join(first.select(*keys), keys, "left_anti").withColumn("kept", F.lit(False))
         work = first
@@ -186,7 +200,8 @@ def diverse_words(
     """Farthest-point selection: start at the first word, then add the word least similar to the chosen set.
 
     ``linkage='min'`` scores a word by its least similarity to the set (the default), ``'max'`` by its
-    greatest.  Seeds may be given as rows (``by``, ``ordinal``), or be the least similar pair.  A group of
+    greatest.  Seeds may be given as rows (``by``, ``ordinal``), all of which stay, more than k too, or be the
+    least similar pair.  A group of
     at most k words comes back whole, in order.  Adds ``rank`` (from 1) and ``similarity`` (the value at
     which the word was picked, NULL for seeds and whole groups).
     """
@@ -275,21 +290,20 @@ def _diverse_rounds(df, k, gate, linkage, by, alpha, farthest, rows) -> DataFram
 
     schema = f"{_ddl(df, [*keys, 'visual', 'semantic'])}, similarity double"
     spread = cut(sizes.select(*by, F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_tile")))
-    step = int(chosen.agg(F.max("rank")).first()[0] or 0)
-    while step < k:
-        to_tiles = _renewed(chosen.join(spread, by).select(*by, "_tile", "ordinal", "visual", "semantic"))
+    while True:  # at most k rounds: each gives every group that is still short of k its next word
+        had = chosen.groupBy(*by).agg(F.max("rank").alias("r")).filter(F.col("r") < k)
+        short = chosen.join(had.drop("r"), by, "left_semi")
+        to_tiles = _renewed(short.join(spread, by).select(*by, "_tile", "ordinal", "visual", "semantic"))
         best = base.drop("_seed", "_first", "_tiles").groupBy(*by, "_tile").cogroup(to_tiles.groupBy(*by, "_tile")).applyInArrow(propose, schema)
         won = best.groupBy(*by).agg(
             F.min_by(F.struct("ordinal", "visual", "semantic", "similarity"), F.struct("similarity", "ordinal")).alias("w")
         )
-        had = chosen.groupBy(*by).agg(F.max("rank").alias("r"))
         new = cut(won.join(had, by).select(*by, "w.ordinal", "w.visual", "w.semantic", (F.col("r") + 1).alias("rank"), "w.similarity"))
         if new.isEmpty():
             break
         chosen = cut(chosen.unionByName(new.select(*pick_cols)))
-        step += 1
     base.unpersist()
-    return chosen.filter(F.col("rank") <= k).select(*keys, "rank", "similarity")
+    return chosen.select(*keys, "rank", "similarity")
 
 
 def elbow(

@@ -82,6 +82,9 @@ def centroid_total(members: DataFrame) -> tuple[list[float] | None, int]:
     return (row.s["sum"].toArray().tolist() if n else None), n
 
 
+STACK_DOUBLES = 4 << 20  # vectors and similarities that are worked on at once (32 MB)
+
+
 def dynamics(states: DataFrame, vectors: DataFrame, total: list[float] | None, n_centroids: int, id: str = "id") -> DataFrame:
     """Energy, tension, distance from the centroids and poles of each state.
 
@@ -107,21 +110,26 @@ def dynamics(states: DataFrame, vectors: DataFrame, total: list[float] | None, n
             inner = lists.values
             cats = inner.field("category").to_numpy(zero_copy_only=False)
             vecs, _ = A.matrix(inner.field("visual"))
-            for r in range(b.num_rows):
-                lo, hi = offs[r], offs[r + 1]
-                n = counts[r] = hi - lo if lists.is_valid()[r].as_py() else 0
-                if not n:
-                    continue
-                v, c = vecs[lo:hi], cats[lo:hi]
-                if n >= 2:
-                    sim = v @ v.T
-                    out[r, 0] = min(1.0, max(0.0, 1.0 - (sim.sum() - np.trace(sim)) / (n * (n - 1))))
-                    cross = sim[c[:, None] != c[None, :]]
-                    out[r, 1] = min(1.0, max(0.0, cross.max())) if len(cross) else DEFAULT_TENSION
-                mean = v.mean(axis=0)
-                size = np.linalg.norm(mean)
-                if size > 0 and total_v is not None and n_centroids:
-                    out[r, 2] = min(1.0, max(0.0, 1.0 - float(mean @ total_v) / size / n_centroids))
+            counts[:] = np.where(np.asarray(lists.is_valid()), np.diff(offs), 0)
+            codes = np.unique(cats, return_inverse=True)[1] if len(cats) else np.zeros(0, np.int64)
+            for n in np.unique(counts[counts > 0]):  # states of equal size are one stack of matrices
+                rows_n = np.flatnonzero(counts == n)
+                step = max(1, STACK_DOUBLES // int(n * (vecs.shape[1] + n)))
+                for s in range(0, len(rows_n), step):
+                    r = rows_n[s : s + step]
+                    at = offs[r][:, None] + np.arange(n)
+                    v, c = vecs[at], codes[at]
+                    if n >= 2:
+                        sim = v @ v.transpose(0, 2, 1)
+                        own = np.trace(sim, axis1=1, axis2=2)
+                        out[r, 0] = np.clip(1.0 - (sim.sum(axis=(1, 2)) - own) / (n * (n - 1)), 0.0, 1.0)
+                        most = np.where(c[:, :, None] != c[:, None, :], sim, -np.inf).max(axis=(1, 2))
+                        out[r, 1] = np.where(np.isfinite(most), np.clip(most, 0.0, 1.0), DEFAULT_TENSION)
+                    mean = v.mean(axis=1)
+                    size = np.linalg.norm(mean, axis=1)
+                    if total_v is not None and n_centroids:
+                        away = 1.0 - (mean @ total_v) / np.where(size > 0, size, 1.0) / n_centroids
+                        out[r, 2] = np.where(size > 0, np.clip(away, 0.0, 1.0), out[r, 2])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(counts), *[pa.array(out[:, i]) for i in range(3)]],
                 names=[id, "n_words", "energy", "tension", "void_proximity"],

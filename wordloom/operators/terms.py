@@ -76,13 +76,16 @@ def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
 def usage_totals(costed: DataFrame) -> DataFrame:
     """Requests, tokens and cost per model with the cache-hit percentage, and a totals row (model NULL)."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    sums = costed.rollup("model").agg(
+    # per model first: the rollup then doubles a row per model, not every request
+    per = costed.groupBy("model").agg(
         F.count(F.lit(1)).alias("requests"),
         F.sum(z("input") + z("cache_read") + z("cache_write")).alias("input_tokens"),
         F.sum(z("output")).alias("output_tokens"),
         F.sum(z("cache_read") + z("cached")).alias("cached_tokens"),
         F.sum("cost").alias("cost"),
     )
+    kinds = ("requests", "input_tokens", "output_tokens", "cached_tokens", "cost")
+    sums = per.rollup("model").agg(*[F.sum(c).alias(c) for c in kinds])
     return sums.withColumn("cache_hit_pct", F.col("cached_tokens") / F.greatest(F.col("input_tokens"), F.lit(1)) * 100)
 
 

@@ -48,7 +48,7 @@ def gap_report(words: DataFrame, k: int = 10) -> dict[str, DataFrame]:
 
 
 def model_report(words: DataFrame, spaces: dict[str, str]) -> dict[str, DataFrame]:
-    stats = D.by_model(words, spaces)
+    stats = D.by_model(D.models_as_rows(words, spaces))
     return {
         "stats": stats,
         "pivot": D.model_pivot(stats, list(spaces)),

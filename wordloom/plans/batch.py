@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..operators.generation import generate_unique
 from ..operators.templates import parse_slots, total_combinations
-from ..sources.history import append_new, export_text, read_history
+from ..operators.ordered import dense_index
+from ..session import cut
+from ..sources.history import append_new, existing, export_text, read_history
 
 
 def run_batch(templates: DataFrame, components: DataFrame, n: int, path: str, history: DataFrame | None = None,
               template_id: str | None = None, seed: int = 42) -> DataFrame:
-    """Generate n new prompts, append them to the history table and return them.
+    """Generate n new prompts, append them to the table at ``path`` and return the rows as they are stored there.
 
-    Ids continue after the greatest id of the history.
+    What the table holds already counts as history, with ``history`` or without; ids continue after the
+    greatest id of both.
     """
-    new = generate_unique(templates, components, n, history, template_id, seed)
-    last = 0 if history is None else int(history.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
-    rows = new.select(
-        (F.col("prompt_no") + last + 1).alias("id"), "hash", "template_id", "positive", "negative", "components",
+    stored = existing(components.sparkSession, path)
+    known = [h.select("hash", "id") for h in (history, stored) if h is not None]
+    seen = None if not known else known[0] if len(known) == 1 else known[0].unionByName(known[1])
+    new = generate_unique(templates, components, n, seen, template_id, seed)
+    last = 0 if seen is None else int(seen.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+    numbered = dense_index(new, [], "prompt_no", "_place")
+    rows = cut(numbered.select(
+        (F.col("_place") + last).alias("id"), "hash", "template_id", "positive", "negative", "components",
         F.current_timestamp().cast("timestamp_ntz").alias("created_at"), F.lit(False).alias("favorited"),
-    )
-    append_new(rows, path)
-    return rows
+    ))
+    return append_new(rows, path)
 
 
 def statistics(path: str, templates: DataFrame, components: DataFrame) -> dict[str, DataFrame]:

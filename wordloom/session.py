@@ -19,6 +19,8 @@ def build_session(app: str = "wordloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Stream state beyond an executor's memory goes to its disk and, by checkpoint, to the shared folder.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # A batch of 2k rows x 1k doubles is 16 MB, which a Python worker holds with ease.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     }
@@ -57,10 +59,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def width(spark: SparkSession) -> int:
-    """Tasks to use for work that is heavy for its bytes: all cores, up to four rounds of them if the
-    session asks for that many shuffle partitions."""
-    cores = spark.sparkContext.defaultParallelism
-    return max(cores, min(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Tasks to use for work that is heavy for its bytes: what the session asks for, and all cores at least."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -53,26 +53,33 @@ def unseen(prompts: DataFrame, history: DataFrame) -> DataFrame:
 SMALL_BATCH = 1_000_000  # hashes of a batch that is counted to be this small are shipped to the history's tasks
 
 
-def append_new(prompts: DataFrame, path: str, order: str = "id", small_batch: int = SMALL_BATCH) -> None:
-    """Insert-or-ignore on the hash: the first write of a batch, unless history has the hash.
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def append_new(prompts: DataFrame, path: str, order: str = "id", small_batch: int = SMALL_BATCH) -> DataFrame:
+    """Insert-or-ignore on the hash: the first write of a batch, unless history has the hash.  Returns what was stored.
 
     An anti join would shuffle the whole history for every batch.  So the hashes of a small batch go to the
     history first, which is then only scanned; what they hit there is as small as the batch.
     """
     spark = prompts.sparkSession
     new = cut(first_writes(prompts, order))
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
+    old = existing(spark, path)
     if old is not None:
         hashes = new.select("hash")
         if new.count() <= small_batch:
             old = old.select("hash").join(F.broadcast(hashes), "hash", "left_semi")
-        new = unseen(new, old)
-    new.select(*prompts.columns).write.mode("append").parquet(path)
+        new = cut(unseen(new, old))
+    new = new.select(*prompts.columns)
+    new.write.mode("append").parquet(path)
+    return new
 
 
 def export_order(favorites_only: bool) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def split_keys(entries: DataFrame) -> DataFrame:
     """(key ``category/word/space``, vector) -> (category, word, space, vector, load order).
@@ -67,6 +69,41 @@ def extend(cache: DataFrame, new: DataFrame) -> DataFrame:
     return cache.unionByName(new.join(cache.select("word"), "word", "left_anti"))
 
 
+def embed_once(words: DataFrame, path: str, encoders: dict) -> DataFrame:
+    """``words`` with vectors from the cache at ``path``; only distinct words that it lacks are encoded and appended.
+
+    ``encoders`` maps a vector column to an encoder, as for ``embed_text``.  A null word has no vectors.
+    """
+    from ..functions.encoders import embed_text
+    from .history import existing
+
+    spark = words.sparkSession
+    cache = existing(spark, path)
+    asked = words.select("word").filter("word is not null").distinct()
+    new = asked if cache is None else missing(asked, cache)
+    write_vectors(embed_text(cut(new), "word", encoders), path, append=True)
+    stored = spark.read.parquet(path).select(F.col("word").alias("_word"), *encoders)
+    return words.join(stored, F.col("word") == F.col("_word"), "left").drop("_word")
+
+
+def write_archive(vectors: DataFrame, path: str, models: dict[str, str]) -> DataFrame:
+    """Vectors under ``path/vectors`` and, beside them, their metadata, which is returned: a row per space with its
+    model, its dimension, how many words have it, and when it was written."""
+    spark = vectors.sparkSession
+    write_vectors(vectors, f"{path}/vectors")
+    stored = read_vectors(spark, f"{path}/vectors")
+    counted = stored.agg(
+        F.count(F.lit(1)).alias("total"), *[F.count(s).alias(f"n_{s}") for s in models], *[F.max(F.size(s)).alias(f"d_{s}") for s in models]
+    )
+    each = F.array(*[
+        F.struct(F.lit(s).alias("space"), F.lit(m).alias("model"), F.col(f"d_{s}").alias("dimension"), F.col(f"n_{s}").alias("words"))
+        for s, m in models.items()
+    ])
+    meta = cut(counted.select("total", F.inline(each)).withColumn("written_at", F.current_timestamp()))
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+    return spark.read.parquet(f"{path}/metadata")
+
+
 def archive_summary(vectors: DataFrame) -> DataFrame:
     """Metadata of an archive: words per category and the dimensions of both spaces."""
     return vectors.groupBy("category").agg(
