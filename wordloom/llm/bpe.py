@@ -25,8 +25,8 @@ from .tokens import TOKEN_BATCH, Words
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Pairs of tokens, and pieces, whose answers a worker keeps.
-KEEP_PAIRS, KEEP_PIECES = 400_000, 50_000
+#: Pairs of tokens, pieces and words whose answers a worker keeps.
+KEEP_PAIRS, KEEP_PIECES, KEEP_WORDS = 300_000, 50_000, 400_000
 
 
 class Vocabulary:
@@ -234,8 +234,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.load(vocabulary)
-        words = _WORDS.setdefault(vocabulary, Words(v.encode_many))
-        for b in bounded(batches, "text", TOKEN_BATCH):
+        words = _WORDS.setdefault(vocabulary, Words(v.encode_many, KEEP_WORDS))
+        for b in bounded(batches, "text", TOKEN_BATCH // 2):
             ids, counts = words.encode_texts(b.column(1))
             if arrays:
                 coded = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids.astype(np.int32)))
