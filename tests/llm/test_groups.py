@@ -139,3 +139,41 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
         assert stage(spark, none.select("doc_id", "text", "id", "kept", "score"), DATA).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "encoding"]
     assert collections.Counter(corpus_pipeline.run(spark, DATA).dtypes) == collections.Counter([("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids", "array<int>")])
+
+
+def test_links_among_many_texts_of_one_template(spark):
+    """Thousands of texts under the threshold to one another, some with a partner just above it."""
+    rng, k, rows, at = np.random.default_rng(4), 5, [], 0
+    template = [f"t{i}" for i in range(300)]
+
+    def filled(words, places, tag):
+        out = list(words)
+        for p in places:
+            out[p] = f"{tag}v{p}"
+        return out
+
+    for m in range(3000):
+        text = filled(template, range(100, 100 + int(rng.integers(31, 37))), f"m{m}")
+        rows.append((at, " ".join(text)))
+        at += 1
+        if m % 60 == 0:
+            place = int(rng.integers(160, 260))
+            rows.append((at, " ".join(filled(text, range(place, place + int(rng.integers(20, 28))), f"p{m}"))))
+            at += 1
+    ids = [i for i, _ in rows]
+    found = [set(s.tolist()) for s in forest.shingles(pa.array([t for _, t in rows]), k)]
+    several = sorted(h for h, n in collections.Counter(h for s in found for h in s).items() if n > 1)
+    codes = {h: n for n, h in enumerate(several)}
+    dense = np.zeros((len(rows), len(codes)), np.float32)
+    for r, s in enumerate(found):
+        dense[r, [codes[h] for h in s if h in codes]] = 1
+    common, size = dense @ dense.T, np.array([len(s) for s in found])
+    linked = 100 * common >= 80 * (size[:, None] + size[None, :] - common)
+    parent = {i: i for i in ids}
+    for a, b in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        x, y = sorted((parent[ids[a]], parent[ids[b]]))
+        parent = {i: x if r == y else r for i, r in parent.items()}
+    pairs = [common[a, b] / (size[a] + size[b] - common[a, b]) for a, b in zip(*np.nonzero(np.triu(linked, 1)), strict=True)]
+    assert len(pairs) == 50 and 0.8 <= min(pairs) and max(pairs) < 0.86
+    got = forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=k).collect()
+    assert {r.doc_id: r.component_id for r in got} == parent
