@@ -177,3 +177,12 @@ def test_links_among_many_texts_of_one_template(spark):
     assert len(pairs) == 50 and 0.8 <= min(pairs) and max(pairs) < 0.86
     got = forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=k).collect()
     assert {r.doc_id: r.component_id for r in got} == parent
+
+
+def test_one_row_of_each_group(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, "A b c", "x"), (None, "a b c", "x"), (None, "d e", "x"), (None, "D e", "x"), (None, "", "x"), (3, "f g", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = collections.Counter((r.doc_id, (r.text or "").lower()) for r in out.collect())
+    assert got == {(1, "a b c"): 1, (None, "d e"): 1, (None, ""): 1, (3, "f g"): 1}
