@@ -151,3 +151,12 @@ def test_blocks_are_read_alone(spark, monkeypatch, tmp_path):
         whole = np.concatenate([np.frombuffer(d, "<u2") for _, d in docs])
         assert (file.block(3) == whole[3000:4000]).all()
         assert [(d, x.astype("<u2").tobytes()) for d, x in file.documents()] == docs
+
+
+def test_added_tokens_as_a_plain_call_gives_them():
+    t = Tokenizer.from_file(huffman.TOKENIZER)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b c", "one two", "<|endoftext|> hi", "x <|endoftext |> y"]
+    ids, lengths = huffman._words(huffman.TOKENIZER).encode_texts(pa.array(texts))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert 50256 in ids

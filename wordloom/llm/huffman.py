@@ -41,14 +41,12 @@ def _words(path: str) -> Words:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-
 
     def encode(texts: list[str]) -> list[list[int]]:
         # The library's results hold far more than ids; a few at a time are kept.
         return [x.ids for k in range(0, len(texts), 1024) for x in t.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False)]
 
-    return Words(encode)
+    return Words(encode, whole=tuple(x.content for x in t.get_added_tokens_decoder().values()))
 
 
 @lru_cache(maxsize=4)

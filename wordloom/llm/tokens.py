@@ -27,10 +27,11 @@ KEEP, KEEP_BYTES = 1_000_000, 64
 
 class Words:
     """``encode`` gets a list of different texts and gives their ids; those of words after a space are kept up to a
-    bound, as columns: a batch's words are found among them at once, and only new ones are encoded."""
+    bound, as columns: a batch's words are found among them at once, and only new ones are encoded.  Texts that hold one
+    of ``whole`` are encoded as wholes."""
 
-    def __init__(self, encode: Callable[[list[str]], list], keep: int = KEEP):
-        self.encode, self.keep = encode, keep
+    def __init__(self, encode: Callable[[list[str]], list], keep: int = KEEP, whole: tuple[str, ...] = ()):
+        self.encode, self.keep, self.whole = encode, keep, whole
         self._clear(pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _clear(self, words: pa.Array, flat: np.ndarray, lengths: np.ndarray) -> None:
@@ -66,6 +67,8 @@ class Words:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        for token in self.whole:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), pa.scalar(""), texts)
         parts = pc.split_pattern(plain, " ")
         sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
