@@ -4,12 +4,12 @@ import sys
 import numpy as np
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
+from helpers import unit_rows, vector_frame  # noqa: E402
 from wordloom.session import build_session  # noqa: E402
 
-DATA = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,20 +19,6 @@ def spark():
     s.stop()
 
 
-def unit_rows(n, d, seed=0):
-    v = np.random.default_rng(seed).normal(size=(n, d))
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
-
-
-SCHEMA = "category string, ordinal bigint, word string, visual array<double>, semantic array<double>"
-
-
-def vector_frame(spark, rows):
-    """rows: (category, ordinal, word, visual, semantic or None)."""
-    clean = [(c, int(o), w, [float(x) for x in v], None if s is None else [float(x) for x in s]) for c, o, w, v, s in rows]
-    return spark.createDataFrame(clean, SCHEMA)
-
-
 @pytest.fixture(scope="session")
 def pool(spark):
     """Three categories of 40, 25 and 7 words, in a shuffled order of rows; returns (frame, arrays per category)."""

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import vector_frame
+from helpers import vector_frame
 from pyspark.sql import functions as F
 
 from wordloom.operators import centroids as C

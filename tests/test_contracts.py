@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest import unit_rows, vector_frame
+from helpers import unit_rows, vector_frame
 
 from wordloom.functions.encoders import ngram_encoder, register
 from wordloom.operators import diversity as D

@@ -3,7 +3,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import DATA
+from helpers import DATA
 
 import __spark_entry__ as entry
 from check_oracle import canonical

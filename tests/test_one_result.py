@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import unit_rows, vector_frame
+from helpers import unit_rows, vector_frame
 
 from wordloom.functions.hashing import text_key
 from wordloom.operators import centroids as C

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import unit_rows, vector_frame
+from helpers import unit_rows, vector_frame
 from pyspark.sql import functions as F
 
 from wordloom.operators import diversity as D

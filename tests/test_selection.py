@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import unit_rows, vector_frame
+from helpers import unit_rows, vector_frame
 
 from wordloom.operators import selection as S
 from wordloom.plans.select_pools import select_pools
