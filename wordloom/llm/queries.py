@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, convnet, decontaminate, forest, huffman, negatives, pii, rules, whitening, wildcard, zipwarc
+from . import bpe, compression, convnet, decontaminate, forest, huffman, negatives, pii, repeats, rules, whitening, wildcard, zipwarc
 from .samples import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wildcard.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query(
+    "op11_repeated_passages",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+     g AS (SELECT k, i, array_to_string(w[i : i + 34], ' ') AS gram FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+     t AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1),
+     c AS (SELECT k, unnest(range(i, i + 35)) AS i FROM g SEMI JOIN t USING (gram)),
+     r AS (SELECT DISTINCT k, i FROM c),
+     x AS (SELECT k, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+     s AS (SELECT k, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN r USING (k, i) GROUP BY k)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (k)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 35 words that begin elsewhere too."""
+    docs = table(spark, sf_dir, "documents").withColumn("whole", F.sha2(repeats.plain_text(F.col("text")), 256))
+    rows = repeats.repeats(docs, carry=["whole"])
+    return rows.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept", 256), "whole").alias("kept_sha256"))
+
+
 @query(
     "op12_hard_negatives",
     """
