@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wordloom.session import cut, fresh_path
 
+T = TypeVar("T")
 #: Bytes of text that a Python task works on at once; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 
@@ -22,12 +26,25 @@ def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of ``column``, or of one row."""
+def once(name: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once in each process and kept under ``name``.
+
+    Kernels travel by value, each task with a copy of its own globals, and caches of decorated functions are pickled by
+    name, which an executor without this package cannot resolve.  So the store is a module that every worker has.
+    """
+    store = sys.modules.setdefault("_wordloom_once", types.ModuleType("_wordloom_once")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES, also: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes of ``column``, and of ``also``, or of one row."""
     for b in batches:
         if not b.num_rows:
             continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False))
+        sizes = [pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(c))), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (column, also) if c]
+        ends = np.cumsum(sum(sizes))
         at = 0
         while at < b.num_rows:
             done = ends[at - 1] if at else 0

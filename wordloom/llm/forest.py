@@ -2,25 +2,27 @@
 
 A signature has ``VALUES`` least hashes.  A tree is one order of these values: all documents are sorted by their values
 in that order, and those with the longest common prefix stand beside one another.  The sort is by range over (tree,
-prefix, id), so a region as large as a third of all documents is dealt over many tasks, and how deep two neighbours
-agree follows from how crowded their region is; ``DEPTH`` is the least that counts.
+prefix, id), so a region as large as a third of all documents is dealt over many tasks.
+
+Depth is adaptive.  A tree starts with ``STEP`` values; where more documents of several components agree in all of
+them than a neighbour search looks at, that region alone is sorted anew by the next values, and so on down to the
+whole signature.  Sparse regions stay shallow; ``DEPTH`` is the least agreement that counts.
 
 The first round takes a few trees and next neighbours only; the links it confirms make components.  The second takes
 all trees and more neighbours, but only pairs of different components.  So what is compared grows with the documents,
 not with the square of a group.  A one-bit sketch of the signature drops unlikely pairs before their texts are fetched.
 
-Trees look at a fixed number of neighbours and values, so they only make most components cheaply.  The last round is
-exact: a prefix filter over one global order of all shingles, common ones last.  Two sets that are similar enough share
-one of their first ``n - least + 1`` shingles, for the smaller set even one of a shorter prefix, so every pair of
-different components that shares such a shingle, and whose sizes, places in the order and parities allow the
-similarity, is confirmed on full sets.  These are bounds, not estimates; no count of partners is capped.
+What neighbours of a bounded number leave is found exactly: a prefix filter over one order of all shingles, common
+words last.  Two sets that are similar enough share one of their first ``n - least + 1`` shingles, for the smaller set
+even one of a shorter prefix, and their sizes lie in the same or the next class; so every pair of different components
+that shares such a shingle in such classes, and whose sizes, places in the order and parities allow the similarity, is
+confirmed on full sets.  These are bounds, not estimates; no count of partners is capped.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, two, written
+from .common import bounded, components, once, two, written
 
-VALUES, PREFIX, DEPTH = 128, 8, 4
+VALUES, STEP, DEPTH = 128, 8, 4
 #: (trees, neighbours on each side) of the two rounds.
 ROUNDS = ((8, 1), (24, 8))
 #: Sketch bits that may differ: at a similarity of 0.8 a tenth of 128 does, 0.22 is 4.5 deviations above.
@@ -40,30 +42,35 @@ DIFFER = 28
 #: Bits of the map of candidates: 2**17 rows of 64 at most, whatever the corpus.
 MAP_BITS = 23
 SPACE = "[ \\t-\\r]+"
-#: Slots of the table of how common shingles are, and documents it is sampled from; it orders shingles, no more.
-LEVEL_BITS, LEVEL_DOCS = 22, 50_000
+#: Words whose counts order the shingles: the most frequent ones of all texts.  It sets an order, no more.
+FREQUENT = 1 << 16
+#: A size class spans this factor of set sizes at a threshold of 0.8: two steps of 1 / 0.8.
+CLASS_STEPS = 2
 #: Prefix shingles that a task counts at once, and those of one part; rows of one side of a cell of a common shingle.
 FLUSH, PART, CELL = 1 << 20, 1 << 20, 1 << 14
+#: Pairs that a task holds before it hands them on; bytes of texts confirmed at once.
+HELD, CONFIRM = 1 << 20, 2 << 20
 #: Bits of a set's parities: each shingle flips one, so sets differ by at least as many shingles as bits.
 PARITY_BITS = 1024
 #: Bits of the map of shared shingles.
 SHARED_BITS = 24
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(5)
-    draw = lambda: rng.integers(1, 2**63, VALUES, dtype=np.uint64)
-    return draw() | np.uint64(1), draw()
+    def make():
+        rng = np.random.default_rng(5)
+        draw = lambda: rng.integers(1, 2**63, VALUES, dtype=np.uint64)
+        return draw() | np.uint64(1), draw()
+
+    return once("forest-hashes", make)
 
 
-@lru_cache(maxsize=64)
 def _order(tree: int) -> np.ndarray:
-    return np.random.default_rng(1000 + tree).permutation(VALUES)[:PREFIX]
+    return once(f"forest-order-{tree}", lambda: np.random.default_rng(1000 + tree).permutation(VALUES))
 
 
-def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted set of each text's shingles of ``k`` words as 64-bit hashes; fewer words are one shingle, none none."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of all words of all texts, in order."""
     parts = pc.split_pattern_regex(pc.ascii_lower(texts), SPACE)
     doc = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
     coded = pc.dictionary_encode(parts.flatten())
@@ -71,25 +78,42 @@ def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
     own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     index = coded.indices.to_numpy(zero_copy_only=False)
     full = np.array([w != "" for w in words], bool)[index] if len(words) else np.zeros(0, bool)
-    h, doc = own[index[full]] if len(words) else np.zeros(0, np.uint64), doc[full]
+    return (own[index[full]], doc[full]) if len(words) else (np.zeros(0, np.uint64), doc[:0])
+
+
+def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted set of each text's shingles of ``k`` words as 64-bit hashes; fewer words are one shingle, none none."""
+    return [s for s, _ in ordered(texts, k, None)]
+
+
+def ordered(texts: pa.Array, k: int, levels: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's set and how common its shingles are: the sum of their words' levels, 0 without a table."""
+    h, doc = _words(texts)
     ends = np.searchsorted(doc, np.arange(len(texts)), "right")
     starts = np.searchsorted(doc, np.arange(len(texts)), "left")
     prime = np.uint64(0x9E3779B97F4A7C15)
-    rolled = h
+    if levels is None or not len(levels[0]):
+        level = np.zeros(len(h), np.int32)
+    else:
+        at = np.minimum(np.searchsorted(levels[0], h), len(levels[0]) - 1)
+        level = np.where(levels[0][at] == h, levels[1][at], 0).astype(np.int32)
+    rolled, common = h, level
     for j in range(1, k):
         rolled = rolled[:-1] * prime + h[j:] if len(rolled) > 1 else rolled[:0]
+        common = common[:-1] + level[j:] if len(common) > 1 else common[:0]
     rolled = _mix(rolled)
     out = []
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(rolled[a : b - k + 1]))
+            s, at = np.unique(rolled[a : b - k + 1], return_index=True)
+            out.append((s, common[a : b - k + 1][at]))
         elif b > a:
             one = np.full(1, b - a, np.uint64)
             for i in range(a, b):
                 one = one * prime + h[i : i + 1]
-            out.append(_mix(one))
+            out.append((_mix(one), level[a:b].sum(keepdims=True)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int32)))
     return out
 
 
@@ -114,30 +138,24 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits((slots & 1).astype(bool)).tobytes()
 
 
-def _levels(df: DataFrame, k: int, id_col: str, text_col: str) -> bytes:
-    """How common shingles are, as the binary logarithm of their slot's count in a sample of bounded size.
+def _levels(df: DataFrame, id_col: str, text_col: str) -> tuple[bytes, bytes]:
+    """(hashes, levels) of the ``FREQUENT`` most frequent words of all texts, by hash; a level is the logarithm of how
+    often a word occurs in eighths of a bit.
 
-    Any order of shingles gives the same links; one that puts common ones last gives few candidates.
+    Any order of shingles gives the same links; one that puts common words last gives few candidates.
     """
-    docs = two(df, id_col, text_col).where("id IS NOT NULL")
-    every = max(1, docs.count() // LEVEL_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << LEVEL_BITS, np.int64)
-        with np.errstate(over="ignore"):
-            for b in bounded(batches, "text"):
-                sets = shingles(b.column(0), k)
-                counts += np.bincount((np.concatenate(sets) & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
-        slots = np.flatnonzero(counts)
-        for at in range(0, len(slots), 1 << 16):
-            part = slots[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["slot", "n"])
+        for b in bounded(batches, "text"):
+            h, n = np.unique(_words(b.column(0))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
-    counts = sample.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    levels = np.zeros(1 << LEVEL_BITS, np.uint8)
-    levels[counts.column(0).to_numpy()] = np.log2(counts.column(1).to_numpy()).astype(np.uint8)
-    return levels.tobytes()
+    counts = two(df, id_col, text_col).where("id IS NOT NULL").select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = (top.column(c).combine_chunks().to_numpy() for c in (0, 1))
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    return h[order].tobytes(), (8 * np.log2(n[order])).astype(np.int32).tobytes()
 
 
 def _least(n: np.ndarray, share: int, of: int) -> np.ndarray:
@@ -149,23 +167,24 @@ def signatures(df: DataFrame, k: int, percent: int, id_col: str = "doc_id", text
     """(id, n_shingles, key, sig, prefix, parity): ``key`` is equal for equal sets; ``prefix`` has the shingles that the
     exact round looks at, in the order of all shingles.  The last four are null for texts without words."""
     key = df.schema[id_col].dataType.simpleString()
-    held = df.sparkSession.sparkContext.broadcast(_levels(df, k, id_col, text_col))
+    held = df.sparkSession.sparkContext.broadcast(_levels(df, id_col, text_col))
 
-    def prefix(s: np.ndarray) -> bytes:
-        levels = np.frombuffer(held.value, np.uint8)[(s & np.uint64((1 << LEVEL_BITS) - 1)).astype(np.int64)]
-        return s[np.argsort(levels, kind="stable")[: len(s) - _least(len(s), percent, 100) + 1]].tobytes()
+    def prefix(s: np.ndarray, level: np.ndarray) -> bytes:
+        return s[np.lexsort((s, level))[: len(s) - _least(len(s), percent, 100) + 1]].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in bounded(batches, "text"):
-                sets = shingles(b.column(1), k)
+                levels = np.frombuffer(held.value[0], np.uint64), np.frombuffer(held.value[1], np.int32)
+                both = ordered(b.column(1), k, levels)
+                sets = [s for s, _ in both]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([prefix(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([prefix(s, c) if len(s) else None for s, c in both], pa.binary()),
                         pa.array([parity(s) if len(s) else None for s in sets], pa.binary()),
                     ],
                     ["id", "n_shingles", "key", "sig", "prefix", "parity"],
@@ -175,7 +194,7 @@ def signatures(df: DataFrame, k: int, percent: int, id_col: str = "doc_id", text
 
 
 def _grow(classes: DataFrame, trees: int) -> DataFrame:
-    """(tree, prefix, node, component, sketch): each class once in each tree."""
+    """(tree, region, prefix, node, component, sketch): each class once in each tree, by its first values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -186,17 +205,39 @@ def _grow(classes: DataFrame, trees: int) -> DataFrame:
                 sketch = pa.array([x.tobytes() for x in np.packbits((sig & 1).astype(bool), axis=1)], pa.binary())
                 short = (sig >> 3).astype(">u2")
                 for t in range(trees):
-                    prefix = pa.array([x.tobytes() for x in np.ascontiguousarray(short[:, _order(t)])], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), prefix, b.column(0), b.column(1), sketch], ["tree", "prefix", "node", "component", "sketch"])
+                    prefix = pa.array([x.tobytes() for x in np.ascontiguousarray(short[:, _order(t)[:STEP]])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.zeros(n, np.int64)), prefix, b.column(0), b.column(1), sketch], ["tree", "region", "prefix", "node", "component", "sketch"])
+
+    return classes.select("node", "component", "sig").mapInArrow(run, "tree int, region long, prefix binary, node long, component long, sketch binary")
+
 
-    return classes.select("node", "component", "sig").mapInArrow(run, "tree int, prefix binary, node long, component long, sketch binary")
+def _deeper(crowded: DataFrame, classes: DataFrame, level: int) -> DataFrame:
+    """The rows of crowded regions by their next values; a region is all values so far, as a hash."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree = b.column(0).to_numpy(zero_copy_only=False)
+            sig = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u4").reshape(b.num_rows, VALUES)
+            sketch = pa.array([x.tobytes() for x in np.packbits((sig & 1).astype(bool), axis=1)], pa.binary())
+            short = (sig >> 3).astype(">u2")
+            rows = range(b.num_rows)
+            next_values = pa.array([short[r, _order(int(tree[r]))[level * STEP : (level + 1) * STEP]].tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), next_values, b.column(2), b.column(3), sketch], ["tree", "region", "prefix", "node", "component", "sketch"])
 
-def _neighbours(rows: DataFrame, near: int) -> DataFrame:
-    """(a, b), a < b: neighbours of different components within a tree that agree to ``DEPTH`` values or more.
+    rows = crowded.join(classes.select("node", "component", "sig"), "node").select("tree", "region", "node", "component", "sig")
+    return rows.mapInArrow(run, "tree int, region long, prefix binary, node long, component long, sketch binary")
+
+
+def _neighbours(rows: DataFrame, near: int, level: int) -> DataFrame:
+    """(a, b, tree, region): pairs a < b of neighbours of different components within a region that agree to ``DEPTH``
+    values or more; and rows (a, null, tree, region) of crowded regions, which hold more than ``near`` neighbours that
+    agree in all values, of several components.
 
     Rows that stand at the border of two tasks meet in other trees, whose borders lie elsewhere.
     """
+    least = DEPTH if level == 0 else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -205,41 +246,102 @@ def _neighbours(rows: DataFrame, near: int) -> DataFrame:
                 continue
             now = {
                 "tree": b.column(0).to_numpy(zero_copy_only=False),
-                "prefix": np.frombuffer(b"".join(b.column(1).to_pylist()), ">u2").reshape(-1, PREFIX),
-                "node": b.column(2).to_numpy(zero_copy_only=False),
-                "component": b.column(3).to_numpy(zero_copy_only=False),
-                "sketch": np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, VALUES // 64),
+                "region": b.column(1).to_numpy(zero_copy_only=False),
+                "prefix": np.frombuffer(b"".join(b.column(2).to_pylist()), ">u2").reshape(-1, STEP),
+                "node": b.column(3).to_numpy(zero_copy_only=False),
+                "component": b.column(4).to_numpy(zero_copy_only=False),
+                "sketch": np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(-1, VALUES // 64),
             }
             if tail is not None:
                 now = {c: np.concatenate([tail[c], v]) for c, v in now.items()}
             old = 0 if tail is None else len(tail["node"])
-            found = []
+            n = len(now["node"])
+            found, mixed = [], np.zeros(n, bool)
             for s in range(1, near + 1):
-                i = np.arange(max(s, old), len(now["node"]))
+                i = np.arange(max(s, old), n)
                 j = i - s
-                ok = (now["tree"][i] == now["tree"][j]) & (now["component"][i] != now["component"][j])
-                ok &= (now["prefix"][i, :DEPTH] == now["prefix"][j, :DEPTH]).all(1)
+                one = (now["tree"][i] == now["tree"][j]) & (now["region"][i] == now["region"][j])
+                ok = one & (now["component"][i] != now["component"][j])
+                if s == near:
+                    full = one & (now["prefix"][i] == now["prefix"][j]).all(1)
+                mixed[i[ok]] = True
+                ok &= (now["prefix"][i, :least] == now["prefix"][j, :least]).all(1)
                 i, j = i[ok], j[ok]
                 ok = np.bitwise_count(now["sketch"][i] ^ now["sketch"][j]).sum(1) <= DIFFER
                 found.append(np.stack([now["node"][i[ok]], now["node"][j[ok]]]))
             pairs = np.sort(np.concatenate(found, 1), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            ends = np.arange(max(near, old), n)[full]
+            ends = ends[mixed[ends]]
+            dense = np.unique((ends[:, None] - np.arange(near + 1)).ravel())
+            prefix = now["prefix"][dense]
+            region = now["region"][dense].view(np.uint64)
+            for c in range(STEP):
+                region = _mix(region * np.uint64(0x9E3779B97F4A7C15) + prefix[:, c].astype(np.uint64) + np.uint64(1))
+            none = np.full(pairs.shape[1], -1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.append(pairs[0], now["node"][dense])),
+                    pa.array(np.append(pairs[1], np.full(len(dense), -1))),
+                    pa.array(np.append(none, now["tree"][dense]).astype(np.int32)),
+                    pa.array(np.append(none, region.view(np.int64))),
+                ],
+                ["a", "b", "tree", "region"],
+            )
             tail = {c: v[-near:] for c, v in now.items()}
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    def quiet(batches):
+        with np.errstate(over="ignore"):
+            yield from run(batches)
+
+    return rows.mapInArrow(quiet, "a long, b long, tree int, region long").distinct()
+
+
+def _candidates(nodes: DataFrame, trees: int, near: int, n: int) -> DataFrame:
+    """(a, b): the neighbours of all trees, crowded regions as deep as they need."""
+    rows, pairs = _grow(nodes, trees), None
+    for level in range(VALUES // STEP):
+        dealt = rows.repartitionByRange(n, "tree", "region", "prefix", "node").sortWithinPartitions("tree", "region", "prefix", "node")
+        found = written(_neighbours(dealt, near, level), "neighbours")
+        mine = found.where("tree < 0").select("a", "b")
+        pairs = mine if pairs is None else pairs.union(mine)
+        crowded = found.where("tree >= 0").select("tree", "region", F.col("a").alias("node"))
+        if not crowded.limit(1).count():
+            break
+        rows = _deeper(crowded, nodes, level + 1) if level + 1 < VALUES // STEP else rows
+    return pairs.distinct()
 
 
 def _flat(b: pa.RecordBatch, percent: int) -> tuple[np.ndarray, ...]:
-    """(token, row of ``b``, place, whether the place is in the shorter prefix) of all prefix shingles of
-    (node, component, n, prefix) rows.
+    """(token, row of ``b``, place, whether it is looked up by larger sets, whether it looks up smaller ones) of the
+    prefix shingles of (node, component, n, prefix) rows; a token is a shingle in a class of sizes.
 
-    Of a pair, the smaller set of n shingles shares at least ``2 * percent / (100 + percent)`` of them.
+    Of a pair, the smaller set of n shingles shares at least ``2 * percent / (100 + percent)`` of them, so a shorter
+    prefix of it is enough; the larger one's size is in the smaller one's class or, near its upper end, in the next.
     """
     parts = b.column(3).to_pylist()
     n, size = b.column(2).to_numpy(zero_copy_only=False), np.array([len(p) // 8 for p in parts], np.int64)
     row = np.repeat(np.arange(b.num_rows), size)
     place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    return np.frombuffer(b"".join(parts), np.int64), row, place, place <= (n - _least(n, 2 * percent, 100 + percent))[row]
+    shingle = np.frombuffer(b"".join(parts), np.uint64)
+    short = place <= (n - _least(n, 2 * percent, 100 + percent))[row]
+    own, beyond = _class(n, percent), _class(n * 100 // percent, percent)
+    more = np.flatnonzero(short & (beyond > own)[row])
+    token = np.concatenate([_mix(shingle + _mix(own.astype(np.uint64))[row]), _mix(shingle[more] + _mix(beyond.astype(np.uint64))[row[more]])])
+    probes = np.append(np.ones(len(row), bool), np.zeros(len(more), bool))
+    return token.view(np.int64), np.append(row, row[more]), np.append(place, place[more]), np.append(short, np.ones(len(more), bool)), probes
+
+
+def _class(n: np.ndarray, percent: int) -> np.ndarray:
+    """The class of a set size: integer bounds, each at least 100 / percent times the one before, ``CLASS_STEPS`` a class."""
+    bounds = once(f"forest-classes-{percent}", lambda: _bounds(percent))
+    return np.searchsorted(bounds, n, "right") // CLASS_STEPS
+
+
+def _bounds(percent: int) -> np.ndarray:
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
+    return np.array(out, np.int64)
 
 
 def _counted(token, low, high, index, total) -> tuple[np.ndarray, ...]:
@@ -253,7 +355,7 @@ def _counted(token, low, high, index, total) -> tuple[np.ndarray, ...]:
 
 
 def _shared(prefixes: DataFrame, percent: int, parts: int, n: int) -> DataFrame:
-    """(token, ni, np): the shingles in prefixes of several components, one of them a short prefix, and their rows.
+    """(token, ni, np): the tokens of several components, with rows that are looked up and rows that look up.
 
     Tasks count their own shingles first, so a common one is one entry of each task.
     """
@@ -272,9 +374,10 @@ def _shared(prefixes: DataFrame, percent: int, parts: int, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
 
         for b in bounded(batches, "prefix"):
-            token, row, _, short = _flat(b, percent)
+            with np.errstate(over="ignore"):
+                token, row, _, short, probes = _flat(b, percent)
             component = b.column(1).to_numpy(zero_copy_only=False)[row]
-            held.append((token, component, component, short.astype(np.int64), np.ones(len(row), np.int64)))
+            held.append((token, component, component, short.astype(np.int64), probes.astype(np.int64)))
             rows += len(row)
             if rows >= FLUSH:
                 yield from flush()
@@ -287,7 +390,7 @@ def _shared(prefixes: DataFrame, percent: int, parts: int, n: int) -> DataFrame:
             cols = [np.frombuffer(x, np.int64).reshape(5, -1) for x in blobs]
             token, low, gap, index, total = np.concatenate(cols, 1)
             token, low, high, index, total = _counted(token, low, low + gap, index, total)
-            ok = (low < high) & (index > 0)
+            ok = (low < high) & (index > 0) & (total > 0)
             return pa.RecordBatch.from_arrays([pa.array(token[ok]), pa.array(index[ok]), pa.array(total[ok])], ["token", "ni", "np"])
 
         now, blobs = None, []
@@ -319,17 +422,18 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint8)
         for b in bounded(batches, "prefix"):
-            token, row, at, short = _flat(b, percent)
+            with np.errstate(over="ignore"):
+                token, row, at, short, probes = _flat(b, percent)
             i = np.flatnonzero(bits[(token & ((1 << SHARED_BITS) - 1)) >> 3] >> (token & 7).astype(np.uint8) & 1)
             node, component, size = (b.column(c).to_numpy(zero_copy_only=False)[row[i]] for c in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[i], node, component, size, at[i].astype(np.int64), short[i])], ["token", "node", "component", "n", "at", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[i], node, component, size, at[i].astype(np.int64), short[i], probes[i])], ["token", "node", "component", "n", "at", "short", "probes"])
 
-    rows = prefixes.mapInArrow(spread, "token long, node long, component long, n long, at long, short boolean").join(shared, "token")
+    rows = prefixes.mapInArrow(spread, "token long, node long, component long, n long, at long, short boolean, probes boolean").join(shared, "token")
     cells = lambda c: F.floor((F.col(c) - 1) / CELL) + 1
     own = lambda c: F.pmod(F.xxhash64("node"), F.greatest(cells(c), F.lit(1)))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), cells(c) - 1))
     some = rows.where("short").select("token", own("ni").alias("si"), every("np").alias("sp"), F.lit(True).alias("short"), "node", "component", "n", "at")
-    rest = rows.select("token", every("ni").alias("si"), own("np").alias("sp"), F.lit(False).alias("short"), "node", "component", "n", "at")
+    rest = rows.where("probes").select("token", every("ni").alias("si"), own("np").alias("sp"), F.lit(False).alias("short"), "node", "component", "n", "at")
     dealt = some.union(rest).repartition(n, "token", "si", "sp").sortWithinPartitions("token", "si", "sp")
 
     def cell(c: np.ndarray) -> Iterator[np.ndarray]:
@@ -348,6 +452,13 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
                 if len(i):
                     yield np.sort(np.stack([s[i, 4], other[j, 4]]), 0)
 
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(held, 1)
+        order = np.lexsort(pairs)
+        pairs = pairs[:, order]
+        new = np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(0))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0, new]), pa.array(pairs[1, new])], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.zeros((0, 8), np.int64)
         for b in chain(batches, [None]):
@@ -362,10 +473,16 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
             ends = np.append(starts[1:], len(now))
             if b is not None:  # the last cell may go on
                 tail, starts, ends = now[starts[-1] :], starts[:-1], ends[:-1]
-            found = [p for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1 for p in cell(now[s:e])]
-            if found:
-                pairs = np.unique(np.concatenate(found, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            held, size = [], 0
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                for p in cell(now[s:e]) if e - s > 1 else ():
+                    held.append(p)
+                    size += p.shape[1]
+                    if size >= HELD:
+                        yield out(held)
+                        held, size = [], 0
+            if held:
+                yield out(held)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -405,7 +522,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for b in bounded(batches, "left"):
+            for b in bounded(batches, "left", CONFIRM, "right"):
                 # The rows are sorted by b: equal texts stand together and are taken apart once.
                 ids = b.column(1).to_numpy(zero_copy_only=False)
                 new = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
@@ -464,8 +581,7 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     labels, edges = None, None
     for trees, near in ROUNDS:
         nodes = classes.withColumn("component", F.col("node")) if labels is None else classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows = _grow(nodes, trees).repartitionByRange(n, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-        found = written(_confirm(written(_neighbours(rows, near), "candidates"), docs, k, percent), "links")
+        found = written(_confirm(written(_candidates(nodes, trees, near, n), "candidates"), docs, k, percent), "links")
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
     nodes = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
