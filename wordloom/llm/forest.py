@@ -36,7 +36,9 @@ from .common import bounded, components, once, two, written
 
 VALUES, STEP, DEPTH = 128, 8, 4
 #: (trees, neighbours on each side) of the two rounds.
-ROUNDS = ((8, 1), (24, 8))
+ROUNDS = ((8, 1), (16, 8))
+#: A region is crowded where more neighbours than this agree in all values of a step.
+CROWD = 8
 #: Sketch bits that may differ: at a similarity of 0.8 a tenth of 128 does, 0.22 is 4.5 deviations above.
 DIFFER = 28
 #: Bits of the map of candidates: 2**17 rows of 64 at most, whatever the corpus.
@@ -52,6 +54,8 @@ FLUSH, PART, CELL = 1 << 20, 1 << 20, 1 << 14
 HELD, CONFIRM = 1 << 20, 2 << 20
 #: Bits of a set's parities: each shingle flips one, so sets differ by at least as many shingles as bits.
 PARITY_BITS = 1024
+#: The same folded, for rows that meet at a shingle: a pair's parities are compared there before it is made.
+FOLDED = 512
 #: Bits of the map of shared shingles.
 SHARED_BITS = 24
 
@@ -69,8 +73,8 @@ def _order(tree: int) -> np.ndarray:
     return once(f"forest-order-{tree}", lambda: np.random.default_rng(1000 + tree).permutation(VALUES))
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of all words of all texts, in order."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the batch's different words, which of them each word is, in which text it stands), in order."""
     parts = pc.split_pattern_regex(pc.ascii_lower(texts), SPACE)
     doc = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
     coded = pc.dictionary_encode(parts.flatten())
@@ -78,7 +82,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     index = coded.indices.to_numpy(zero_copy_only=False)
     full = np.array([w != "" for w in words], bool)[index] if len(words) else np.zeros(0, bool)
-    return (own[index[full]], doc[full]) if len(words) else (np.zeros(0, np.uint64), doc[:0])
+    return own, index[full] if len(words) else np.zeros(0, np.int64), doc[full] if len(words) else doc[:0]
 
 
 def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -88,15 +92,16 @@ def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 def ordered(texts: pa.Array, k: int, levels: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's set and how common its shingles are: the sum of their words' levels, 0 without a table."""
-    h, doc = _words(texts)
+    own, index, doc = _words(texts)
+    h = own[index] if len(own) else np.zeros(0, np.uint64)
     ends = np.searchsorted(doc, np.arange(len(texts)), "right")
     starts = np.searchsorted(doc, np.arange(len(texts)), "left")
     prime = np.uint64(0x9E3779B97F4A7C15)
     if levels is None or not len(levels[0]):
         level = np.zeros(len(h), np.int32)
     else:
-        at = np.minimum(np.searchsorted(levels[0], h), len(levels[0]) - 1)
-        level = np.where(levels[0][at] == h, levels[1][at], 0).astype(np.int32)
+        at = np.minimum(np.searchsorted(levels[0], own), len(levels[0]) - 1)
+        level = np.where(levels[0][at] == own, levels[1][at], 0).astype(np.int32)[index]
     rolled, common = h, level
     for j in range(1, k):
         rolled = rolled[:-1] * prime + h[j:] if len(rolled) > 1 else rolled[:0]
@@ -147,7 +152,9 @@ def _levels(df: DataFrame, id_col: str, text_col: str) -> tuple[bytes, bytes]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text"):
-            h, n = np.unique(_words(b.column(0))[0], return_counts=True)
+            h, index, _ = _words(b.column(0))
+            n = np.bincount(index, minlength=len(h))
+            h, n = h[n > 0], n[n > 0]  # all but the empty word
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counts = two(df, id_col, text_col).where("id IS NOT NULL").select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -232,8 +239,8 @@ def _deeper(crowded: DataFrame, classes: DataFrame, level: int) -> DataFrame:
 
 def _neighbours(rows: DataFrame, near: int, level: int) -> DataFrame:
     """(a, b, tree, region): pairs a < b of neighbours of different components within a region that agree to ``DEPTH``
-    values or more; and rows (a, null, tree, region) of crowded regions, which hold more than ``near`` neighbours that
-    agree in all values, of several components.
+    values or more, with a tree of -1; and rows (a, -1, tree, region) of crowded regions, which hold more than ``CROWD``
+    neighbours that agree in all values, of several components.
 
     Rows that stand at the border of two tasks meet in other trees, whose borders lie elsewhere.
     """
@@ -257,22 +264,24 @@ def _neighbours(rows: DataFrame, near: int, level: int) -> DataFrame:
             old = 0 if tail is None else len(tail["node"])
             n = len(now["node"])
             found, mixed = [], np.zeros(n, bool)
-            for s in range(1, near + 1):
+            for s in range(1, CROWD + 1):
                 i = np.arange(max(s, old), n)
                 j = i - s
                 one = (now["tree"][i] == now["tree"][j]) & (now["region"][i] == now["region"][j])
                 ok = one & (now["component"][i] != now["component"][j])
-                if s == near:
+                if s == CROWD:
                     full = one & (now["prefix"][i] == now["prefix"][j]).all(1)
                 mixed[i[ok]] = True
+                if s > near:
+                    continue
                 ok &= (now["prefix"][i, :least] == now["prefix"][j, :least]).all(1)
                 i, j = i[ok], j[ok]
                 ok = np.bitwise_count(now["sketch"][i] ^ now["sketch"][j]).sum(1) <= DIFFER
                 found.append(np.stack([now["node"][i[ok]], now["node"][j[ok]]]))
             pairs = np.sort(np.concatenate(found, 1), 0)
-            ends = np.arange(max(near, old), n)[full]
+            ends = np.arange(max(CROWD, old), n)[full]
             ends = ends[mixed[ends]]
-            dense = np.unique((ends[:, None] - np.arange(near + 1)).ravel())
+            dense = np.unique((ends[:, None] - np.arange(CROWD + 1)).ravel())
             prefix = now["prefix"][dense]
             region = now["region"][dense].view(np.uint64)
             for c in range(STEP):
@@ -287,7 +296,7 @@ def _neighbours(rows: DataFrame, near: int, level: int) -> DataFrame:
                 ],
                 ["a", "b", "tree", "region"],
             )
-            tail = {c: v[-near:] for c, v in now.items()}
+            tail = {c: v[-CROWD:] for c, v in now.items()}
 
     def quiet(batches):
         with np.errstate(over="ignore"):
@@ -426,31 +435,39 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
                 token, row, at, short, probes = _flat(b, percent)
             i = np.flatnonzero(bits[(token & ((1 << SHARED_BITS) - 1)) >> 3] >> (token & 7).astype(np.uint8) & 1)
             node, component, size = (b.column(c).to_numpy(zero_copy_only=False)[row[i]] for c in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[i], node, component, size, at[i].astype(np.int64), short[i], probes[i])], ["token", "node", "component", "n", "at", "short", "probes"])
+            parity = b.column(4).take(pa.array(row[i]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (token[i], node, component, size, at[i].astype(np.int64), short[i], probes[i])), parity], ["token", "node", "component", "n", "at", "short", "probes", "parity"])
 
-    rows = prefixes.mapInArrow(spread, "token long, node long, component long, n long, at long, short boolean, probes boolean").join(shared, "token")
+    rows = prefixes.mapInArrow(spread, "token long, node long, component long, n long, at long, short boolean, probes boolean, parity binary").join(shared, "token")
     cells = lambda c: F.floor((F.col(c) - 1) / CELL) + 1
     own = lambda c: F.pmod(F.xxhash64("node"), F.greatest(cells(c), F.lit(1)))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), cells(c) - 1))
-    some = rows.where("short").select("token", own("ni").alias("si"), every("np").alias("sp"), F.lit(True).alias("short"), "node", "component", "n", "at")
-    rest = rows.where("probes").select("token", every("ni").alias("si"), own("np").alias("sp"), F.lit(False).alias("short"), "node", "component", "n", "at")
+    some = rows.where("short").select("token", own("ni").alias("si"), every("np").alias("sp"), F.lit(True).alias("short"), "node", "component", "n", "at", "parity")
+    rest = rows.where("probes").select("token", every("ni").alias("si"), own("np").alias("sp"), F.lit(False).alias("short"), "node", "component", "n", "at", "parity")
     dealt = some.union(rest).repartition(n, "token", "si", "sp").sortWithinPartitions("token", "si", "sp")
 
-    def cell(c: np.ndarray) -> Iterator[np.ndarray]:
+    def cell(c: np.ndarray, parity: np.ndarray) -> Iterator[np.ndarray]:
         short = c[:, 3] == 1
-        x, y = c[short], c[~short]
-        x = x[np.argsort(x[:, 5], kind="stable")]
+        x, y, px, py = c[short], c[~short], parity[short], parity[~short]
+        order = np.argsort(x[:, 5], kind="stable")
+        x, px = x[order], px[order]
         ends = np.append(np.flatnonzero(np.append(True, x[1:, 5] != x[:-1, 5])), len(x))
         for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            other = y[y[:, 5] != x[lo, 5]]
+            others = np.flatnonzero(y[:, 5] != x[lo, 5])
+            other = y[others]
             for at in range(lo, hi if len(other) else lo, 256):
                 s = x[at : min(at + 256, hi)]
                 nx, ny = s[:, None, 6], other[None, :, 6]
                 ok = ((nx < ny) | (nx == ny) & (s[:, None, 4] < other[None, :, 4])) & (100 * nx >= percent * ny)
                 ok &= (100 + percent) * np.minimum(nx - s[:, None, 7], ny - other[None, :, 7]) >= percent * (nx + ny)
                 i, j = np.nonzero(ok)
-                if len(i):
-                    yield np.sort(np.stack([s[i, 4], other[j, 4]]), 0)
+                for k in range(0, len(i), 1 << 16):
+                    a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    n = s[a, 6] + other[b, 6]
+                    differ = np.bitwise_count(px[at + a] ^ py[others[b]]).sum(1, dtype=np.int64)
+                    may = differ <= n - 2 * _least(n, percent, 100 + percent)
+                    if may.any():
+                        yield np.sort(np.stack([s[a[may], 4], other[b[may], 4]]), 0)
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.concatenate(held, 1)
@@ -460,22 +477,24 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
         return pa.RecordBatch.from_arrays([pa.array(pairs[0, new]), pa.array(pairs[1, new])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.zeros((0, 8), np.int64)
+        words = FOLDED // 64
+        tail, tail_parity = np.zeros((0, 8), np.int64), np.zeros((0, words), np.uint64)
         for b in chain(batches, [None]):
             if b is not None:
-                cols = [x.cast(pa.int64()).to_numpy(zero_copy_only=False) for x in b.columns]
+                cols = [x.cast(pa.int64()).to_numpy(zero_copy_only=False) for x in b.columns[:8]]
                 now = np.concatenate([tail, np.stack(cols, 1)])
+                parity = np.concatenate([tail_parity, np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint64).reshape(-1, words)])
             else:
-                now = tail
+                now, parity = tail, tail_parity
             if not len(now):
                 continue
             starts = np.flatnonzero(np.append(True, (now[1:, :3] != now[:-1, :3]).any(1)))
             ends = np.append(starts[1:], len(now))
             if b is not None:  # the last cell may go on
-                tail, starts, ends = now[starts[-1] :], starts[:-1], ends[:-1]
+                tail, tail_parity, starts, ends = now[starts[-1] :], parity[starts[-1] :], starts[:-1], ends[:-1]
             held, size = [], 0
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                for p in cell(now[s:e]) if e - s > 1 else ():
+                for p in cell(now[s:e], parity[s:e]) if e - s > 1 else ():
                     held.append(p)
                     size += p.shape[1]
                     if size >= HELD:
@@ -487,6 +506,17 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _folded(rows: DataFrame) -> DataFrame:
+    """The rows with parities of ``FOLDED`` bits: slots whose numbers differ by that are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1, FOLDED // 8)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x.tobytes() for x in np.bitwise_xor.reduce(bits, axis=1)], pa.binary())], b.schema.names)
+
+    return rows.mapInArrow(run, "node long, component long, n_shingles long, prefix binary, parity binary")
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that do not differ in more parities than similar sets differ in shingles."""
     one = sets.groupBy("node").agg(F.first(F.struct("n_shingles", "parity")).alias("s"))
@@ -586,7 +616,7 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
         labels = components(edges)
     nodes = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     own = sigs.where("prefix IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("long").alias("node"), "n_shingles", "prefix", "parity")
-    prefixes = written(nodes.join(own.drop("parity"), "node").select("node", "component", "n_shingles", "prefix"), "prefixes")
+    prefixes = written(_folded(nodes.join(own, "node").select("node", "component", "n_shingles", "prefix", "parity")), "prefixes")
     total = prefixes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     shared = written(_shared(prefixes, percent, max(n, total // (8 * PART) + 1), n), "shared")
     met = _possible(written(_meetings(prefixes, shared, percent, n), "meetings"), own, percent)
