@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
+from ..session import cut
 from . import tiles as T
+from .cells import PART_BITS, Cells
 
 
 def _best(q: np.ndarray, base: np.ndarray, ords: np.ndarray, skip: np.ndarray | None = None):
@@ -33,8 +37,7 @@ def nearest(
     ``queries`` has ``id`` (unique, any type) and ``vector``; ``base`` has ``ordinal``, ``word``, ``vector``.
     A query without a vector, or without another base row, has no neighbour: NULLs.  Base rows without a
     vector are no one's neighbour.  With ``exclude_self`` the query id is an ordinal of ``base`` and is not its own neighbour.  A base that
-    is measured to be small is shipped to the tasks; otherwise both sides meet tile by tile, and the
-    best of each tile is merged with a map-side minimum.
+    is measured to be small is shipped to the tasks; otherwise the queries go through an index of the base.
     """
     queries = queries.select("id", "vector")
     base = base.select("ordinal", "word", "vector").filter("vector is not null")
@@ -78,21 +81,38 @@ def nearest(
 
         return queries.mapInArrow(scan, schema)
 
+    return nearest_indexed(queries, base, exclude_self, rows).drop("compared")
+
+
+def nearest_indexed(queries: DataFrame, base: DataFrame, exclude_self: bool = False, rows: int = T.TILE_ROWS, cells: int | None = None) -> DataFrame:
+    """:func:`nearest` through an index of the base, and ``compared``: how many base rows each query was held against.
+
+    A query is held against the cell of its nearest pivot first.  What it finds there bounds its answer from below, and
+    only cells that can hold a row as similar are visited after that.  ``base`` has at least one row.
+    """
+    queries = queries.select("id", "vector")
+    base = base.select("ordinal", "word", "vector").filter("vector is not null")
+    word_t = base.schema["word"].dataType.simpleString()
+    id_t = queries.schema["id"].dataType.simpleString()
+    points = base.withColumnRenamed("vector", "visual")
+    index = Cells(points, "ordinal", rows, cells, semantic=False)
+    laid = index.assign(points)
+    sizes = cut(laid.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_parts")))
+    laid = laid.join(sizes, "_cell").withColumn("_part", F.pmod(F.xxhash64("ordinal"), F.col("_parts"))).drop("_parts")
+    laid = cut(laid)
+    asked = queries.filter("vector is not null").withColumnRenamed("vector", "visual")
+    chunks = max(1, math.ceil(asked.count() / rows))
     null = lambda t: F.lit(None).cast(t)
-    left = queries.filter("vector is not null").select("id", null("bigint").alias("ordinal"), null(word_t).alias("word"), "vector", F.xxhash64("id").alias("_k"))
-    right = base.select(null(id_t).alias("id"), "ordinal", "word", "vector", F.xxhash64("ordinal").alias("_k"))
-    tiled = T.cross_tiles(left, right, "_k", rows)
+    schema = f"id {id_t}, sim double, near bigint, near_word {word_t}, compared bigint"
 
     def kernel(t: pa.Table) -> pa.Table:
         side = A.column(t, "_side")
         q, b = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1)).sort_by("ordinal")
         ids = A.plain(q.column("id"))
         if not q.num_rows or not b.num_rows:
-            return pa.table(
-                [ids.slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.int64()), A.plain(b.column("word")).slice(0, 0)],
-                names=["id", "sim", "near", "near_word"],
-            )
-        qm, bm = A.matrix(q.column("vector"))[0], A.matrix(b.column("vector"))[0]
+            none = [ids.slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.int64()), A.plain(b.column("word")).slice(0, 0), pa.array([], pa.int64())]
+            return pa.table(none, names=["id", "sim", "near", "near_word", "compared"])
+        qm, bm = A.matrix(q.column("visual"))[0], A.matrix(b.column("visual"))[0]
         ords = A.column(b, "ordinal").astype(np.int64)
         own = ids.to_numpy(zero_copy_only=False) if exclude_self else None
         sims, ats = [], []
@@ -101,15 +121,33 @@ def nearest(
             sim, at = _best(qm[s:e], bm, ords, None if own is None else own[s:e])
             sims.append(sim)
             ats.append(at)
-        sim, at = np.concatenate(sims), pa.array(np.concatenate(ats))
-        out = pa.table(
-            [ids, pa.array(sim), pa.array(ords).take(at), A.plain(b.column("word")).take(at)],
-            names=["id", "sim", "near", "near_word"],
-        )
-        return out.filter(pa.array(np.isfinite(sim)))
+        sim, at = np.concatenate(sims), np.concatenate(ats)
+        found = np.isfinite(sim)
+        pick = pa.array(at, pa.int64(), mask=~found)
+        cols = [ids, pa.array(sim, pa.float64(), mask=~found), pa.array(ords).take(pick), A.plain(b.column("word")).take(pick), pa.array(np.full(len(qm), len(bm)))]
+        return pa.table(cols, names=["id", "sim", "near", "near_word", "compared"])
+
+    def meet(visits: DataFrame) -> DataFrame:
+        """Best row and rows seen of each query over the cells ``_other`` it visits."""
+        visits = cut(visits.withColumn("_hi", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("bigint")))
+        where = visits.join(sizes.select(F.col("_cell").alias("_other"), "_parts"), "_other")
+        left = where.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
+            "id", null("bigint").alias("ordinal"), null(word_t).alias("word"), "visual", F.col("_other").alias("_cell"), "_part", "_hi", F.lit(0).alias("_side"))
+        right = laid.join(visits.select(F.col("_other").alias("_cell"), "_hi").distinct(), "_cell").select(
+            null(id_t).alias("id"), "ordinal", "word", "visual", "_cell", "_part", "_hi", F.lit(1).alias("_side"))
+        both = left.unionByName(right).withColumn("_lo", F.shiftleft(F.col("_cell").cast("bigint"), PART_BITS) + F.col("_part"))
+        return T.per_tile(both.drop("_cell", "_part"), [], kernel, schema)
+
+    def merged(parts: DataFrame) -> DataFrame:
+        order = F.when(F.col("sim").isNotNull(), F.struct((-F.col("sim")).alias("s"), F.col("near").alias("o")))
+        return parts.groupBy("id").agg(F.min_by(F.struct("sim", "near", "near_word"), order).alias("b"), F.sum("compared").alias("compared"))
 
-    parts = T.per_tile(tiled, [], kernel, schema)
-    order = F.struct((-F.col("sim")).alias("s"), F.col("near").alias("o"))
-    best = parts.groupBy("id").agg(F.min_by(F.struct("sim", "near", "near_word"), order).alias("b"))
-    found = best.select(F.col("id").alias("_of"), "b.sim", "b.near", "b.near_word")
-    return queries.select("id").join(found, F.col("id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    homes = cut(index.assign(asked))
+    first = cut(meet(homes.withColumn("_other", F.col("_cell"))))
+    bound = merged(first).select(F.col("id").alias("_of"), F.col("b.sim").alias("_bound"))
+    more = homes.join(bound, F.col("id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    more = index.visits(more, "visual", "_bound").filter("_other <> _cell")
+    best = merged(first.unionByName(meet(more)))
+    found = best.select(F.col("id").alias("_of"), "b.sim", "b.near", "b.near_word", "compared")
+    out = queries.select("id").join(found, F.col("id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    return out.withColumn("compared", F.coalesce("compared", F.lit(0)))

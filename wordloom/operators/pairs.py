@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from . import tiles as T
+from .cells import Cells, per_tile
 
 
 def _ddl(df: DataFrame, names: list[str]) -> str:
@@ -156,7 +157,11 @@ def top_pairs(
     extra: list[str] = [],
     rows: int = T.TILE_ROWS,
 ) -> DataFrame:
-    """The k most extreme unordered pairs over the whole table: local top-k per tile pair, then top-k."""
+    """The k most extreme unordered pairs over the whole table: local top-k per tile pair, then top-k.
+
+    A table of more than a tile is searched through cells: the most promising cells give a kth value first, and only
+    cells whose bounds reach it are compared after that.
+    """
     keep = ["ordinal", "word", *extra]
     need = df.select(*dict.fromkeys([*keep, *([differ] if differ else []), "visual", "semantic"]))
     sign = -1 if largest else 1
@@ -200,6 +205,11 @@ def top_pairs(
         cols["score"] = pa.array([sign * x[0] for x in best], pa.float64())
         return pa.table(cols)
 
-    parts = T.per_tile(T.self_tiles(need, [], "ordinal", rows), [], kernel, schema)
     order: list[Column] = [F.desc("score") if largest else F.asc("score"), F.asc("ordinal_a"), F.asc("ordinal_b")]
-    return parts.orderBy(*order).limit(k)
+    if k <= 0 or T.peak_rows(need, []) <= rows:
+        return T.per_tile(T.self_tiles(need, [], "ordinal", rows), [], kernel, schema).orderBy(*order).limit(k)
+    index = Cells(need, "ordinal", rows)
+    first = per_tile(index.tiles(need, [], gate, None, not largest, alpha), [], kernel, schema)
+    values = [r.score for r in first.orderBy(*order).limit(k).select("score").collect()]
+    bound = values[-1] if len(values) == k else sign * float("inf")
+    return per_tile(index.tiles(need, [], gate, bound, not largest, alpha), [], kernel, schema).orderBy(*order).limit(k)

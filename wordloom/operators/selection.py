@@ -17,6 +17,7 @@ from ..functions import arrow as A
 from ..functions.vectors import dot, either_distinct, either_similar, joint
 from ..session import cut, grouped, width
 from . import tiles as T
+from .cells import Cells, per_tile
 from .ordered import dense_index
 
 SMALL_GROUP = 2048  # rows whose full similarity matrix (32 MB) one task holds with ease
@@ -108,7 +109,8 @@ def _own_similarity(gate: str):
 def _redundancy_rounds(df: DataFrame, threshold: float, gate: str, by: list[str], rows: int) -> DataFrame:
     """(by, ordinal, kept).  A word is kept once all earlier neighbours are dropped, dropped once one is kept.
 
-    Tile pairs return two flags per undecided word, never neighbours, so a dense cluster stays linear.
+    Rows meet only in cells whose bounds allow the threshold.  Tile pairs return two flags per undecided word, never
+    neighbours, so a dense cluster stays linear.
     Exact copies of a vector are settled first where the vector is above the threshold to itself: the first
     copy, kept or not, then leaves no later one.  Copies of short vectors, or of none, stay rows of their own.
     """
@@ -147,9 +149,10 @@ def _redundancy_rounds(df: DataFrame, threshold: float, gate: str, by: list[str]
             got.append(t)
         return pa.concat_tables(got)
 
+    index = Cells(work, "ordinal", rows)
     while True:
-        tiled = T.self_tiles(active, by, "ordinal", rows)
-        parts = T.per_tile(tiled, by, kernel, f"{_ddl(df, keys)}, by_kept boolean, by_open boolean")
+        tiled = index.tiles(active, by, gate, threshold)
+        parts = per_tile(tiled, by, kernel, f"{_ddl(df, keys)}, by_kept boolean, by_open boolean")
         flags = cut(parts.groupBy(*keys).agg(F.max("by_kept").alias("by_kept"), F.max("by_open").alias("by_open")))
         new = flags.filter("by_kept or not by_open").select(*keys, (~F.col("by_kept")).alias("kept"))
         decided.append(new)
@@ -557,10 +560,26 @@ def distant_pairs(df: DataFrame, n_pairs: int, gate: str = "semantic", rows: int
     least similar partners of both its words.  Only such mutual pairs can be chosen, a used word touches
     at most 2n of them, and the n-th choice is therefore among the first 4n^2 + n in order.  Each tile
     pair applies the same bound to its own rows, so its output is bounded too.
+
+    A table of more than a tile is searched through cells.  The most promising ones give 2n - 1 pairs without a common
+    word; n - 1 choices can take words from 2n - 2 of them at most, so no choice is more similar than the last of these,
+    and only cells whose bounds reach down to it are compared.
     """
+    need = df.select("category", "ordinal", "word", "visual", "semantic")
+    rows = min(rows, 2048)
+    if n_pairs <= 0 or T.peak_rows(need, []) <= rows:
+        return _distant(T.self_tiles(need, [], "ordinal", rows), need, n_pairs, gate, T.per_tile)
+    index = Cells(need, "ordinal", rows)
+    apart = _distant(index.tiles(need, [], gate, None, True), need, 2 * n_pairs - 1, gate, per_tile)
+    values = [r.similarity for r in apart.select("similarity").collect()]  # 2n - 1 rows
+    bound = max(values) if len(values) == 2 * n_pairs - 1 else float("inf")
+    return _distant(index.tiles(need, [], gate, bound, True), need, n_pairs, gate, per_tile)
+
+
+def _distant(laid: DataFrame, need: DataFrame, n_pairs: int, gate: str, per) -> DataFrame:
+    """The greedy list over the pairs of a layout."""
     from pyspark.sql import Window
 
-    need = df.select("category", "ordinal", "word", "visual", "semantic")
     near, bound = 2 * n_pairs, 4 * n_pairs * n_pairs + n_pairs
     word_t, cat_t = (need.schema[c].dataType.simpleString() for c in ("word", "category"))
     schema = f"i bigint, j bigint, sim double, word_i {word_t}, word_j {word_t}, category_i {cat_t}, category_j {cat_t}"
@@ -605,7 +624,7 @@ def distant_pairs(df: DataFrame, n_pairs: int, gate: str = "semantic", rows: int
         return pa.table([i.cast(pa.int64()), j.cast(pa.int64()), pa.array(v), wi, wj, ci, cj],
                         names=["i", "j", "sim", "word_i", "word_j", "category_i", "category_j"])
 
-    edges = T.per_tile(T.self_tiles(need, [], "ordinal", min(rows, 2048)), [], kernel, schema)
+    edges = per(laid, [], kernel, schema)
     # per word at most 2n rows per tile reach this window
     both = edges.select("*", F.explode(F.array("i", "j")).alias("node"))
     w = Window.partitionBy("node").orderBy("sim", "i", "j")
