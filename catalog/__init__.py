@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("vectors", "words", "prompts", "records")
+MODULES = ("vectors", "words", "prompts", "records", "files")
 
 
 def load() -> tuple[dict, dict]:

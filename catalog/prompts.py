@@ -81,28 +81,32 @@ def category_usage(spark, sf):
 # ---- generation ------------------------------------------------------------------------------------
 
 
-def _plan(c: str) -> tuple[list[tuple[str, list[int]]], list[tuple[str, list[int]]], list[str]]:
-    """Slots and draws of one type template, and its literals."""
+def _plan(c: str, words: int | None = None) -> tuple[list[tuple[str, list[int]]], list[tuple[str, list[int]]], list[str]]:
+    """Slots and draws of one type template, and its literals; ``words``: all a category has, to be reused when taken."""
     cats = [(c, 2), ("medium_render", 1), (c, 1), ("subject_form", 1), ("color_logic", 1)]
     draws: list[tuple[str, list[int]]] = []
     slots = []
     for cat, k in cats:
         mine = []
+        taken = [i for i, d in enumerate(draws) if d[0] == cat]
+        if words is not None and len(taken) >= words:
+            taken = []
         for _ in range(k):
-            draws.append((cat, [i for i, d in enumerate(draws) if d[0] == cat]))
+            draws.append((cat, [*taken, *mine]))
             mine.append(len(draws) - 1)
         slots.append((cat, mine))
     return slots, draws, ["", " beside ", ", ", " in ", ", ", " light"]
 
 
-def generated_sql(n: str, body: str) -> str:
-    """Prompts of all type templates by the same arithmetic; ``n`` is a scalar SQL expression."""
+def generated_sql(n: str, body: str, words: int | None = None) -> str:
+    """Prompts of all type templates by the same arithmetic; ``n`` is a scalar SQL expression.  With ``words`` each
+    category has its first so many words only, and gives them again once they are taken."""
     parts = []
     order = sorted(TYPE_CATEGORY)
     negatable = ["color_logic", "light_behavior", "atmosphere_field", "temporal_state", "texture_density", "medium_render"]
     for t, p_type in enumerate(order):
         tid = p_type.lower()
-        slots, draws, lit = _plan(TYPE_CATEGORY[p_type])
+        slots, draws, lit = _plan(TYPE_CATEGORY[p_type], words)
         cols = [f"rank * {len(order)} + {t} AS prompt_no", "rank", "rank AS q0"]
         for j, (cat, skip) in enumerate(draws):
             key = " || '/' || ".join([f"'42/{tid}/{j}'"] + [f"d{i}::VARCHAR" for i in range(j)])
@@ -129,16 +133,19 @@ def generated_sql(n: str, body: str) -> str:
             f'"{c}": [\' || array_to_string(list_transform(list_sort([{", ".join(f"w{j}" for j in by_cat[c])}]), lambda x: \'"\' || x || \'"\'), \', \') || \']' for c in sorted(by_cat)
         )
         against = [f"o{j}" for c in negatable for j in by_cat.get(c, [])]
+        cols.append(" || ';' || ".join(f"'{c}=' || array_to_string([{', '.join(f'w{j}' for j in by_cat[c])}], '|')" for c in sorted(by_cat)) + " AS parts")
+        cols.append(" * ".join(f"m{j}" for j in range(len(draws))) + " AS capacity")
         cols.append(f"'{tid}' AS template_id")
         cols.append(f"{' || '.join(text)} AS positive")
         cols.append(f"concat_ws(', ', {', '.join(against)}, 'low quality', 'blurry', 'text', 'watermark') AS negative")
         cols.append(f"substr(sha256('{{\"c\": {{{canon}}}, \"t\": \"{tid}\"}}'), 1, 16) AS hash")
-        parts.append(f"SELECT prompt_no, rank, template_id, positive, negative, hash FROM (SELECT {', '.join(cols)} FROM (SELECT range AS rank FROM range(0, {n})) CROSS JOIN dims)")
+        parts.append(f"SELECT prompt_no, rank, template_id, positive, negative, hash, parts FROM (SELECT {', '.join(cols)} FROM (SELECT range AS rank FROM range(0, {n})) CROSS JOIN dims) WHERE rank < capacity")
     used_cats = sorted({*TYPE_CATEGORY.values()})
     dims = ", ".join(
         f"count(*) FILTER (category = '{c}') AS n_{c}, list(word ORDER BY ordinal) FILTER (category = '{c}') AS w_{c}, list(opposite ORDER BY ordinal) FILTER (category = '{c}') AS o_{c}" for c in used_cats
     )
-    return f"WITH {COMPONENTS_SQL}, dims AS (SELECT {dims} FROM comp), gen AS ({' UNION ALL '.join(parts)}) {body}"
+    some = "comp" if words is None else f"(SELECT * FROM comp QUALIFY row_number() OVER (PARTITION BY category ORDER BY ordinal) <= {words})"
+    return f"WITH {COMPONENTS_SQL}, dims AS (SELECT {dims} FROM {some}), gen AS ({' UNION ALL '.join(parts)}) {body}"
 
 
 N_PART = "(SELECT count(*) FROM part)"
@@ -185,10 +192,14 @@ def artifact_flags(spark, sf):
     return G.flag_artifacts(_generated(spark, sf)).filter("is_artifact").select("hash", "template_id")
 
 
-@query("reused_words", generated_sql(N_PART, "SELECT prompt_no, template_id, positive FROM gen"))
+@query("reused_words", generated_sql(N_PART, "SELECT prompt_no, template_id, positive FROM gen", words=2))
 def reused_words(spark, sf):
-    """Samples that may reuse words once a category is exhausted; none is here, so no prompt differs."""
-    g = G.generate(type_templates(spark, sf), components(spark, sf), table(spark, sf, "part").count(), reuse=True, leave_missing=True)
+    """Each category has its first two words only, and the templates ask for three or more: the words come again."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("category").orderBy("ordinal"))
+    few = components(spark, sf).withColumn("place", place).filter("place <= 2").drop("place")
+    g = G.generate(type_templates(spark, sf), few, table(spark, sf, "part").count(), reuse=True, leave_missing=True)
     return g.select("prompt_no", "template_id", "positive")
 
 

@@ -154,3 +154,32 @@ def test_distant_pairs_through_cells_equal_the_greedy_list(spark):
     assert [(r.word_a, r.word_b) for r in got] == want
     everything = S.distant_pairs(df.filter("ordinal < 12"), 50, rows=4).count()
     assert everything == S.distant_pairs(df.filter("ordinal < 12"), 50).count()
+
+
+@pytest.mark.parametrize("gate,linkage", [("either_distinct", "min"), ("visual", "max"), ("semantic", "max"), ("joint", "min"), ("gap", "min")])
+def test_lazy_picks_equal_the_walk(spark, gate, linkage):
+    v, s, has = mixed(160, 40)
+    v[10:14] += np.random.default_rng(1).normal(size=(4, 5)) * 0.01  # products of copies may round apart
+    rows = [("ab"[i % 2], i, f"w{i}", v[i], s[i] if has[i] else None) for i in range(160)]
+    df = vector_frame(spark, rows).repartition(4)
+    small = {(r.category, r["rank"]): (r.ordinal, r.similarity) for r in S.diverse_words(df, 9, gate, linkage).collect()}
+    large = {(r.category, r["rank"]): (r.ordinal, r.similarity) for r in S.diverse_words(df, 9, gate, linkage, small=8, rows=16).collect()}
+    assert {k: x[0] for k, x in large.items()} == {k: x[0] for k, x in small.items()} and len(small) == 18
+    assert all(x[1] is None or abs(x[1] - small[k][1]) < 1e-12 for k, x in large.items())
+
+
+def test_lazy_picks_open_few_tiles(spark, monkeypatch):
+    """Linkage by the greatest similarity: clusters that hold a pick cannot win, so their tiles stay closed."""
+    v = clustered(1200, 40, 8, 0.02, 11)
+    df = vector_frame(spark, [("a", i, f"w{i}", v[i], None) for i in range(1200)])
+    seen, plain = [], S.tile_state
+
+    def counted(*args):
+        out = plain(*args)
+        seen.append(out)
+        return out
+
+    monkeypatch.setattr(S, "tile_state", counted)
+    S.diverse_words(df, 15, "visual", "max", small=8, rows=20).count()
+    products = [x.agg({"opened": "sum"}).first()[0] for x in seen]
+    assert products[0] == 1200 and sum(products) <= 0.6 * 15 * 1200, products

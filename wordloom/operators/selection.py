@@ -17,7 +17,7 @@ from ..functions import arrow as A
 from ..functions.vectors import dot, either_distinct, either_similar, joint
 from ..session import cut, grouped, width
 from . import tiles as T
-from .cells import Cells, per_tile
+from .cells import PART_BITS, Cells, per_tile
 from .ordered import dense_index
 
 SMALL_GROUP = 2048  # rows whose full similarity matrix (32 MB) one task holds with ease
@@ -254,61 +254,137 @@ def diverse_words(
 def _diverse_rounds(df, k, gate, linkage, by, alpha, farthest, rows) -> DataFrame:
     """(by, ordinal, rank, similarity) for large groups, all groups advancing together.
 
-    The rows are shuffled once into tiles and cached; each of the k rounds sends the chosen vectors to the
-    tiles, and a tile returns its one best candidate.
+    Lazy greedy: a tile keeps the current score of each of its rows and how many picks they are held against.  The
+    bounds of its cell say how far the picks it has not seen can move its best score, and only tiles that can hold the
+    next pick are opened and held against those picks.  A row meets a pick once at most, so k picks of n rows are at
+    most k * n products.  :func:`tile_state` is one step.
     """
     from .pairs import pair_stats
 
     keys = [*by, "ordinal"]
-    work = df.select(*keys, "visual", "semantic", "_seed")
-    sizes = work.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_tiles"), F.min("ordinal").alias("_first"))
-    base = work.join(sizes, by).withColumn("_tile", F.pmod(F.xxhash64("ordinal"), F.col("_tiles")).cast("int"))
-    base = base.repartition(width(df.sparkSession), *by, "_tile").persist()
+    work = cut(df.select(*keys, "visual", "semantic", "_seed"))
+    index = Cells(work, "ordinal", rows)
+    placed = index.assign(work)
+    sizes = cut(placed.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_parts")))
+    tile = F.shiftleft(F.col("_cell").cast("bigint"), PART_BITS) + F.pmod(F.xxhash64("ordinal"), F.col("_parts"))
+    placed = placed.join(sizes, [*by, "_cell"]).withColumn("_tile", tile)
+    head = _ddl(work, by)
+    packs = cut(grouped(placed.select(*keys, "visual", "semantic", "_cell", "_tile"), [*by, "_tile"]).applyInArrow(_packed(by), f"{head}, _tile bigint, _cell int, ords binary, vis binary, sem binary, has binary"))
     if farthest:
-        low = pair_stats(df, by, [gate], alpha, rows=rows).select(*by, F.array("most_distant.i", "most_distant.j").alias("o"))
+        low = pair_stats(work, by, [gate], alpha, rows=rows).select(*by, F.array("most_distant.i", "most_distant.j").alias("o"))
         start = low.select(*by, F.posexplode("o").alias("p", "ordinal")).select(*by, "ordinal", (F.col("p") + 1).alias("rank"))
-        chosen = base.join(start, keys)
+        chosen = work.join(start, keys)
     else:
-        has_seed = base.groupBy(*by).agg(F.max("_seed").alias("_any"))
-        start = base.join(has_seed, by).filter(F.when(F.col("_any"), F.col("_seed")).otherwise(F.col("ordinal") == F.col("_first")))
+        firsts = work.groupBy(*by).agg(F.max("_seed").alias("_any"), F.min("ordinal").alias("_first"))
+        start = work.join(firsts, by).filter(F.when(F.col("_any"), F.col("_seed")).otherwise(F.col("ordinal") == F.col("_first")))
         from pyspark.sql import Window
 
         chosen = start.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("ordinal")))
     pick_cols = [*keys, "visual", "semantic", "rank", "similarity"]
     chosen = cut(chosen.withColumn("similarity", F.lit(None).cast("double")).select(*pick_cols))
-    fold = np.minimum if linkage == "min" else np.maximum
-
-    def propose(tile: pa.Table, picked: pa.Table) -> pa.Table:
-        block, sel = T.Block(tile), T.Block(picked)
-        free = ~np.isin(block.ordinal, sel.ordinal)
-        cur = None
-        for _, m in T.strips(sel, block, [gate], alpha):  # at most k rows against one tile
-            part = fold.reduce(m[gate], axis=0)
-            cur = part if cur is None else fold(cur, part)
-        t = block.table.select([*keys, "visual", "semantic"])
-        if cur is None or not free.any():
-            return t.slice(0, 0).append_column("similarity", pa.array([], pa.float64()))
-        at = int(np.where(free, cur, np.inf).argmin())
-        return t.slice(at, 1).append_column("similarity", pa.array([float(cur[at])]))
-
-    schema = f"{_ddl(df, [*keys, 'visual', 'semantic'])}, similarity double"
-    spread = cut(sizes.select(*by, F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_tile")))
+    vec = "array<double>"
+    none = {"cur": "binary", "best": "double", "ordinal": "bigint", "visual": vec, "semantic": vec, "least": "double", "most": "double"}
+    state = packs.select(*by, "_tile", "_cell", *[F.lit(None).cast(x).alias(c) for c, x in none.items()], F.lit(0).alias("seen"))
     while True:  # at most k rounds: each gives every group that is still short of k its next word
+        state = cut(tile_state(index, state, packs, chosen, k, gate, linkage, by, alpha))
         had = chosen.groupBy(*by).agg(F.max("rank").alias("r")).filter(F.col("r") < k)
-        short = chosen.join(had.drop("r"), by, "left_semi")
-        to_tiles = _renewed(short.join(spread, by).select(*by, "_tile", "ordinal", "visual", "semantic"))
-        best = base.drop("_seed", "_first", "_tiles").groupBy(*by, "_tile").cogroup(to_tiles.groupBy(*by, "_tile")).applyInArrow(propose, schema)
-        won = best.groupBy(*by).agg(
-            F.min_by(F.struct("ordinal", "visual", "semantic", "similarity"), F.struct("similarity", "ordinal")).alias("w")
-        )
-        new = cut(won.join(had, by).select(*by, "w.ordinal", "w.visual", "w.semantic", (F.col("r") + 1).alias("rank"), "w.similarity"))
+        won = state.filter("exact").groupBy(*by).agg(F.min_by(F.struct("ordinal", "visual", "semantic", "best"), F.struct("best", "ordinal")).alias("w"))
+        new = cut(won.join(had, by).select(*by, "w.ordinal", "w.visual", "w.semantic", (F.col("r") + 1).alias("rank"), F.col("w.best").alias("similarity")).select(*pick_cols))
         if new.isEmpty():
             break
-        chosen = cut(chosen.unionByName(new.select(*pick_cols)))
-    base.unpersist()
+        chosen = chosen.unionByName(new)
+        state = state.drop("exact", "opened")
     return chosen.select(*keys, "rank", "similarity")
 
 
+def _packed(by: list[str]):
+    """One row for a tile, its rows in the order of their ordinals."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        t = table.sort_by("ordinal").combine_chunks()
+        v, _ = A.matrix(t.column("visual"))
+        s, has = A.matrix(t.column("semantic"))
+        blobs = [A.column(t, "ordinal").astype(np.int64), v, np.zeros(0) if s is None else s, has]
+        return pa.table(
+            [*[t.column(c).slice(0, 1) for c in by], t.column("_tile").slice(0, 1), t.column("_cell").slice(0, 1), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in blobs]],
+            names=[*by, "_tile", "_cell", "ords", "vis", "sem", "has"],
+        )
+
+    return pack
+
+
+def tile_state(index: Cells, state: DataFrame, packs: DataFrame, chosen: DataFrame, k: int, gate: str, linkage: str, by: list[str], alpha: float) -> DataFrame:
+    """The tiles' state after the last pick of each group of fewer than ``k``: ``exact`` tells that ``best`` holds for
+    all picks, ``opened`` how many products this step took.
+
+    ``best`` of a tile that has not seen all picks is bounded by the ``least`` and ``most`` similarity that its cell can
+    have with those; null, where its own best row was picked, it says nothing.
+    """
+    held = state.sparkSession.sparkContext.broadcast(index.balls)
+    fold = F.least if linkage == "min" else F.greatest
+
+    def reach(batches):
+        for b in batches:
+            if b.num_rows:
+                vectors = {s: A.matrix(b.column(b.schema.get_field_index(s))) for s in ("visual", "semantic")}
+                low, high = held.value.bounds(vectors, gate, alpha)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], A.lists(low), A.lists(high)], [*b.schema.names[:-2], "lows", "highs"])
+
+    # one row a group: its picks, k at most, the last one, and how similar the rows of each cell can be to that
+    one_pick = F.struct("rank", F.col("ordinal").alias("o"), F.col("visual").alias("v"), F.col("semantic").alias("s"))
+    last = chosen.groupBy(*by).agg(F.collect_list(one_pick).alias("picks"), F.max("rank").alias("_r"), F.max_by(F.struct("ordinal", "visual", "semantic"), "rank").alias("p"))
+    last = last.filter(F.col("_r") < k).select(*by, "picks", F.col("p.ordinal").alias("gone"), F.col("p.visual").alias("visual"), F.col("p.semantic").alias("semantic"))
+    groups = cut(last.mapInArrow(reach, f"{_ddl(last, [*by, 'picks', 'gone'])}, lows array<double>, highs array<double>"))
+    rows = state.join(_renewed(groups.drop("picks")), by)
+    low, high = F.get("lows", F.col("_cell")), F.get("highs", F.col("_cell"))
+    rows = rows.withColumns({
+        "best": F.when(F.col("gone") == F.col("ordinal"), F.lit(None).cast("double")).otherwise(F.col("best")),
+        "least": F.coalesce(fold("least", low), low), "most": F.coalesce(fold("most", high), high),
+    })
+    # a free row of the tile scores ``best`` now; unseen picks fold between ``least`` and ``most`` into it
+    rows = rows.withColumns({"floor": fold("best", "least"), "ceiling": fold("best", "most")})
+    limit = rows.filter("best is not null").groupBy(*by).agg(F.min("ceiling").alias("limit"))
+    rows = rows.join(limit, by, "left").withColumn("open", F.col("best").isNull() | F.col("limit").isNull() | (F.col("floor") <= F.col("limit")))
+    keep = [*by, "_tile", "_cell", "cur", "best", "ordinal", "visual", "semantic", "least", "most", "seen"]
+    rows = rows.select(*keep, "open")
+    todo = rows.filter("open").select(*by, "_tile", "_cell", "cur", "seen").join(packs.drop("_cell"), [*by, "_tile"]).join(groups.select(*by, "picks"), by)
+    todo = todo.repartition(width(state.sparkSession), *by, "_tile")
+    minimum = linkage == "min"
+
+    def step(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                yield one(b.slice(r, 1))
+
+    def one(b):
+        get = lambda c: b.column(b.schema.get_field_index(c))[0]
+        raw = lambda c, kind: np.frombuffer(get(c).as_buffer(), kind)
+        picks = sorted(get("picks").as_py(), key=lambda p: p["rank"])
+        ords, has = raw("ords", np.int64), raw("has", bool)
+        m = len(ords)
+        v, s = raw("vis", np.float64).reshape(m, -1), raw("sem", np.float64)
+        s = s.reshape(m, -1) if len(s) else None
+        seen = get("seen").as_py()
+        cur = raw("cur", np.float64).copy() if get("cur").is_valid else None
+        for p in picks[seen:]:
+            x = v @ np.array(p["v"])
+            y = np.where(has, s @ np.array(p["s"]), x) if s is not None and p["s"] is not None else x
+            sim = {"visual": x, "semantic": y, "joint": alpha * x + (1.0 - alpha) * y, "either_similar": np.maximum(x, y), "either_distinct": np.minimum(x, y), "gap": x - y}[gate]
+            cur = sim if cur is None else (np.minimum if minimum else np.maximum)(cur, sim)
+        free = ~np.isin(ords, [p["o"] for p in picks])
+        at = int(np.where(free, cur, np.inf).argmin()) if free.any() else None
+        best = [None, None, None, None] if at is None else [float(cur[at]), int(ords[at]), v[at].tolist(), s[at].tolist() if has[at] else None]
+        types = [pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        cols = [b.column(b.schema.get_field_index(c)) for c in (*by, "_tile", "_cell")]
+        cols += [pa.array([cur.tobytes()], pa.binary()), *[pa.array([x], t) for x, t in zip(best, types, strict=True)]]
+        cols += [pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), pa.array([len(picks)], pa.int32()), pa.array([True]), pa.array([m * (len(picks) - seen)])]
+        return pa.RecordBatch.from_arrays(cols, [*keep, "exact", "opened"])
+
+    schema = f"{_ddl(state, by)}, _tile bigint, _cell int, cur binary, best double, ordinal bigint, visual array<double>, semantic array<double>, least double, most double, seen int, exact boolean, opened bigint"
+    opened = todo.mapInArrow(step, schema).filter("best is not null")  # a tile without a free row has no part any more
+    return rows.filter("not open").select(*keep, F.lit(False).alias("exact"), F.lit(0).cast("bigint").alias("opened")).unionByName(opened)
+
+
 def elbow(
     df: DataFrame,
     max_k: int | None = None,

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import fresh_path
+from ..session import cut, fresh_path
 
 # Categories whose words may carry an opposite, in the order opposites are listed.
 NEGATABLE = (
@@ -88,6 +88,66 @@ def read_templates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _documents(spark, paths).mapInPandas(parse, TEMPLATES)
 
 
+def write_pool_files(components: DataFrame, folder: str) -> DataFrame:
+    """One YAML file for each pool in ``folder``, as :func:`read_pools` takes them; returns (pool, path, words).
+
+    ``components`` has pool, category, ordinal, word and opposite.  Categories stand in the order of their names, words
+    in theirs.  A file is written as its rows come, so a pool of any size takes no memory; a task that runs again writes
+    a file of the same name and content.
+    """
+    rows = components.select("pool", "category", "ordinal", "word", "opposite")
+    dealt = rows.repartition("pool").sortWithinPartitions("pool", "category", "ordinal")
+
+    def write(batches):
+        import json
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(folder)
+        system.create_dir(inner, recursive=True)
+        out, pool, category, done, n = None, None, None, [], 0
+        for b in batches:
+            for p, c, w, o in zip(*(b.column(x).to_pylist() for x in (0, 1, 3, 4)), strict=True):
+                if out is None or p != pool:
+                    if out is not None:
+                        out.close()
+                        done.append((pool, n))
+                    out, pool, category, n = system.open_output_stream(f"{inner}/{p}.yaml"), p, None, 0
+                    out.write(b"components:\n")
+                if c != category:
+                    out.write(f"  {json.dumps(c)}:\n".encode())
+                    category = c
+                out.write(f"    - word: {json.dumps(w)}\n      opposite: {json.dumps(o)}\n".encode())
+                n += 1
+        if out is not None:
+            out.close()
+            done.append((pool, n))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in done], pa.string()), pa.array([f"{folder}/{x}.yaml" for x, _ in done], pa.string()), pa.array([m for _, m in done], pa.int64())],
+            ["pool", "path", "words"],
+        )
+
+    return cut(dealt.mapInArrow(write, "pool string, path string, words bigint"))
+
+
+def write_template_files(templates: DataFrame, folder: str, files: int = 1) -> None:
+    """YAML files of templates, as :func:`read_templates` takes them: a JSON list is YAML, and so is one line of it."""
+    one = F.to_json(F.struct("id", "structure", "required_components", F.coalesce("notes", F.lit("")).alias("notes")))
+    def headed(batches):
+        import pyarrow as pa
+
+        first = True
+        for b in batches:
+            if b.num_rows and first:
+                yield pa.RecordBatch.from_arrays([pa.array(["templates:"])], ["value"])
+                first = False
+            yield b
+
+    lines = templates.repartition(files, "id").select(F.concat(F.lit("- "), one).alias("value"))
+    lines.mapInArrow(headed, "value string").write.text(folder)
+
+
 def only(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     """Rows of the named values; an error when none of them exists."""
     kept = df.filter(F.col(column).isin(*names))
