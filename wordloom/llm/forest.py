@@ -52,7 +52,7 @@ CLASS_STEPS = 2
 FLUSH, PART, CELL = 1 << 20, 1 << 20, 1 << 14
 #: Pairs that a task holds before it hands them on; bytes of texts confirmed at once.
 HELD, CONFIRM = 1 << 20, 2 << 20
-#: Bits of a set's parities: each shingle flips one, so sets differ by at least as many shingles as bits.
+#: Least bits of a set's parities: each shingle flips one, so sets differ by at least as many shingles as bits.
 PARITY_BITS = 1024
 #: The same folded, for rows that meet at a shingle: a pair's parities are compared there before it is made.
 FOLDED = 512
@@ -63,8 +63,8 @@ SHARED_BITS = 24
 def _hashes() -> tuple[np.ndarray, np.ndarray]:
     def make():
         rng = np.random.default_rng(5)
-        draw = lambda: rng.integers(1, 2**63, VALUES, dtype=np.uint64)
-        return draw() | np.uint64(1), draw()
+        draw = lambda: rng.integers(1, 2**32, VALUES, dtype=np.uint32)
+        return draw() | np.uint32(1), draw()
 
     return once("forest-hashes", make)
 
@@ -131,16 +131,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def signature(s: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set, a stretch of the set at a time."""
     a, b = _hashes()
-    least = np.full(VALUES, 2**32 - 1, np.uint64)
-    for at in range(0, len(s), 4096):
-        np.minimum(least, ((s[at : at + 4096, None] * a + b) >> np.uint64(32)).min(0), out=least)
-    return least.astype(np.uint32)
+    least, half = np.full(VALUES, 2**32 - 1, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(half), 1024):
+        np.minimum(least, (half[at : at + 1024, None] * a + b).min(0), out=least)
+    return least
 
 
 def parity(s: np.ndarray) -> bytes:
-    """Of each slot, whether an odd number of the set's shingles fall in it."""
-    slots = np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS)
-    return np.packbits((slots & 1).astype(bool)).tobytes()
+    """Of each slot, whether an odd number of the set's shingles fall in it: four slots a shingle or more."""
+    n = PARITY_BITS
+    while n < 4 * len(s):
+        n *= 2
+    slots = np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return np.packbits((slots & 1).astype(bool), bitorder="little").tobytes()
+
+
+def fold(parity: bytes, size: int) -> np.ndarray:
+    """A parity of ``size`` bits from a longer one: slots whose numbers differ by a multiple of it are one."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, size // 64), axis=0)
 
 
 def _levels(df: DataFrame, id_col: str, text_col: str) -> tuple[bytes, bytes]:
@@ -511,23 +519,36 @@ def _folded(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1, FOLDED // 8)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x.tobytes() for x in np.bitwise_xor.reduce(bits, axis=1)], pa.binary())], b.schema.names)
+            short = [fold(x, FOLDED).tobytes() for x in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(short, pa.binary())], b.schema.names)
 
     return rows.mapInArrow(run, "node long, component long, n_shingles long, prefix binary, parity binary")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that do not differ in more parities than similar sets differ in shingles."""
-    one = sets.groupBy("node").agg(F.first(F.struct("n_shingles", "parity")).alias("s"))
-    side = lambda c: one.select(F.col("node").alias(c), F.col("s.n_shingles").alias(f"n{c}"), F.col("s.parity").alias(f"p{c}"))
+    """The pairs that do not differ in more parities than similar sets differ in shingles: by ``PARITY_BITS`` slots
+    first, and those that are left by as many as the smaller set has."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([fold(x, PARITY_BITS).tobytes() for x in b.column(2).to_pylist()], pa.binary())], b.schema.names)
+
+    one = sets.select("node", "n_shingles", "parity")
+    brief = one.mapInArrow(short, "node long, n_shingles long, parity binary")
+    return _apart(written(_apart(pairs, brief, percent), "alike"), one, percent)
+
+
+def _apart(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.column(2).to_numpy(zero_copy_only=False) + b.column(3).to_numpy(zero_copy_only=False)
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64) for c in (4, 5))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            differ = np.zeros(b.num_rows, np.int64)
+            for r, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                size = 8 * min(len(x), len(y))
+                differ[r] = int.from_bytes((fold(x, size) ^ fold(y, size)).tobytes(), "little").bit_count()
             yield b.filter(pa.array(differ <= n - 2 * _least(n, percent, 100 + percent))).select(["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -615,7 +636,7 @@ def _grouped(df: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
     nodes = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    own = sigs.where("prefix IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("long").alias("node"), "n_shingles", "prefix", "parity")
+    own = sigs.where("prefix IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("long").alias("node"), "n_shingles", "prefix", "parity").dropDuplicates(["node"])
     prefixes = written(_folded(nodes.join(own, "node").select("node", "component", "n_shingles", "prefix", "parity")), "prefixes")
     total = prefixes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     shared = written(_shared(prefixes, percent, max(n, total // (8 * PART) + 1), n), "shared")
