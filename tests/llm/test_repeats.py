@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import random
 import re
 
@@ -30,6 +31,7 @@ def check(spark, rows, window):
         assert r.doc_id == rows[k][0] and (r.n_words, r.n_removed) == (n, len(gone)), k
         assert [i for s in r.spans for i in range(s.start, s.end)] == gone
         assert (r.kept == kept) if gone else r.kept is None
+        assert r.kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
 @pytest.mark.parametrize("window", [1, 3, 7, 8, 9, 35])

@@ -188,9 +188,7 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the windows of 35 words that begin elsewhere too."""
-    docs = table(spark, sf_dir, "documents").withColumn("whole", F.sha2(repeats.plain_text(F.col("text")), 256))
-    rows = repeats.repeats(docs, carry=["whole"])
-    return rows.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept", 256), "whole").alias("kept_sha256"))
+    return repeats.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query(

@@ -46,6 +46,11 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), np.searchsorted(doc, np.arange(len(texts) + 1), "left")
 
 
+def joined(texts: pa.Array) -> pa.Array:
+    """Each text's words joined by one space."""
+    return pc.utf8_trim(pc.replace_substring_regex(texts, SPACE, " "), " ")
+
+
 def hashes(flat: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word."""
     coded = pc.dictionary_encode(flat)
@@ -184,7 +189,7 @@ def _pieces(fragments: DataFrame) -> DataFrame:
 
 
 def _read(held: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
-    """(base, key, copies, n_words, spans, kept, marks): each text without the words of its pieces, and the pieces with
+    """(base, key, copies, spans, kept, marks): each text without the words of its pieces, and the pieces with
     digests of their words."""
     lists = pieces.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "hbase", "hpos"))).alias("list"))
     rows = held.select("base", "key", "copies", "text").join(lists, "base")
@@ -193,14 +198,12 @@ def _read(held: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text"):
-            flat, starts = words(b.column(3))
-            size = pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
-            lists, out = b.column(4).to_pylist(), []
+            plain, lists, out = joined(b.column(3)), b.column(4).to_pylist(), []
             for r, found in enumerate(lists):
-                lo, hi = int(starts[r]), int(starts[r + 1])
-                whole = b" ".join(flat.slice(lo, hi - lo).cast(pa.binary()).to_pylist())
-                at = np.append(0, np.cumsum(size[lo:hi] + 1))
-                cover, marks = np.zeros(hi - lo + 1, np.int64), []
+                whole = plain[r].as_buffer().to_pybytes()
+                at = np.concatenate([[0], np.flatnonzero(np.frombuffer(whole, np.uint8) == 32) + 1, [len(whole) + 1]])
+                n = len(at) - 1
+                cover, marks = np.zeros(n + 1, np.int64), []
                 for p in found:
                     i, j = p["pos"], p["pos"] + p["n"] + window - 1
                     cover[i] += 1
@@ -210,14 +213,14 @@ def _read(held: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
                 gone = np.append(np.cumsum(cover)[:-1] > 0, False)
                 edge = np.flatnonzero(np.diff(np.append(False, gone).astype(np.int8)))
                 spans = [{"start": int(i), "end": int(j)} for i, j in zip(edge[::2], edge[1::2], strict=True)]
-                stays = [0, *(x for s in spans for x in (s["start"], s["end"])), hi - lo]
+                stays = [0, *(x for s in spans for x in (s["start"], s["end"])), n]
                 kept = b" ".join(whole[at[i] : at[j] - 1] for i, j in zip(stays[::2], stays[1::2], strict=True) if j > i)
-                out.append((hi - lo, spans, kept, marks))
-            n_words, spans, kept, marks = zip(*out, strict=True)
-            cols = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(marks, pa.list_(mark))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], ["base", "key", "copies", "n_words", "spans", "kept", "marks"])
+                out.append((spans, kept, marks))
+            spans, kept, marks = zip(*out, strict=True)
+            cols = [pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(marks, pa.list_(mark))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], ["base", "key", "copies", "spans", "kept", "marks"])
 
-    schema = "base long, key binary, copies long, n_words long, spans array<struct<start:long,end:long>>, kept string, marks array<struct<pos:long,n:long,hbase:long,hpos:long,d1:long,d2:long>>"
+    schema = "base long, key binary, copies long, spans array<struct<start:long,end:long>>, kept string, marks array<struct<pos:long,n:long,hbase:long,hpos:long,d1:long,d2:long>>"
     return rows.select("base", "key", "copies", "text", "list").mapInArrow(run, schema)
 
 
@@ -241,12 +244,12 @@ def _verified(read: DataFrame, held: DataFrame, pieces: DataFrame, window: int)
 
 
 def repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``id_col``, n_words, n_removed, spans, kept[, ``carry``]: one row for each row of ``df``.
+    """``id_col``, n_words, n_removed, spans, kept, kept_sha256[, ``carry``]: one row for each row of ``df``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  A window is ``window`` neighbouring words of one text; every word of
     a window whose words also begin anywhere else, in the same text too, is removed.  ``spans`` are the removed stretches
     of words (from 0, end exclusive), ``kept`` the other words joined by one space, null where nothing goes and the text
-    stands.  All is judged on the input.  Rows are texts, whatever their ids: null ids and rows repeated with an id count
+    stands; ``kept_sha256`` is the digest of the kept words joined by one space in either case.  All is judged on the input.  Rows are texts, whatever their ids: null ids and rows repeated with an id count
     as they stand, so a row that is there twice loses all words that windows cover.  A null text has no words; texts of
     fewer than ``window`` words lose none; an empty table gives no rows.  Columns other than the id, the text and those
     named in ``carry`` stay behind; those of ``carry`` must not be named like the columns returned.
@@ -272,16 +275,23 @@ def repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     pieces = written(_pieces(fragments), "pieces")
     read = written(_read(held, pieces, window), "read")
     read = _verified(read, held, pieces, window).select("key", "spans", "kept").where("size(spans) > 0")
-    plain = F.trim(F.regexp_replace("text", SPACE, " "))
-    rows = df.select(df[id_col].alias("i"), key.alias("key"), text.alias("text"), *[df[c].alias(f"carry_{c}") for c in carry or ()])
-    n_words = F.when(plain == "", F.lit(0)).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("long")
-    counted = rows.withColumn("n_words", n_words).drop("text")
+    own = F.struct(df[id_col].alias("i"), *[df[c].alias(f"carry_{c}") for c in carry or ()])
+    counted = _whole(df.select(own.alias("own"), key.alias("key"), text.alias("text"))).select("own.*", "key", "n_words", "whole")
     out = counted.join(written(read, "removed"), "key", "left")
     gone = F.coalesce(F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)"), F.lit(0)).cast("long")
     none = F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)")
-    return out.select(F.col("i").alias(id_col), "n_words", gone.alias("n_removed"), F.coalesce("spans", none).alias("spans"), "kept", *[F.col(f"carry_{c}").alias(c) for c in carry or ()])
+    digest = F.coalesce(F.sha2("kept", 256), "whole").alias("kept_sha256")
+    return out.select(F.col("i").alias(id_col), "n_words", gone.alias("n_removed"), F.coalesce("spans", none).alias("spans"), "kept", digest, *[F.col(f"carry_{c}").alias(c) for c in carry or ()])
+
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """(own, key, n_words, whole): how many words each text has, and the digest of all of them joined by one space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, "text"):
+            plain = joined(b.column(2))
+            n = pc.if_else(pc.equal(plain, ""), 0, pc.add(pc.count_substring(plain, " "), 1)).cast(pa.int64())
+            whole = [hashlib.sha256(x.as_buffer()).hexdigest() for x in plain]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, pa.array(whole)], ["own", "key", "n_words", "whole"])
 
-def plain_text(text):
-    """The words of a column of texts joined by one space, as ``kept`` has them; of null, an empty text."""
-    return F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, " "))
+    return rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, key binary, n_words long, whole string")
