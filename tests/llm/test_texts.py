@@ -176,9 +176,19 @@ def test_leaks_in_tables(spark, odd, none):
     assert sorted(r.doc_id for r in decontaminate.clean(rows, bench).collect()) == [2, 4]
     assert decontaminate.clean(rows, bench).columns == rows.columns
     assert decontaminate.clean(rows, bench.limit(0)).count() == rows.count()
+    assert decontaminate.pairs(rows, bench.where("item_id = 4")).count() == 0
     assert decontaminate.pairs(none, bench).count() == 0 and decontaminate.clean(odd, bench).count() == odd.count()
 
 
+def test_short_items_stand_between_word_borders(spark):
+    bench = spark.createDataFrame([(1, "Forty-two"), (2, "no"), (3, "\u65e5\u672c")], "item_id long, text string")
+    texts = ["it is forty-two.", "forty-twos", "known", "No!", "\u4eca\u65e5\u672c\u5f53", "xno no", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.pairs(rows, bench).collect()}
+    assert got == {(0, 1), (3, 2), (4, 3), (5, 2)}
+    assert decontaminate.clean(rows, bench).count() == 7 and decontaminate.clean(rows, bench, least=2).count() == 3
+
+
 def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     bench = spark.createDataFrame([(k, f"item number {k} has letters enough {k * 7919}") for k in range(40)], "item_id long, text string")
     rows = spark.createDataFrame([(k, f"x item number {k} has letters enough {k * 7919} y") for k in range(40)], "doc_id long, text string")
@@ -210,9 +220,12 @@ def test_held_out_documents_are_told_apart(spark, module, label, held, least):
 def test_samples_are_bounded_and_leave_held_out_rows(spark):
     all_ = docs(spark)
     labels = all_.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("y")).union(spark.createDataFrame([(None, 1), (1, None), (2, 7)], "doc_id long, y int"))
-    rows = labelled(all_, labels, "y", ~held_out(F.col("doc_id"), 4, 2), 20, 50)
-    assert len(rows) == 40 and sum(y for _, y in rows) == 20 and max(len(t) for t, _ in rows) <= 50
-    assert rows == labelled(all_, labels, "y", ~held_out(F.col("doc_id"), 4, 2), 20, 50)
+    rows = labelled(all_, labels, "y", ~held_out(F.col("doc_id"), 4, 2), 20)
+    whole = {r.text for r in all_.collect()}
+    assert len(rows) == 40 and sum(y for _, y in rows) == 20 and {t for t, _ in rows} <= whole
+    assert rows == labelled(all_, labels, "y", ~held_out(F.col("doc_id"), 4, 2), 20)
+    often = spark.createDataFrame([(1, f"text {k}") for k in range(500)], "doc_id long, text string")
+    assert len(labelled(often, labels.where("doc_id = 1 OR doc_id = 3"), "y", F.lit(True), 20)) == 20
 
 
 @pytest.mark.parametrize("module", [compression, convnet])

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, flat_ranges, two
+from .common import bounded, flat_ranges, once, two
 from .tokens import TOKEN_BATCH, Words
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,11 +56,14 @@ class Vocabulary:
         self.kept: dict[str, list[int]] = {}
 
     @staticmethod
-    @lru_cache(maxsize=4)
     def load(path: str) -> Vocabulary:
         """From a rank file; once per path and process."""
-        with open(path, "rb") as f:
-            return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+
+        def read() -> Vocabulary:
+            with open(path, "rb") as f:
+                return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+
+        return once(f"bpe-vocabulary-{path}", read)
 
     def _follows(self, a: int, b: int) -> bool:
         """Undo the merges beside the border, latest first; a pair that would have merged before one of them is none."""
@@ -205,10 +207,12 @@ class Table:
         self.bytes = np.frombuffer(b"".join(table[k] for k in sorted(table)), np.uint8)
 
     @staticmethod
-    @lru_cache(maxsize=4)
     def load(path: str) -> Table:
-        with open(path, "rb") as f:
-            return Table({int(b): base64.b64decode(a) for a, b in map(bytes.split, f)})
+        def read() -> Table:
+            with open(path, "rb") as f:
+                return Table({int(b): base64.b64decode(a) for a, b in map(bytes.split, f)})
+
+        return once(f"bpe-table-{path}", read)
 
     def decode(self, column: pa.Array) -> pa.Array:
         """Bytes for each packed value; null for null."""

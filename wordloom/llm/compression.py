@@ -13,10 +13,10 @@ last, nearest to the window, until every such 5-gram is covered.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +24,14 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, two
+from .common import bounded, once
 from .samples import held_out, labelled, logistic, sigmoid
 
 WINDOW, GRAM = 10, 5
 #: A 5-gram is toxic if this share of toxic texts has it, this many times the share of ordinary texts; bytes of a span.
 SHARE, TIMES, LONGEST = 0.03, 15.0, 24
-#: Bytes of the contents; labelled texts of each class; characters of each of them.
-ORDINARY_BYTES, TOXIC_BYTES, PER_CLASS, CHARS = 16_384, 4_096, 3_000, 20_000
+#: Bytes of the contents; labelled texts of each class, whole.
+ORDINARY_BYTES, TOXIC_BYTES, PER_CLASS = 16_384, 4_096, 3_000
 #: A window counts as a hit from this saving on; texts count as toxic from this score on.
 SAVED, CUT = 2, 0.3
 
@@ -134,9 +134,8 @@ class Scorer:
         return [float(top[0]), float(top.sum()), float(np.log1p(hits)), 10.0 * hits / len(d), float(np.log1p(len(d))), float(np.log1p((d >= SAVED + 2).sum()))]
 
 
-@lru_cache(maxsize=4)
 def _scorer(ordinary: bytes, toxic: bytes) -> Scorer:
-    return Scorer(ordinary, toxic)
+    return once(f"toxicity-{hashlib.sha256(ordinary + b'/' + toxic).hexdigest()}", lambda: Scorer(ordinary, toxic))
 
 
 def _contents(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
@@ -144,14 +143,14 @@ def _contents(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     said = [w for t in ordinary for w in windows(t)]
     try:
-        base = zs.train_dictionary(ORDINARY_BYTES, said[:: max(1, len(said) // 40_000)]).as_bytes()
+        base = zs.train_dictionary(ORDINARY_BYTES, said).as_bytes()
     except zs.ZstdError:  # too few samples to train on
         base = b"".join(said)[-ORDINARY_BYTES:]
     return base, _content(toxic, ordinary) if toxic else b""
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """From (text, label) rows.  Each half's texts are scored with contents from the other half, which calibrates on
+def fit(rows: list[tuple[str, int]], share: float | None = None) -> Model:
+    """From (text, label) rows; ``share`` is label 1's share of the corpus, that of the rows unless given.  Each half's texts are scored with contents from the other half, which calibrates on
     texts that the contents have not seen; the model's contents come from all.  Without both classes the score is near
     the share of toxic rows."""
     if not rows:
@@ -164,15 +163,19 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         y += [v for _, v in mine]
     x, y = np.array(x), np.array(y, float)
     base, more = _contents(rows)
-    # Classes are sampled alike; weights undo that with the usual odds of one toxic text in ten.
-    n = np.where(y == 1, 0.1 / max(y.mean(), 1e-9), 0.9 / max(1 - y.mean(), 1e-9))
+    # Classes are sampled alike; weights undo that with the odds of all labels.
+    share = y.mean() if share is None else share
+    n = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     return Model(base, more, tuple(logistic(x, y, n).tolist()))
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int = 4, rest: int = 2, per_class: int = PER_CLASS, chars: int = CHARS, id_col: str = "doc_id") -> Model:
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int = 4, rest: int = 2, per_class: int = PER_CLASS, id_col: str = "doc_id") -> Model:
     """A model from labelled documents whose crc32 does not leave ``rest``.  The sample is at most ``per_class`` texts
-    of each class and ``chars`` characters of each; it is the same at every size of the tables."""
-    return fit(labelled(documents, labels, label, ~held_out(F.col(id_col), divisor, rest), per_class, chars, id_col))
+    of each class, whole; it is the same at every size of the tables.  The classes' odds are those of all labels that
+    are not held out."""
+    keep = ~held_out(F.col(id_col), divisor, rest)
+    share = labels.where(keep & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
+    return fit(labelled(documents, labels, label, keep, per_class, id_col), share)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,8 +20,8 @@ from .samples import held_out, labelled, sigmoid
 
 SIZE, WIDTH, STRIDE, FILTERS, HIDDEN, HALF = 6, 8, 2, 24, 16, 256
 PAD = 256
-#: Bytes convolved at once; labelled texts of each class; characters of each; passes over them; cut of the score.
-BLOCK, PER_CLASS, CHARS, EPOCHS, CUT = 1 << 19, 1_500, 4_000, 12, 0.3
+#: Bytes convolved at once; labelled texts of each class, whole; passes over them; cut of the score.
+BLOCK, PER_CLASS, EPOCHS, CUT = 1 << 19, 1_500, 12, 0.3
 
 
 @dataclass(frozen=True)
@@ -159,12 +159,12 @@ def fit(rows: list[tuple[str, int]], share: float | None = None, epochs: int = E
     return net
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 5, rest: int = 0, per_class: int = PER_CLASS, chars: int = CHARS, id_col: str = "doc_id") -> Net:
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 5, rest: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id") -> Net:
     """A net from labelled documents whose crc32 does not leave ``rest``: at most ``per_class`` texts of each class and
-    ``chars`` characters of each, the same at every size of the tables."""
+    each of them whole, the same at every size of the tables."""
     keep = ~held_out(F.col(id_col), divisor, rest)
     share = labels.where(keep & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
-    return fit(labelled(documents, labels, label, keep, per_class, chars, id_col), share)
+    return fit(labelled(documents, labels, label, keep, per_class, id_col), share)
 
 
 def score(df: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

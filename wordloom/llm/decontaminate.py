@@ -7,6 +7,7 @@ place by Myers' bit-parallel edit distance.  Nothing within the budget is missed
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, once
 
-#: Edits for each character; items shorter than this are no evidence and are not searched; bytes of items in a block.
+#: Edits for each character; an item of fewer characters must stand between word borders, and :func:`clean` does not drop
+#: a text for it alone; bytes of items in a block.
 RATE, LEAST, BLOCK_BYTES = 0.05, 20, 4 << 20
 
 
@@ -73,6 +75,11 @@ class Pattern:
         return d, start + to - n, start + to
 
 
+def _inside(text: str, at: int) -> bool:
+    """Does a place lie within a word?  Scripts without spaces have no such places."""
+    return 0 < at < len(text) and all(c.isalnum() and ord(c) < 0x2E80 for c in text[at - 1 : at + 1])
+
+
 @dataclass
 class Items:
     """The items of one block, as the tasks get them."""
@@ -107,8 +114,11 @@ class Items:
         out = []
         for k, begins in tried.items():
             p = self.patterns[k]
-            best, until = None, -1
+            best = None
             begins.sort()
+            if p.m < LEAST:  # no edits: its one piece is all of it
+                best = next(((0, a, a + p.m) for a in begins if not _inside(text, a) and not _inside(text, a + p.m)), None)
+                begins = []
             i = 0
             while i < len(begins):
                 # Neighbouring beginnings share a window.
@@ -132,7 +142,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, rate: float) -> It
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
         texts = sorted((normal(r["t"]), r["i"]) for r in part if r["i"] is not None) + sorted((normal(r["t"]), None) for r in part if r["i"] is None)
-        texts = [(t, i) for t, i in texts if len(t) >= LEAST]
+        texts = [(t, i) for t, i in texts if t]
         yield Items([i for _, i in texts], [t for t, _ in texts], rate)
 
 
@@ -140,7 +150,8 @@ def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: s
     """The rows of ``df`` as a struct ``row``, and ``leaks``: array of (item, distance, start, end), empty for clean rows.
 
     Start and end are places in the text in lower case with single spaces.  Whole texts are searched; a null text has
-    no leaks; null and repeated items are items, items under ``LEAST`` characters none; repeated rows are judged alike.
+    no leaks; null and repeated items are items, empty ones none; items under ``LEAST`` characters are found where they stand
+    exactly, between word borders; repeated rows are judged alike.
     With an empty benchmark all leaks are empty.  One pass over the texts for each block of items; no shuffle.
     """
     out = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
@@ -149,7 +160,7 @@ def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: s
     spark = df.sparkSession
     out = out.select("row", "text", F.array().cast(leaks).alias("leaks"))
     for items in _blocks(benchmark, item_id, item_text, rate):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast((os.urandom(12).hex(), items.ids, items.texts, items.rate))
         step = out.mapInArrow(_search(shared), f"row {kind}, text string, leaks {leaks}")
         out = step
     return out.select("row", "leaks")
@@ -157,8 +168,14 @@ def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: s
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        items.build()
+        tag, *parts = shared.value
+        slot = once("leak-items", dict)  # one automaton a worker, not one a task
+        if slot.get("tag") != tag:
+            slot.clear()
+            items = Items(*parts)
+            items.build()
+            slot.update(tag=tag, items=items)
+        items = slot["items"]
         for b in bounded(batches, "text"):
             before, more = b.column(2).to_pylist(), []
             for text, had in zip(b.column(1).to_pylist(), before, strict=True):
@@ -175,6 +192,8 @@ def pairs(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) ->
     return hit.select(F.col(f"row.{id_col}").alias(id_col), F.inline("leaks")).withColumnRenamed("item", "item_id")
 
 
-def clean(df: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``df`` that hold no item, with all their columns."""
-    return find(df, benchmark, **how).where(F.size("leaks") == 0).select("row.*")
+def clean(df: DataFrame, benchmark: DataFrame, least: int = LEAST, **how) -> DataFrame:
+    """The rows of ``df`` that hold no item of ``least`` characters or more, with all their columns: a shorter one, a
+    single word say, is found by :func:`find` but is no evidence that a text was copied."""
+    long = F.filter("leaks", lambda x: x["end"] - x["start"] >= F.lit(least - int(least * how.get("rate", RATE))))
+    return find(df, benchmark, **how).where(F.size(long) == 0).select("row.*")

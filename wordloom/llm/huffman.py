@@ -17,7 +17,6 @@ import json
 import os
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import packed
-from .common import bounded, shared_folder, storage, two, written
+from .common import bounded, once, shared_folder, storage, two, written
 from .tokens import TOKEN_BATCH, Words
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,26 +34,27 @@ MAX_BITS, BLOCK, STEP, END = 16, 1 << 18, 512, 0
 MAGIC = b"TIDS"
 
 
-@lru_cache(maxsize=4)
 def _words(path: str) -> Words:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def make() -> Words:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
 
-    t = Tokenizer.from_file(path)
+        def encode(texts: list[str]) -> list[list[int]]:
+            # The library's results hold far more than ids; a few at a time are kept.
+            return [x.ids for k in range(0, len(texts), 1024) for x in t.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False)]
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        # The library's results hold far more than ids; a few at a time are kept.
-        return [x.ids for k in range(0, len(texts), 1024) for x in t.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False)]
+        return Words(encode, whole=tuple(x.content for x in t.get_added_tokens_decoder().values()))
 
-    return Words(encode, whole=tuple(x.content for x in t.get_added_tokens_decoder().values()))
+    return once(f"huffman-words-{path}", make)
 
 
-@lru_cache(maxsize=4)
 def width(path: str) -> int:
     """Bytes of an id between the passes: 2 if the vocabulary allows."""
     from tokenizers import Tokenizer
 
-    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+    return once(f"huffman-width-{path}", lambda: 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4)
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
@@ -254,7 +254,8 @@ def write_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = df.sparkSession
     tokens = written(tokenize(df, id_col, text_col, tokenizer, end), "token-ids")
-    code = spark.sparkContext.broadcast(Code(code_lengths(count_ids(tokens, f"<u{width(tokenizer)}"), limit)))  # bounded by the vocabulary
+    # Bounded by the vocabulary; plain numbers, since a broadcast object of a class is pickled by name.
+    code = spark.sparkContext.broadcast(code_lengths(count_ids(tokens, f"<u{width(tokenizer)}"), limit))
     folder = shared_folder(spark, "tokens")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Rows of one id, if there are many, lie in several parts: the order goes on by a hash of the tokens.
@@ -279,10 +280,11 @@ def _writer(folder: str, code: Broadcast, kind: str):
                 yield from zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
 
         system, inner = storage(folder)
+        table = Code(code.value)
         it = rows()
         for one in it:
             name = f"{os.urandom(12).hex()}.tids"
-            docs, tokens = _write(system, f"{inner}/{name}", code.value, kind, (x for part in ([one], it) for x in part))
+            docs, tokens = _write(system, f"{inner}/{name}", table, kind, (x for part in ([one], it) for x in part))
             yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "path": [f"{folder}/{name}"], "documents": [docs], "tokens": [tokens]})
 
     return run

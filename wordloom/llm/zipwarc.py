@@ -192,9 +192,9 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         pages[url_col].cast("string").alias("url"),
         F.coalesce(pages[html_col].cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("key", F.sha1("payload"))
-    # The greatest id of each payload: partial maxima meet, so a payload of many pages is no hot key here; the join
-    # back is one that adaptive execution splits.
-    first = rows.groupBy("key").agg(F.max("id").alias("first"))
+    # The greatest id of each payload: partial maxima meet, so a payload of many pages is no hot key here.  They are
+    # written, so that the join back has a bare exchange on either side, and adaptive execution splits a hot payload.
+    first = written(rows.groupBy("key").agg(F.max("id").alias("first")), "firsts")
     refers = F.when((F.octet_length("payload") >= min_bytes) & (F.col("id").isNull() | (F.col("id") < F.col("first"))), F.col("first"))
     joined = rows.join(first, "key").select("id", "url", "payload", refers.alias("refers_to"))
     folder = shared_folder(spark, "warc")
