@@ -599,7 +599,26 @@ def void_points(spark, sf):
     return rounded(v.select("id", "distance", "near_word"), "distance")
 
 
-@query("void_points_iterative")
+def _iterative_sql(rounds: int = 3, n_voids: int = 20) -> str:
+    """Voids refined by jitter, round by round; each keeps the best of its own probes and of the rounds before."""
+    n = "(SELECT count(*) FROM embeddings)"
+    near = lambda r: f"""near{r} AS (SELECT probe{r}.id, any_value(v) AS v, 1 - max(list_dot_product(v, pv.b)) AS distance, arg_max(pv.word, list_dot_product(v, pv.b)) AS near_word FROM probe{r} CROSS JOIN pv GROUP BY 1),
+top{r} AS (SELECT * FROM near{r} ORDER BY distance DESC, id LIMIT {n_voids})"""
+    parts = [f"""g0 AS (SELECT p.range AS id, d.range AS p, {_normal_sql("'42/round0/' || p.range::VARCHAR || '/' || d.range::VARCHAR")} AS x FROM range(0, {n}) p CROSS JOIN range(1, 33) d),
+l0 AS (SELECT id, list(x ORDER BY p) AS v FROM g0 GROUP BY 1), probe0 AS (SELECT id, {UNIT} AS v FROM l0), {near(0)}, best0 AS (SELECT * FROM top0)"""]
+    for r in range(1, rounds):
+        scale = repr(0.3 / (r + 1))
+        key = f"'42/round{r}/' || id::VARCHAR || '/{scale}/' || copy::VARCHAR || '/' || p::VARCHAR"
+        parts.append(f"""held{r} AS (SELECT greatest(1, {n} // count(*)) AS each FROM best{r - 1}),
+placed{r} AS (SELECT row_number() OVER (ORDER BY distance DESC, id) AS id, v FROM best{r - 1}),
+f{r} AS (SELECT id, copy, each, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM (SELECT id, v, each, unnest(range(0, each)) AS copy FROM placed{r} CROSS JOIN held{r})),
+l{r} AS (SELECT (id - 1) * each + copy + {r} * greatest({n}, {n_voids}) AS id, list(x + {scale}::DOUBLE * {_normal_sql(key)} ORDER BY p) AS v FROM f{r} GROUP BY id, copy, each),
+probe{r} AS (SELECT id, {UNIT} AS v FROM l{r}), {near(r)},
+best{r} AS (SELECT * FROM (SELECT * FROM best{r - 1} UNION ALL SELECT * FROM top{r}) ORDER BY distance DESC, id LIMIT {n_voids})""")
+    return f"WITH {PV}, {', '.join(parts)} SELECT id, round(distance, 6) + 0.0 AS distance, near_word FROM best{rounds - 1}"
+
+
+@query("void_points_iterative", _iterative_sql())
 def void_points_iterative(spark, sf):
     b = _base(spark, sf)
     v = PB.find_voids_iterative(b, 32, 20, b.count())
