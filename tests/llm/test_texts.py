@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,21 @@ def test_added_spans_lie_apart_from_base_spans(spark):
         assert not [1 for s in r.spans if not s.base for b in own if b.start < s.end and s.start < b.end]
 
 
+def test_twenty_thousand_addresses_in_one_text(spark):
+    text = " ".join(f"a{k}@b.com" for k in range(20_000))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = pii.train(rows.limit(0))
+    begun = time.time()
+    spans = pii.find(rows, model).first().spans
+    assert [text[s.start : s.end] for s in spans] == text.split() and time.time() - begun < 30
+
+
+def test_a_column_named_like_the_spans(spark):
+    rows = spark.createDataFrame([(1, "a@b.com", "x")], "doc_id long, text string, __spans string")
+    out = pii.redact(rows, pii.train(rows))
+    assert out.columns == rows.columns and tuple(out.first()) == (1, "[EMAIL]", "x")
+
+
 def test_redaction_and_odd_rows(spark, odd, none):
     model = pii.train(odd)
     assert pii.redact(odd, model).columns == odd.columns

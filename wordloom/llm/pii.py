@@ -46,25 +46,56 @@ FOR = {
 AGAINST = r"version|isbn|issn|order|invoice|build|page|chapter|\bno\.|№|#|§"
 
 
+#: Matches whose places are added up one after the other; more are added up by blocks of so many.
+RUN = 256
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(lengths: Column) -> Column:
+    """The sums up to each entry of an array of one entry or more, in time linear in its size."""
+
+    def block(a: Column, b: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(F.slice(a, b * RUN + 1, F.lit(RUN)), begin, step, lambda acc: acc["out"])
+
+    def joined(h: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + F.element_at(x, -1)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        heads = F.aggregate(h["blocks"], begin, step, lambda acc: acc["out"])
+        return _once(F.struct(heads.alias("heads"), h["blocks"].alias("blocks")), lambda g: F.flatten(F.transform(g["blocks"], lambda x, i: F.transform(x, lambda y: y + F.get(g["heads"], i)))))
+
+    last = lambda a: F.floor((F.size(a) - 1) / RUN).cast("int")
+    blocks = _once(F.struct(lengths.alias("a")), lambda h: F.transform(F.sequence(F.lit(0), last(h["a"])), lambda b: block(h["a"], b)))
+    return _once(F.struct(blocks.alias("blocks")), joined)
+
+
 def _of(text: Column, kind: str, pattern: str, base: bool) -> Column:
     """Spans of one pattern: kind, start, end (code points), value, what stands before, the character after.  The
     texts between the matches give the places; a text without a match is looked at once."""
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string,loose:boolean>>")
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(acc["gaps"][i])
-        end = start + F.length(acc["values"][i])
-        span = F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), acc["values"][i].alias("value"),
-            F.substring(acc["gaps"][i], F.greatest(F.length(acc["gaps"][i]) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)).alias("before"),
-            F.substring(acc["gaps"][i + 1], 1, 1).alias("after"), F.lit(not base).alias("loose"),
-        )
-        return F.struct(end.alias("at"), acc["gaps"].alias("gaps"), acc["values"].alias("values"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def listed(h: Column) -> Column:
+        def span(value: Column, i: Column) -> Column:
+            gap, end = F.get(h["gaps"], i), F.get(h["ends"], i)
+            return F.struct(
+                F.lit(kind).alias("kind"), (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"),
+                F.substring(gap, F.greatest(F.length(gap) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)).alias("before"),
+                F.substring(F.get(h["gaps"], i + 1), 1, 1).alias("after"), F.lit(not base).alias("loose"),
+            )
+
+        return F.transform(h["values"], span)
+
+    def placed(h: Column) -> Column:
+        lengths = F.transform(h["values"], lambda v, i: F.length(F.get(h["gaps"], i)) + F.length(v))
+        return _once(F.struct(h["values"].alias("values"), h["gaps"].alias("gaps"), _running(lengths).alias("ends")), listed)
 
-    begin = F.struct(F.lit(0).alias("at"), gaps.alias("gaps"), values.alias("values"), empty.alias("spans"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), begin, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), _once(found, placed)).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
@@ -226,9 +257,12 @@ SPAN = "rank:bigint,start:int,end:int,base:boolean,kind:string"
 def redact(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` with every span of the text put as its kind, like ``[EMAIL]``; spans of two kinds that overlap become
     one.  Null texts stay null."""
-    held = find(df, model, text_col, "__spans")
+    name = "__spans"
+    while name in df.columns:
+        name = f"_{name}"
+    held = find(df, model, text_col, name)
     # Spans far from one another in a very long text: each piece between them is read once.
-    order = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -238,7 +272,7 @@ def redact(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     masked = F.aggregate(order, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return held.withColumn(text_col, F.when(F.size("__spans") > 0, masked).otherwise(text)).drop("__spans")
+    return held.withColumn(text_col, F.when(F.size(name) > 0, masked).otherwise(text)).drop(name)
 
 
 def listed(spans_col: str | Column, base_only: bool = False) -> Column:
