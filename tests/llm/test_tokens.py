@@ -160,3 +160,16 @@ def test_added_tokens_as_a_plain_call_gives_them():
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
     assert 50256 in ids
+
+
+@pytest.mark.parametrize("spaced", ["of the vocabulary", "none", "wrong"])
+def test_words_in_runs_get_the_ids_of_a_plain_call(spark, spaced):
+    t = Tokenizer.from_file(huffman.TOKENIZER)
+    known = huffman._words(huffman.TOKENIZER)
+    marks = {"of the vocabulary": known.spaced, "none": None, "wrong": np.zeros_like(known.spaced)}[spaced]
+    words = Words(known.encode, whole=known.whole, spaced=marks)
+    all_ = [*texts(spark), *EXTRA, "a\n", "\nfoo bar\n", "tab\tin words", "Ġx Ġ Ġ", "x " * 500 + "x", "é" * 70 + " \U0001f389 9's"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in all_]
+    for _ in range(2):
+        ids, lengths = words.encode_texts(pa.array(all_))
+        assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]

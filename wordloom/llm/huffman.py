@@ -43,9 +43,13 @@ def _words(path: str) -> Words:
 
         def encode(texts: list[str]) -> list[list[int]]:
             # The library's results hold far more than ids; a few at a time are kept.
-            return [x.ids for k in range(0, len(texts), 1024) for x in t.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False)]
+            return [x.ids for k in range(0, len(texts), 256) for x in t.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
 
-        return Words(encode, whole=tuple(x.content for x in t.get_added_tokens_decoder().values()))
+        # Byte-level vocabularies write a space as U+0120.
+        vocab = t.get_vocab()
+        spaced = np.zeros(max(vocab.values()) + 1, bool)
+        spaced[[k for token, k in vocab.items() if token.startswith("\u0120")]] = True
+        return Words(encode, whole=tuple(x.content for x in t.get_added_tokens_decoder().values()), spaced=spaced)
 
     return once(f"huffman-words-{path}", make)
 

@@ -21,6 +21,10 @@ from .common import flat_ranges
 ODD = r"(^ )|( $)|( [\s\v\x1c-\x1f\x{85}\p{Z}])|([\s\v\x1c-\x1f\x{85}\p{Z}] )"
 #: Bytes of text encoded at once: more of its words are equal than in a small batch.
 TOKEN_BATCH = 8 << 20
+#: White space of any kind: a word without any is encoded in one text with others.
+WHITE = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
+#: Words of one such text.
+RUN = 64
 #: Words whose ids a worker keeps, and bytes of the longest it keeps past that.
 KEEP, KEEP_BYTES = 1_000_000, 64
 
@@ -28,10 +32,11 @@ KEEP, KEEP_BYTES = 1_000_000, 64
 class Words:
     """``encode`` gets a list of different texts and gives their ids; those of words after a space are kept up to a
     bound, as columns: a batch's words are found among them at once, and only new ones are encoded.  Texts that hold one
-    of ``whole`` are encoded as wholes."""
+    of ``whole`` are encoded as wholes.  ``spaced`` tells of each id whether its token begins with a space: then new
+    words are encoded ``RUN`` at a time, as one text that is cut where such tokens stand."""
 
-    def __init__(self, encode: Callable[[list[str]], list], keep: int = KEEP, whole: tuple[str, ...] = ()):
-        self.encode, self.keep, self.whole = encode, keep, whole
+    def __init__(self, encode: Callable[[list[str]], list], keep: int = KEEP, whole: tuple[str, ...] = (), spaced: np.ndarray | None = None):
+        self.encode, self.keep, self.whole, self.spaced = encode, keep, whole, spaced
         self._clear(pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _clear(self, words: pa.Array, flat: np.ndarray, lengths: np.ndarray) -> None:
@@ -45,7 +50,7 @@ class Words:
         at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(new):
             words = found.take(pa.array(new))
-            flat, lengths = self._encode([" " + w for w in words.to_pylist()])
+            flat, lengths = self._encode_words(words)
             at[new] = len(self.words) + np.arange(len(new))
             self._clear(pa.concat_arrays([self.words, words]), np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths]))
         return at
@@ -55,6 +60,24 @@ class Words:
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         return np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths
 
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_encode` of each word with a space before it."""
+        alone = pc.or_(pc.match_substring_regex(words, WHITE), pc.equal(words, "")).to_numpy(zero_copy_only=False)
+        run = [] if self.spaced is None else words.filter(pa.array(~alone)).to_pylist()
+        flat, _ = self._encode([" " + " ".join(run[k : k + RUN]) for k in range(0, len(run), RUN)])
+        heads = np.flatnonzero(self.spaced[flat]) if len(flat) else np.zeros(0, np.int64)
+        # A tokenizer that marks spaces otherwise gives another count.
+        if not run or len(heads) != len(run):
+            return self._encode([" " + w for w in words.to_pylist()])
+        lengths = np.zeros(len(words), np.int64)
+        lengths[~alone] = np.diff(heads, append=len(flat))
+        if not alone.any():
+            return flat, lengths
+        rest, lengths[alone] = self._encode([" " + w for w in words.filter(pa.array(alone)).to_pylist()])
+        out, place = np.zeros(int(lengths.sum()), np.uint32), np.repeat(alone, lengths)
+        out[~place], out[place] = flat, rest
+        return out, lengths
+
     def _forget(self, used: np.ndarray) -> None:
         """Past the bound, only the last batch's words stay, and of them only ones of usual length."""
         if len(self.words) > self.keep or self.words.nbytes > 64 * self.keep:
