@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("vectors", "words", "prompts", "records", "files")
+MODULES = ("vectors", "words", "prompts", "records", "files", "stores")
 
 
 def load() -> tuple[dict, dict]:

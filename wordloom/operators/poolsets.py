@@ -11,7 +11,11 @@ from ..sources.pools import word_category
 
 def _pool_pairs(wc: DataFrame) -> DataFrame:
     """Every pair of pools with the number of words of each (pools are few: a dimension, not data)."""
-    sizes = wc.groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
+    return pairs_of(wc.groupBy("pool").agg(F.count(F.lit(1)).alias("n")))
+
+
+def pairs_of(sizes: DataFrame) -> DataFrame:
+    """(pool_a, pool_b, n_a, n_b) of every pair of the rows (pool, n)."""
     names = sizes.agg(F.array_sort(F.collect_list(F.struct("pool", "n"))).alias("p"))
     one = names.select(F.posexplode("p").alias("i", "a"), "p")
     two = one.select("i", "a", F.posexplode("p").alias("j", "b")).filter("i < j")
