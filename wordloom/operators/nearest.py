@@ -15,14 +15,31 @@ from ..session import cut
 from . import tiles as T
 from .cells import PART_BITS, Cells
 
+QUERY_ROWS, BASE_ROWS = 256, 4096  # a block of similarities is 8 MB
+
 
 def _best(q: np.ndarray, base: np.ndarray, ords: np.ndarray, skip: np.ndarray | None = None):
-    """Per query row: best similarity and the position of the best base row (base sorted by ordinal)."""
-    sims = q @ base.T
-    if skip is not None:
-        sims[skip[:, None] == ords[None, :]] = -np.inf
-    at = sims.argmax(axis=1)
-    return sims[np.arange(len(q)), at], at
+    """Per query row: best similarity and the position of the best base row (base sorted by ordinal).
+
+    Worked off in blocks of similarities, so neither a long batch nor a large base needs more memory.
+    """
+    best, where = np.full(len(q), -np.inf), np.zeros(len(q), np.int64)
+    own = None if skip is None or not len(ords) else np.searchsorted(ords, skip)
+    for s in range(0, len(q), QUERY_ROWS):
+        rows = slice(s, min(s + QUERY_ROWS, len(q)))
+        r = np.arange(rows.stop - s)
+        for at in range(0, len(base), BASE_ROWS):
+            sims = q[rows] @ base[at : at + BASE_ROWS].T
+            if own is not None:
+                place = own[rows] - at
+                mine = np.flatnonzero((place >= 0) & (place < sims.shape[1]))
+                mine = mine[ords[place[mine] + at] == skip[rows][mine]]
+                sims[mine, place[mine]] = -np.inf
+            top = sims.argmax(axis=1)
+            v = sims[r, top]
+            better = np.flatnonzero(v > best[rows])  # blocks come in ordinal order: an equal later row is no better
+            best[s + better], where[s + better] = v[better], top[better] + at
+    return best, where
 
 
 def nearest(

@@ -26,13 +26,15 @@ def random_probes(spark: SparkSession, n: int, dim: int, seed: int = 42, tag: st
     return ids.select("id", unit(_noise(F.concat_ws("/", F.lit(f"{seed}/{tag}"), F.col("id").cast("string")), dim)).alias("vector"))
 
 
-def jitter(centers: DataFrame, scales=SCALES, n_per_scale: int = 8, seed: int = 42, tag: str = "jitter") -> DataFrame:
+def jitter(centers: DataFrame, scales=SCALES, n_per_scale: int = 8, seed: int = 42, tag: str = "jitter", parts: int | None = None) -> DataFrame:
     """A cloud around each centre for each scale: (id, scale, copy, vector), back on the unit sphere.
 
-    ``centers`` has ``id`` and ``vector``.
+    ``centers`` has ``id`` and ``vector``.  With ``parts`` the clouds of few centres are dealt over so many tasks.
     """
     grid = centers.select("id", "vector", F.explode(F.lit(list(map(float, scales)))).alias("scale"))
     grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_per_scale - 1))).alias("copy"))
+    if parts:
+        grid = grid.repartition(parts, "id", "copy")
     key = F.concat_ws("/", F.lit(f"{seed}/{tag}"), F.col("id").cast("string"), F.col("scale").cast("string"), F.col("copy").cast("string"))
     noise = F.transform(
         F.sequence(F.lit(1), F.size("vector")), lambda i: md5_normal(F.concat_ws("/", key, i.cast("string")))
@@ -78,7 +80,7 @@ def find_voids_iterative(base: DataFrame, dim: int, n_voids: int = 20, n_probes:
             each = max(1, n_probes // held)
             # the voids held are n_voids rows at most; a round's ids follow those of the rounds before
             placed = best.select(F.row_number().over(Window.orderBy(F.desc("distance"), "id")).alias("id"), "vector")
-            around = jitter(placed, (0.3 / (r + 1),), each, seed, f"round{r}")
+            around = jitter(placed, (0.3 / (r + 1),), each, seed, f"round{r}", width(base.sparkSession))
             probes = around.select(((F.col("id") - 1) * each + F.col("copy") + r * max(n_probes, n_voids)).cast("bigint").alias("id"), "vector")
         found = _deepest(probes, base, n_voids, **kw).select(*cols)
         merged = found if best is None else best.select(*cols).unionByName(found)
