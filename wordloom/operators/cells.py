@@ -30,6 +30,8 @@ PIVOTS, PIVOT_BYTES = 4096, 16 << 20
 #: Angles are rounded; a bound is widened by this much.
 SLACK = 1e-6
 PART_BITS = 20
+PROBES = 1024  # rows whose visits are counted before a layout is chosen
+TAKEN_ROWS = 8192  # rows of one batch of visits
 SPACES = ("visual", "semantic")
 
 
@@ -116,6 +118,7 @@ class Cells:
     def __init__(self, df: DataFrame, key: str, rows: int = T.TILE_ROWS, cells: int | None = None, semantic: bool = True):
         """``df`` has ``key`` (unique), ``visual`` (not null) and, with ``semantic``, ``semantic`` (may be null)."""
         self.key, self.rows = key, rows
+        self._judged: dict[tuple, bool] = {}
         self.spaces = SPACES if semantic else SPACES[:1]
         sizes = df.agg(F.count(F.lit(1)), *[F.max(F.size(s)) for s in self.spaces]).first()
         self.n, dims = int(sizes[0]), [max(int(x or 0), 1) for x in sizes[1:]]
@@ -211,16 +214,33 @@ class Cells:
                 may &= balls.used[None, :]
                 may[rows, b.column(b.schema.get_field_index("_cell")).to_numpy(zero_copy_only=False)] = True
                 row, other = np.nonzero(may)
-                got = b.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*got.columns, pa.array(other.astype(np.int32))], [*got.schema.names, "_other"])
+                for at in range(0, len(row), TAKEN_ROWS):  # a batch of rows may visit thousands of cells each
+                    got = b.take(pa.array(row[at : at + TAKEN_ROWS]))
+                    yield pa.RecordBatch.from_arrays([*got.columns, pa.array(other[at : at + TAKEN_ROWS].astype(np.int32))], [*got.schema.names, "_other"])
 
         return df.mapInArrow(run, _ddl(df) + ", _other int")
 
+    def plain(self, some: DataFrame, gate: str, bound: float | str, below: bool = False, alpha: float = 0.5) -> bool:
+        """Whether plain tiles cost less than visits by cells, judged by the visits of ``some`` rows (with ``_cell``).
+
+        A row goes into a pair of tiles for each cell it visits, or for each tile of the plain layout.  Where the bounds
+        skip little, visits only shuffle more; where they skip much, a few times the shuffle is worth it.
+        """
+        plain = math.ceil(self.n / T.fitted(some, self.rows, self.n))
+        if self.cells <= plain:
+            return False
+        seen = self.visits(some.select("_cell", *self.spaces, *([bound] if isinstance(bound, str) else [])), gate, bound, below, alpha)
+        rows, made = some.count(), seen.count()
+        each = made / max(rows, 1)
+        return rows > 0 and (each > 4 * plain or (each > plain and each > self.cells / 4))
+
     def tiles(self, df: DataFrame, by: list[str], gate: str, bound: float | None, below: bool = False, alpha: float = 0.5) -> DataFrame:
         """The rows laid out for pairs within ``by`` whose similarity can reach ``bound``: as
         :func:`wordloom.operators.tiles.self_tiles` does, without the tiles whose bounds forbid it; without a bound, for
         the most promising pairs only, of which either row may name the other's cell."""
         own = self.assign(df)
+        if self._plainly(own, gate, bound, below, alpha):
+            return T.self_tiles(df, by, self.key, self.rows)
         if by:
             sizes = own.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.rows)).cast("int").alias("_parts"))
         else:
@@ -237,6 +257,16 @@ class Cells:
         return laid.drop("_cell", "_other", "_parts", "_others", "_p", "_own", "_that")
 
 
+    def _plainly(self, own: DataFrame, gate: str, bound: float | None, below: bool, alpha: float) -> bool:
+        """:meth:`plain` for a number as bound, asked once."""
+        if bound is None or self.cells <= T.MANY_TILES:
+            return False
+        asked = (gate, bound, below, alpha)
+        if asked not in self._judged:
+            self._judged[asked] = self.plain(cut(own.orderBy(F.xxhash64(self.key), self.key).limit(PROBES)), gate, bound, below, alpha)
+        return self._judged[asked]
+
+
 def per_tile(laid: DataFrame, by: list[str], kernel, schema: str) -> DataFrame:
     """``kernel`` on every pair of tiles that both have rows; of a layout of :meth:`Cells.tiles` some may not."""
     nothing = to_arrow_schema(laid.sparkSession.createDataFrame([], schema).schema).empty_table()

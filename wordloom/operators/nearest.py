@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrow as A
 from ..session import cut
 from . import tiles as T
-from .cells import PART_BITS, Cells
+from .cells import PART_BITS, PROBES, Cells
 
 QUERY_ROWS, BASE_ROWS = 256, 4096  # a block of similarities is 8 MB
 
@@ -118,7 +116,6 @@ def nearest_indexed(queries: DataFrame, base: DataFrame, exclude_self: bool = Fa
     laid = laid.join(sizes, "_cell").withColumn("_part", F.pmod(F.xxhash64("ordinal"), F.col("_parts"))).drop("_parts")
     laid = cut(laid)
     asked = queries.filter("vector is not null").withColumnRenamed("vector", "visual")
-    chunks = max(1, math.ceil(asked.count() / rows))
     null = lambda t: F.lit(None).cast(t)
     schema = f"id {id_t}, sim double, near bigint, near_word {word_t}, compared bigint"
 
@@ -145,26 +142,47 @@ def nearest_indexed(queries: DataFrame, base: DataFrame, exclude_self: bool = Fa
         return pa.table(cols, names=["id", "sim", "near", "near_word", "compared"])
 
     def meet(visits: DataFrame) -> DataFrame:
-        """Best row and rows seen of each query over the cells ``_other`` it visits."""
-        visits = cut(visits.withColumn("_hi", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("bigint")))
-        where = visits.join(sizes.select(F.col("_cell").alias("_other"), "_parts"), "_other")
+        """Best row and rows seen of each query over the cells ``_other`` it visits.
+
+        The visitors of a cell are dealt into chunks by their number, so a cell is shipped no more often than they need.
+        """
+        visits = cut(visits)
+        chunk = T.fitted(asked, rows, index.n)
+        chunks = visits.groupBy("_other").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_chunks"))
+        chunks = cut(chunks.join(sizes.select(F.col("_cell").alias("_other"), "_parts"), "_other"))
+        where = visits.join(chunks, "_other").withColumn("_hi", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("bigint"))
         left = where.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
             "id", null("bigint").alias("ordinal"), null(word_t).alias("word"), "visual", F.col("_other").alias("_cell"), "_part", "_hi", F.lit(0).alias("_side"))
-        right = laid.join(visits.select(F.col("_other").alias("_cell"), "_hi").distinct(), "_cell").select(
+        needed = chunks.select(F.col("_other").alias("_cell"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks").cast("bigint") - 1)).alias("_hi"))
+        right = laid.join(needed, "_cell").select(
             null(id_t).alias("id"), "ordinal", "word", "visual", "_cell", "_part", "_hi", F.lit(1).alias("_side"))
         both = left.unionByName(right).withColumn("_lo", F.shiftleft(F.col("_cell").cast("bigint"), PART_BITS) + F.col("_part"))
         return T.per_tile(both.drop("_cell", "_part"), [], kernel, schema)
 
+    def meet_all() -> DataFrame:
+        """The same where the cells skip too little: every query with every base row, in plain tiles."""
+        left = asked.select("id", null("bigint").alias("ordinal"), null(word_t).alias("word"), "visual", F.xxhash64("id").alias("_key"))
+        right = points.select(null(id_t).alias("id"), "ordinal", "word", "visual", F.xxhash64("ordinal").alias("_key"))
+        return T.per_tile(T.cross_tiles(left, right, "_key", rows).drop("_key"), [], kernel, schema)
+
     def merged(parts: DataFrame) -> DataFrame:
         order = F.when(F.col("sim").isNotNull(), F.struct((-F.col("sim")).alias("s"), F.col("near").alias("o")))
         return parts.groupBy("id").agg(F.min_by(F.struct("sim", "near", "near_word"), order).alias("b"), F.sum("compared").alias("compared"))
 
     homes = cut(index.assign(asked))
-    first = cut(meet(homes.withColumn("_other", F.col("_cell"))))
-    bound = merged(first).select(F.col("id").alias("_of"), F.col("b.sim").alias("_bound"))
-    more = homes.join(bound, F.col("id").eqNullSafe(F.col("_of")), "left").drop("_of")
-    more = index.visits(more, "visual", "_bound").filter("_other <> _cell")
-    best = merged(first.unionByName(meet(more)))
+
+    def bounded(first: DataFrame, of: DataFrame) -> DataFrame:
+        bound = merged(first).select(F.col("id").alias("_of"), F.col("b.sim").alias("_bound"))
+        return of.join(bound, F.col("id").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+    # what the bounds skip is measured on some queries first; that decides how the rows are laid out, not what is found
+    some = cut(homes.filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id")).limit(PROBES)) if index.cells > T.MANY_TILES else None
+    if some is not None and index.plain(bounded(meet(some.withColumn("_other", F.col("_cell"))), some), "visual", "_bound"):
+        best = merged(meet_all())
+    else:
+        first = cut(meet(homes.withColumn("_other", F.col("_cell"))))
+        more = index.visits(bounded(first, homes), "visual", "_bound").filter("_other <> _cell")
+        best = merged(first.unionByName(meet(more)))
     found = best.select(F.col("id").alias("_of"), "b.sim", "b.near", "b.near_word", "compared")
     out = queries.select("id").join(found, F.col("id").eqNullSafe(F.col("_of")), "left").drop("_of")
     return out.withColumn("compared", F.coalesce("compared", F.lit(0)))
