@@ -6,8 +6,12 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
+from helpers import unit_rows, vector_frame
+from wordloom.operators import selection as S
 from wordloom.operators.nearest import _best
 from wordloom.operators.probes import jitter
+from wordloom.sources import pools as SP
+from wordloom.streaming.runs import drain, file_stream
 
 
 def test_nearest_rows_take_no_memory_for_all_similarities():
@@ -36,3 +40,28 @@ def test_a_cloud_around_few_centres_is_spread_over_tasks(spark):
     cloud = jitter(few, (0.3,), 500, parts=8)
     assert cloud.select(F.spark_partition_id()).distinct().count() == 8
     assert sorted(cloud.collect()) == sorted(jitter(few, (0.3,), 500).collect())
+
+
+def test_large_groups_are_walked_in_one_task_without_rounds(spark, monkeypatch):
+    v, u = unit_rows(60, 6, 1), unit_rows(60, 5, 2)
+    df = vector_frame(spark, [("a", i, f"w{i}", v[i], u[i]) for i in range(60)])
+    want = S.diverse_words(df, 9).select("ordinal", "rank").collect(), S.elbow(df, 12).collect()
+    monkeypatch.setattr(S, "SMALL_GROUP", 16)
+    monkeypatch.setattr(S, "_diverse_rounds", None)  # the rounds are not needed
+    assert sorted(S.diverse_words(df, 9, small=16).select("ordinal", "rank").collect()) == sorted(want[0])
+    assert S.elbow(df, 12, small=16).collect() == want[1]
+
+
+def test_a_table_of_many_files_is_streamed_by_its_name(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/t.parquet")
+    spark.range(5).write.parquet(f"{tmp_path}/other.parquet")
+    assert drain(file_stream(spark, str(tmp_path), "t.parquet")).count() == 10
+
+
+def test_template_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SP, "TEMPLATES_A_FILE", 5)
+    rows = [(f"t{i}", f"a {{x}} {i}", ["x"], "") for i in range(60)]
+    SP.write_template_files(spark.createDataFrame(rows, SP.TEMPLATES), f"{tmp_path}/t", 2)
+    back = SP.read_templates(spark, f"{tmp_path}/t")
+    assert len(back.inputFiles()) > 6
+    assert sorted((r.id, r.structure) for r in back.collect()) == sorted(r[:2] for r in rows)

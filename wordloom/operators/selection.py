@@ -21,6 +21,7 @@ from .cells import PART_BITS, Cells, per_tile
 from .ordered import dense_index
 
 SMALL_GROUP = 2048  # rows whose full similarity matrix (32 MB) one task holds with ease
+WHOLE_BYTES = 64 << 20  # vectors of a group that one task walks without such a matrix
 
 
 def _ddl(df: DataFrame, names: list[str]) -> str:
@@ -170,24 +171,36 @@ def _redundancy_rounds(df: DataFrame, threshold: float, gate: str, by: list[str]
 # ---- diverse top-k --------------------------------------------------------------------------------
 
 
-def _pick(sim: np.ndarray, k: int, seeds: list[int], linkage: str) -> tuple[list[int], list[float]]:
-    """Greedy picks on a small matrix: the free word with the least linkage value, first index on ties."""
+def _pick(col, n: int, k: int, seeds: list[int], linkage: str) -> tuple[list[int], list[float]]:
+    """Greedy picks among n words: the free word with the least linkage value, first index on ties.
+
+    ``col`` gives the similarities of all words to one, so k * n of them are made and n are held.
+    """
     fold = np.minimum if linkage == "min" else np.maximum
     picked, gain = list(seeds), [float("nan")] * len(seeds)
-    cur = sim[:, seeds[0]].copy()
+    cur = col(seeds[0]).copy()
     for s in seeds[1:]:
-        cur = fold(cur, sim[:, s])
-    free = np.ones(len(sim), bool)
+        cur = fold(cur, col(s))
+    free = np.ones(n, bool)
     free[seeds] = False
     while len(picked) < k and free.any():
         at = int(np.where(free, cur, np.inf).argmin())
         picked.append(at)
         gain.append(float(cur[at]))
         free[at] = False
-        cur = fold(cur, sim[:, at])
+        if len(picked) < k:
+            cur = fold(cur, col(at))
     return picked, gain
 
 
+def _whole_rows(df: DataFrame, small: int) -> int:
+    """Rows of a group that one task walks: ``small``, or by default as many as ``WHOLE_BYTES`` of vectors are."""
+    if small < SMALL_GROUP:
+        return small
+    sizes = df.agg(F.max(F.size("visual")), F.max(F.size("semantic"))).first()
+    return max(small, WHOLE_BYTES // (8 * max(sum(max(int(x or 0), 0) for x in sizes), 1)))
+
+
 def diverse_words(
     df: DataFrame,
     k: int,
@@ -216,7 +229,16 @@ def diverse_words(
         df = df.join(flags, [*by, "ordinal"], "left").withColumn("_seed", F.coalesce("_seed", F.lit(False)))
     else:
         df = df.withColumn("_seed", F.lit(False))
+    matrix, small = small, _whole_rows(df, small)
     little, big = _by_size(df, by, small)
+    if seed_farthest_pair and small > matrix:  # of groups without a full matrix the pair is found by tiles
+        wide = _by_size(little, by, matrix)[1]
+        if wide is not None:
+            from .pairs import pair_stats
+
+            low = pair_stats(wide, by, [gate], alpha, rows=rows).select(*by, F.explode(F.array("most_distant.i", "most_distant.j")).alias("ordinal"))
+            little = little.drop("_seed").join(cut(low).withColumn("_seed", F.lit(True)), [*by, "ordinal"], "left").withColumn("_seed", F.coalesce("_seed", F.lit(False)))
+            little = little.select(*df.columns)
 
     def solve(table: pa.Table) -> pa.Table:
         block = T.Block(table)
@@ -224,12 +246,16 @@ def diverse_words(
         if n <= k and not seed_farthest_pair:
             picked, gain = list(range(n)), [float("nan")] * n
         else:
-            sim = _full(block, gate, alpha)
             start = np.nonzero(A.column(block.table, "_seed"))[0].tolist()
-            if seed_farthest_pair and n > 1:
+            if n <= matrix:
+                sim = _full(block, gate, alpha)
+                col = lambda i: sim[:, i]
+            else:
+                col = lambda i: np.concatenate([m[gate][:, 0] for _, m in T.strips(block, T.Block(block.table.slice(i, 1)), [gate], alpha)])
+            if seed_farthest_pair and 1 < n <= matrix:
                 off = sim + np.where(np.eye(n, dtype=bool), np.inf, 0.0)
                 start = [int(x) for x in np.unravel_index(off.argmin(), off.shape)]
-            picked, gain = _pick(sim, min(k, n), start or [0], linkage)
+            picked, gain = _pick(col, n, min(k, n), start or [0], linkage)
         t = block.table.select(names).take(pa.array(picked, pa.int64()))
         t = t.append_column("rank", pa.array(np.arange(1, len(picked) + 1, dtype=np.int32)))
         g = np.asarray(gain, float)
