@@ -8,9 +8,12 @@ from ..session import fresh_path
 
 
 def file_stream(spark: SparkSession, folder: str, name: str | None = None, files_per_trigger: int = 100) -> DataFrame:
-    """Parquet files of a folder as a stream; ``name`` picks one file of a folder of many tables."""
+    """Parquet files of a folder as a stream; ``name`` picks one table of a folder of many: a file, or a folder of files."""
     path = f"{folder}/{name}" if name else folder
-    schema = spark.read.parquet(path).schema
+    now = spark.read.parquet(path)
+    schema = now.schema
+    if name and any(f.rstrip("/").rsplit("/", 1)[-1] != name for f in now.inputFiles()):
+        folder, name = path, None  # the table is a folder: its files have names of their own
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if name:
         r = r.option("pathGlobFilter", name)
