@@ -675,11 +675,11 @@ def distant_pairs(df: DataFrame, n_pairs: int, gate: str = "semantic", rows: int
     apart = _distant(index.tiles(need, [], gate, None, True), need, 2 * n_pairs - 1, gate, per_tile)
     values = [r.similarity for r in apart.select("similarity").collect()]  # 2n - 1 rows
     bound = max(values) if len(values) == 2 * n_pairs - 1 else float("inf")
-    return _distant(index.tiles(need, [], gate, bound, True), need, n_pairs, gate, per_tile)
+    return _distant(index.tiles(need, [], gate, bound, True), need, n_pairs, gate, per_tile, bound)
 
 
-def _distant(laid: DataFrame, need: DataFrame, n_pairs: int, gate: str, per) -> DataFrame:
-    """The greedy list over the pairs of a layout."""
+def _distant(laid: DataFrame, need: DataFrame, n_pairs: int, gate: str, per, limit: float = float("inf")) -> DataFrame:
+    """The greedy list over the pairs of a layout that are no more similar than ``limit``."""
     from pyspark.sql import Window
 
     near, bound = 2 * n_pairs, 4 * n_pairs * n_pairs + n_pairs
@@ -688,28 +688,27 @@ def _distant(laid: DataFrame, need: DataFrame, n_pairs: int, gate: str, per) ->
 
     def kernel(table: pa.Table) -> pa.Table:
         a, b, same = T.split_sides(table)
-        parts: list[np.ndarray] = []
+        found: list[tuple] = []
         for strip, sims in T.strips(a, b, [gate], 0.5):
             ok = A.column(a.table, "category")[strip][:, None] != A.column(b.table, "category")[None, :]
             if same:
                 ok &= np.arange(len(b))[None, :] != (np.arange(strip.stop - strip.start) + strip.start)[:, None]
-            parts.append(np.where(ok, sims[gate], np.inf))
-        sim = np.concatenate(parts) if parts else np.zeros((0, len(b)))
-
-        def among_lowest(m: np.ndarray) -> np.ndarray:
-            if m.shape[1] <= near:
-                return np.isfinite(m)
             # columns are in ordinal order, so a stable sort breaks ties as the total order of pairs does
-            first = np.argsort(m, axis=1, kind="stable")[:, :near]
-            mark = np.zeros(m.shape, bool)
-            np.put_along_axis(mark, first, True, axis=1)
-            return mark & np.isfinite(m)
-
-        mutual = among_lowest(sim) & among_lowest(sim.T).T
-        if same:
-            mutual &= np.triu(np.ones_like(mutual), 1).astype(bool)
-        r, c = np.nonzero(mutual)
-        v = sim[r, c]
+            sim = np.where(ok & (sims[gate] <= limit), sims[gate], np.inf)
+            many = np.flatnonzero(np.isfinite(sim).sum(1) > near)
+            if len(many):
+                last = np.argsort(sim[many], axis=1, kind="stable")[:, near:]
+                sim[many[:, None], last] = np.inf
+            x, y = np.nonzero(np.isfinite(sim))
+            found.append((x + strip.start, y, sim[x, y]))
+        r, c, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        # of what the rows left, the lowest of each column: no choice is lost, and a word still has 2n edges at most
+        by_column = np.lexsort((r, v, c))
+        c_sorted = c[by_column]
+        rank = np.arange(len(c)) - np.searchsorted(c_sorted, c_sorted)
+        keep = by_column[rank < near]
+        keep = np.sort(keep[r[keep] < c[keep]] if same else keep)
+        r, c, v = r[keep], c[keep], v[keep]
         oi, oj = a.ordinal[r], b.ordinal[c]
         swap = oi > oj
         order = np.lexsort((np.maximum(oi, oj), np.minimum(oi, oj), v))
