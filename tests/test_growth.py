@@ -65,3 +65,14 @@ def test_template_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch)
     back = SP.read_templates(spark, f"{tmp_path}/t")
     assert len(back.inputFiles()) > 6
     assert sorted((r.id, r.structure) for r in back.collect()) == sorted(r[:2] for r in rows)
+
+
+def test_small_tiles_do_not_multiply_the_rows(spark):
+    from wordloom.operators import tiles as T
+    from wordloom.operators.cells import Cells
+
+    v = unit_rows(800, 16, 5)
+    df = vector_frame(spark, [("a", i, f"w{i}", v[i], None) for i in range(800)])
+    assert T.self_tiles(df, [], "ordinal", 8).count() <= 800 * (T.MANY_TILES + 1)
+    # vectors without structure: every cell may hold a similar row, and visits by cell would be 100 a row
+    assert Cells(df, "ordinal", rows=8).tiles(df, [], "visual", 0.3).count() <= 800 * (T.MANY_TILES + 1)
