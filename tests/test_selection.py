@@ -154,6 +154,18 @@ def test_opposites_with_ties_between_classes(spark):
         assert {r["word"]: r["opposite"] for r in S.opposite_pairs(df, **kw).collect()} == want
 
 
+def test_opposites_of_different_words_need_few_rounds(spark, monkeypatch):
+    """Lists of partners prove most choices, so words without copies do not wait for each other round by round."""
+    v = unit_rows(151, 12, 5)
+    df = vector_frame(spark, [("t", i, f"w{i}", v[i], v[i]) for i in range(151)])
+    rounds = []
+    inner = S._best_classes
+    monkeypatch.setattr(S, "_best_classes", lambda *a: rounds.append(1) or inner(*a))
+    got = {r["word"]: r["opposite"] for r in S.opposite_pairs(df, small=3, rows=64).collect()}
+    assert got == {f"w{i}": f"w{j}" for i, j in pairing(v @ v.T).items()}
+    assert len(rounds) <= 2
+
+
 @pytest.mark.parametrize("rows", [4096, 8])
 @pytest.mark.parametrize("n", [1, 6, 40])
 def test_distant_pairs(pool, rows, n):

@@ -22,6 +22,7 @@ from .ordered import dense_index
 
 SMALL_GROUP = 2048  # rows whose full similarity matrix (32 MB) one task holds with ease
 WHOLE_BYTES = 64 << 20  # vectors of a group that one task walks without such a matrix
+LISTED, LISTED_EDGES = 64, 1 << 20  # least similar partners kept of a class, and of all classes of a group (24 MB)
 
 
 def _ddl(df: DataFrame, names: list[str]) -> str:
@@ -554,9 +555,111 @@ def _best_classes(active: DataFrame, gate: str, by: list[str], rows: int) -> Dat
     return merged.select(*keys, *carry, "b.sim", "b.mate", tied.alias("tied"))
 
 
+def _partner_lists(active: DataFrame, gate: str, by: list[str], rows: int, k: int) -> DataFrame:
+    """Per class its ``k`` least similar partner classes, which may include itself; fewer only where there are fewer."""
+    keys = [*by, "cls"]
+    names = [*keys, "free", "used"]
+    edge = pa.struct([("sim", pa.float64()), ("mate", pa.int64())])
+
+    def least(a: T.Block, b: T.Block, same: bool) -> pa.Table:
+        free, mates = A.column(a.table, "free"), A.column(b.table, "cls")
+        sim, mate, size = [], [], []
+        for strip, sims in T.strips(a, b, [gate], 0.5):
+            m = sims[gate]
+            if same:  # two words of one class may be paired with each other
+                m, r = m.copy(), np.arange(m.shape[0])
+                m[r, r + strip.start] = np.where(free[strip] >= 2, m[r, r + strip.start], np.inf)
+            at = np.argpartition(m, k - 1, axis=1)[:, :k] if m.shape[1] > k else np.broadcast_to(np.arange(m.shape[1]), m.shape)
+            v = np.take_along_axis(m, at, 1)
+            ok = np.isfinite(v)
+            sim.append(v[ok])
+            mate.append(mates[at[ok]])
+            size.append(ok.sum(1))
+        sim, mate, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sim, mate, size))
+        held = pa.StructArray.from_arrays([pa.array(sim, pa.float64()), pa.array(mate, pa.int64())], fields=list(edge))
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return a.table.select(names).append_column("e", pa.ListArray.from_arrays(pa.array(offsets), held))
+
+    def kernel(table: pa.Table) -> pa.Table:
+        a, b, same = T.split_sides(table)
+        return least(a, a, True) if same else pa.concat_tables([least(a, b, False), least(b, a, False)])
+
+    tiled = T.self_tiles(active, by, "cls", rows)
+    parts = T.per_tile(tiled, by, kernel, f"{_ddl(active, names)}, e array<struct<sim:double,mate:bigint>>")
+    return parts.groupBy(*names).agg(F.slice(F.array_sort(F.flatten(F.collect_list("e"))), 1, k).alias("e"))
+
+
+def _listed_picks(lists: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The greedy choices that lists of ``k`` partners prove: (by, x, y, similarity, used_x, used_y, take).
+
+    Listed edges are walked from the least similar.  A class knows all its edges below the last of a full list, so an
+    edge below that of both classes, met while both are free, is the next choice.  A class that meets an edge which is
+    not, or one of equal similarity beside another, is left for the next round, and so are all that meet it later.
+    """
+    cols = [*by, "x", "y", "similarity", "used_x", "used_y", "take"]
+
+    def solve(table: pa.Table) -> pa.Table:
+        cls = A.column(table, "cls")
+        order = np.argsort(cls)
+        cls, free, used = cls[order], A.column(table, "free")[order].tolist(), A.column(table, "used")[order].tolist()
+        e = A.plain(table.column("e")).take(pa.array(order))
+        size, flat = np.diff(e.offsets.to_numpy()), e.flatten()
+        sim = flat.field("sim").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        # a list is in the order of similarity
+        known = np.where(size < k, np.inf, sim[np.maximum(ends - 1, 0)] if len(sim) else np.inf).tolist()
+        x = np.repeat(np.arange(len(cls)), size)
+        mates = flat.field("mate").to_numpy(zero_copy_only=False)
+        y = np.searchsorted(cls, mates)
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        by_edge = np.lexsort((sim, y, x))
+        x, y, sim = x[by_edge], y[by_edge], sim[by_edge]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        x, y, sim = x[new], y[new], sim[new]
+        walk = np.argsort(sim, kind="stable")
+        x, y, sim = x[walk].tolist(), y[walk].tolist(), sim[walk].tolist()
+        stuck = [False] * len(cls)
+        got = []
+        at = 0
+        while at < len(x):
+            end = at + 1
+            while end < len(x) and sim[end] == sim[at]:
+                end += 1
+            live = [i for i in range(at, end) if free[x[i]] >= (2 if x[i] == y[i] else 1) and free[y[i]]]
+            at = end
+            met: dict[int, int] = {}
+            if len(live) > 1:
+                for i in live:
+                    for c in {x[i], y[i]}:
+                        met[c] = met.get(c, 0) + 1
+            for i in live:
+                a, b, s = x[i], y[i], sim[i]
+                if stuck[a] or stuck[b] or s >= known[a] or s >= known[b] or met.get(a, 1) > 1 or met.get(b, 1) > 1:
+                    stuck[a] = stuck[b] = True
+                    continue
+                take = free[a] // 2 if a == b else min(free[a], free[b])
+                got.append((a, b, s, used[a], used[b], take))
+                for c, n in ((a, 2 * take),) if a == b else ((a, take), (b, take)):
+                    free[c], used[c] = free[c] - n, used[c] + n
+        p = list(zip(*got)) if got else [()] * 6
+        head = [pa.array([table.column(c)[0].as_py()] * len(got), table.schema.field(c).type) for c in by]
+        i64 = lambda v: pa.array(np.asarray(v, np.int64))
+        who = lambda v: i64(cls[np.asarray(v, np.int64)])
+        return pa.table([*head, who(p[0]), who(p[1]), pa.array(p[2], pa.float64()), i64(p[3]), i64(p[4]), i64(p[5])], names=cols)
+
+    schema = ", ".join([*([_ddl(lists, by)] if by else []), "x bigint, y bigint, similarity double, used_x bigint, used_y bigint, take bigint"])
+    if by:
+        return grouped(lists, by).applyInArrow(solve, schema)
+    return lists.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(solve, schema)
+
+
 def _pair_rounds(df: DataFrame, gate: str, by: list[str], rows: int) -> DataFrame:
     """(by, ordinal, mate, similarity) for large groups.
 
+    Each round takes all choices that lists of least similar partners prove (:func:`_listed_picks`); of a group of more
+    classes than such lists fit, and where they prove nothing, those that are mutually best.
+
     Words with equal vectors form a class, of which only the number of used words is tracked.  A pair of
     classes that are each other's best is also the next greedy choice among its neighbours, so all such
     pairs are taken at once, and as long as no other edge has the same similarity, the free words of both
@@ -573,8 +676,19 @@ def _pair_rounds(df: DataFrame, gate: str, by: list[str], rows: int) -> DataFram
     members = cut(dense_index(members.select(*keys, "ordinal"), keys, "ordinal", "pos"))
     state = classes.select(*keys, "n", "visual", "semantic").withColumn("used", F.lit(0).cast("bigint"))
     taken: list[DataFrame] = []
+    wait = rest = 0  # rounds without lists after lists that proved nothing, doubled each time
     while True:
         live = state.filter("used < n")
+        k = min(LISTED, LISTED_EDGES // max(T.peak_rows(live, by), 1))
+        if k >= 2 and not rest:
+            active = live.select(*keys, F.col("cls").alias("ordinal"), (F.col("n") - F.col("used")).alias("free"), "used", "visual", "semantic")
+            picks = cut(_listed_picks(_partner_lists(active, gate, by, rows, k), by, k))
+            if not picks.isEmpty():
+                taken.append(picks)
+                state, wait = _spent(live, picks, keys), 0
+                continue
+            wait = rest = 2 * wait or 1
+        rest = max(rest - 1, 0)
         ahead = live.select(*keys, F.explode(F.array(F.col("used") + 1, F.col("used") + 2)).alias("pos"))
         heads = ahead.join(members, [*keys, "pos"]).groupBy(*keys).agg(F.min("ordinal").alias("ordinal"), F.max("ordinal").alias("second"))
         active = live.join(heads, keys).select(*keys, "ordinal", "second", (F.col("n") - F.col("used")).alias("free"), "used", "visual", "semantic")
@@ -595,10 +709,7 @@ def _pair_rounds(df: DataFrame, gate: str, by: list[str], rows: int) -> DataFram
             )
         )
         taken.append(picks)
-        spent = picks.select(*by, F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("cls"), (2 * F.col("take")).alias("more")))).otherwise(
-            F.array(F.struct(F.col("x").alias("cls"), F.col("take").alias("more")), F.struct(F.col("y").alias("cls"), F.col("take").alias("more")))
-        )).alias("p")).select(*by, "p.*")
-        state = cut(live.join(spent, keys, "left").withColumn("used", F.col("used") + F.coalesce("more", F.lit(0))).drop("more").filter("used < n"))
+        state = _spent(live, picks, keys)
     mates: list[DataFrame] = []
     if taken:
         picks = taken[0]
@@ -628,6 +739,14 @@ def _pair_rounds(df: DataFrame, gate: str, by: list[str], rows: int) -> DataFram
     return out
 
 
+def _spent(live: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
+    """The classes that still have free words after ``picks``."""
+    by, twice = keys[:-1], F.col("x") == F.col("y")
+    ends = F.array(*[F.struct(F.col(c).alias("cls"), F.when(twice, F.lit(2 if c == "x" else 0)).otherwise(1).alias("each")) for c in ("x", "y")])
+    spent = picks.select(*by, "take", F.explode(ends).alias("p")).groupBy(*by, F.col("p.cls").alias("cls")).agg(F.sum(F.col("take") * F.col("p.each")).alias("more"))
+    return cut(live.join(spent, keys, "left").withColumn("used", F.col("used") + F.coalesce("more", F.lit(0))).drop("more").filter("used < n"))
+
+
 def best_partners_of(lone: DataFrame, work: DataFrame, gate: str, by: list[str], rows: int) -> DataFrame:
     """Least similar word of the group for single rows: the group is visited tile by tile."""
     keys = [*by, "ordinal"]
