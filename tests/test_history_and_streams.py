@@ -208,3 +208,13 @@ def test_pool_growth_stream(spark):
         spark.createDataFrame([("wood", x) for x in part], "category string, text string").coalesce(1).write.mode("append").parquet(folder)
     got = R.drain(GR.grow(R.file_stream(spark, folder, files_per_trigger=1)))
     assert as_rows(got, "category", "term") == [("wood", "elm"), ("wood", "oak"), ("wood", "pine")]
+
+
+def test_words_of_states_are_not_sent_to_all_tasks(spark):
+    """A plan guesses few words where maps are exploded; only vectors that are measured to be small are broadcast."""
+    states = spark.range(1).selectExpr("id", "map('color_logic', array('7', '8', 'none')) AS state")
+    vectors = spark.range(3000).selectExpr("cast(id as string) AS word", "array(3D, 0D, 4D + id) AS visual")
+    for frame in (ST.gravity_poles(states, vectors), ST.dynamics(states, vectors, None, 0)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and "BuildRight" in plan
+    assert sorted(r.word for r in ST.gravity_poles(states, vectors).collect()) == ["7", "8"]

@@ -12,6 +12,7 @@ from ..functions import arrow as A
 from ..functions.presets import INITIAL_STATE, features
 from ..functions.text import occurrences
 from ..functions.vectors import pole
+from . import tiles as T
 from .moments import centroids
 from .ordered import CHUNK_ROWS, last_before
 
@@ -85,6 +86,18 @@ def centroid_total(members: DataFrame) -> tuple[list[float] | None, int]:
 STACK_DOUBLES = 4 << 20  # vectors and similarities that are worked on at once (32 MB)
 
 
+def with_vectors(words: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``words`` joined with the other columns of ``vectors`` by ``word``.
+
+    There are many more words than the tables they come from let a plan guess, and a stream's plan is never measured; so
+    the words are not sent to all tasks, and the vectors only where they are measured to be small.
+    """
+    lists = [f.name for f in vectors.schema.fields if f.dataType.typeName() == "array"]
+    size = F.lit(64) + sum([8 * F.greatest(F.size(c), F.lit(0)) for c in lists], F.octet_length("word"))  # with a row's own overhead
+    held = vectors.agg(F.sum(size)).first()[0] or 0
+    return words.join(F.broadcast(vectors) if held <= T.BROADCAST_BYTES else vectors.hint("merge"), "word")
+
+
 def dynamics(states: DataFrame, vectors: DataFrame, total: list[float] | None, n_centroids: int, id: str = "id") -> DataFrame:
     """Energy, tension, distance from the centroids and poles of each state.
 
@@ -94,7 +107,7 @@ def dynamics(states: DataFrame, vectors: DataFrame, total: list[float] | None, n
     """
     slots = states.select(id, F.explode("state").alias("category", "words"))
     flat = slots.select(id, "category", F.posexplode("words").alias("place", "word"))
-    found = flat.join(vectors.select("word", "visual"), "word")
+    found = with_vectors(flat, vectors.select("word", "visual"))
     # one entry per word of one prompt
     packed = found.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("category", "place", "visual"))).alias("v"))
     rows = states.select(id).join(packed, id, "left")
@@ -144,9 +157,8 @@ def gravity_poles(states: DataFrame, vectors: DataFrame, id: str = "id") -> Data
     slots = states.select(id, F.explode("state").alias("category", "words"))
     flat = slots.select(id, "category", F.try_element_at(order, F.col("category")).alias("slot_no"), F.posexplode("words").alias("place", "word"))
     p = pole(F.col("visual"))
-    return flat.join(vectors.select("word", "visual").filter(F.size("visual") >= 3), "word").select(
-        id, "category", "slot_no", "place", "word", p[0].alias("x"), p[1].alias("y"), p[2].alias("z")
-    )
+    poles = vectors.filter(F.size("visual") >= 3).select("word", p[0].alias("x"), p[1].alias("y"), p[2].alias("z"))
+    return with_vectors(flat, poles).select(id, "category", "slot_no", "place", "word", "x", "y", "z")
 
 
 def spans(texts: DataFrame, id: str = "id") -> DataFrame:

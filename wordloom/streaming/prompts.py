@@ -71,9 +71,11 @@ def dynamics_stream(states: DataFrame, vectors: DataFrame, total, n_centroids: i
     """Metrics of each carried state; ``states`` comes from ``carried_state``, ``vectors`` are static."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = dynamics(batch.select("id", "state"), vectors, total, n_centroids)
+        held = batch.select("id", "state").persist()  # read twice; the states are made once
+        rows = dynamics(held, vectors, total, n_centroids)
         # a folder per batch number makes a replay overwrite itself
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held.unpersist()
 
     return (
         states.writeStream.foreachBatch(write)
