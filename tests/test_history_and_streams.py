@@ -218,3 +218,16 @@ def test_words_of_states_are_not_sent_to_all_tasks(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "BuildLeft" not in plan and "BuildRight" in plan
     assert sorted(r.word for r in ST.gravity_poles(states, vectors).collect()) == ["7", "8"]
+
+
+def test_prices_do_not_gather_all_requests_of_a_model(spark):
+    """A few prices or admissions go to the requests, not the requests of a model to one task."""
+    usage = spark.range(400).selectExpr(
+        "'m' AS model", "id % 4 AS iteration", "id AS input", "1L AS output", "0L AS cached", "0L AS cache_write", "0L AS cache_read", "cast(null AS double) AS reported_cost"
+    )
+    prices = spark.createDataFrame([("m", "flat", 1.0, 1.0, None, None, None)], "model string, scheme string, input double, output double, cache_write double, cache_read double, cached_input double")
+    costed = TE.with_cost(usage, prices)
+    caps = spark.createDataFrame([("m", 0.03)], "model string, cap double")
+    for frame in (costed, TE.within_caps(costed, caps)):
+        assert "Exchange hashpartitioning" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert costed.filter("cost > 0").count() == 400 and TE.within_caps(costed, caps).count() == 200

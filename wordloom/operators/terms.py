@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_long
 from ..functions.text import term_lines
-from ..session import spread
+from ..session import cut, spread
 from .ordered import CHUNK_ROWS, running_sum
 
+SENT_ROWS = 1 << 17  # rows of numbers beside a short key: a few MB
+
 
 def parse_terms(texts: DataFrame, keep: list[str] = ["category"]) -> DataFrame:
     """Clean terms of raw texts, one row per usable line."""
@@ -70,7 +72,13 @@ def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     discount = bill(F.greatest(z("input") - z("cached"), F.lit(0.0)), "input") + bill(z("cached"), "cached_input") + out
     flat = bill(z("input"), "input") + out
     formula = F.when(F.col("scheme") == SPLIT_CACHE, split).when(F.col("scheme") == CACHED_DISCOUNT, discount).otherwise(flat)
-    return usage.join(p, "model", "left").select(*usage.columns, F.coalesce("reported_cost", formula).alias("cost"))
+    return usage.join(_beside(p), "model", "left").select(*usage.columns, F.coalesce("reported_cost", formula).alias("cost"))
+
+
+def _beside(few: DataFrame) -> DataFrame:
+    """``few``, sent to all tasks where it is counted to be small: a join of many rows with few keys would put all rows
+    of a key into one task."""
+    return F.broadcast(few) if few.count() <= SENT_ROWS else few
 
 
 def usage_totals(costed: DataFrame) -> DataFrame:
@@ -100,4 +108,4 @@ def within_caps(costed: DataFrame, caps: DataFrame, chunk_rows: int = CHUNK_ROWS
     admitted = run.join(caps.select("model", "cap"), "model", "left").filter(
         F.col("cap").isNull() | (F.col("spent_before") < F.col("cap"))
     )
-    return costed.join(admitted.select("model", "iteration", "spent_before"), ["model", "iteration"])
+    return costed.join(_beside(cut(admitted.select("model", "iteration", "spent_before"))), ["model", "iteration"])
