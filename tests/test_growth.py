@@ -76,3 +76,18 @@ def test_small_tiles_do_not_multiply_the_rows(spark):
     assert T.self_tiles(df, [], "ordinal", 8).count() <= 800 * (T.MANY_TILES + 1)
     # vectors without structure: every cell may hold a similar row, and visits by cell would be 100 a row
     assert Cells(df, "ordinal", rows=8).tiles(df, [], "visual", 0.3).count() <= 800 * (T.MANY_TILES + 1)
+
+
+def test_pair_statistics_write_each_row_once(spark, tmp_path, monkeypatch):
+    """Tiles are files that the tasks of their pairs read, not rows laid out once for every pair."""
+    import pyarrow as pa
+    from wordloom.operators import tiles as T
+    from wordloom.operators.pairs import pair_stats
+
+    v = unit_rows(90, 4, 3)
+    df = vector_frame(spark, [("ab"[i >= 80], i, f"w{i}", v[i], v[i]) for i in range(90)])
+    monkeypatch.setattr(T, "fresh_path", lambda spark, name: str(tmp_path / name))
+    got = {r.category: r for r in pair_stats(df, ["category"], ["visual"], rows=16).collect()}
+    assert got["a"].pairs == 80 * 79 // 2 and got["b"].pairs == 10 * 9 // 2
+    held = [pa.ipc.open_file(str(f)).read_all().num_rows for f in (tmp_path / "tiles").iterdir()]
+    assert len(held) == 5 and sum(held) == 80
