@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -186,3 +187,20 @@ def test_one_row_of_each_group(spark):
     assert out.columns == docs.columns
     got = collections.Counter((r.doc_id, (r.text or "").lower()) for r in out.collect())
     assert got == {(1, "a b c"): 1, (None, "d e"): 1, (None, ""): 1, (3, "f g"): 1}
+
+
+def test_forest_counts_shared_shingles_in_little_memory():
+    """A batch of two million prefix shingles is counted a stretch at a time, and all of them are counted."""
+    rng = np.random.default_rng(3)
+    n, size = 5000, 400
+    columns = [pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.full(n, size))]
+    columns += [pa.array([rng.integers(0, 1 << 63, size, dtype=np.uint64).tobytes() for _ in range(n)], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["node", "component", "n_shingles", "prefix"])
+    with np.errstate(over="ignore"):
+        expected = len(forest._flat(batch, 80)[0])
+    tracemalloc.start()
+    total = sum(x[3:].sum() > 0 and x.shape[1] for b in forest._tallied(iter([batch]), 80, 7) for x in (np.frombuffer(y, np.int64).reshape(5, -1) for y in b.column(1).to_pylist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == expected
+    assert peak < 80 << 20

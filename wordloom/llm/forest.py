@@ -49,7 +49,11 @@ FREQUENT = 1 << 16
 #: A size class spans this factor of set sizes at a threshold of 0.8: two steps of 1 / 0.8.
 CLASS_STEPS = 2
 #: Prefix shingles that a task counts at once, and those of one part; rows of one side of a cell of a common shingle.
-FLUSH, PART, CELL = 1 << 20, 1 << 20, 1 << 14
+FLUSH, PART, CELL = 1 << 18, 1 << 18, 1 << 14
+#: Bytes of prefixes that a task takes apart at once: each shingle becomes up to two rows of some 130 bytes.
+TAKEN = 1 << 18
+#: Rows times rows of a cell that are compared at once.
+MET = 1 << 19
 #: Pairs that a task holds before it hands them on; bytes of texts confirmed at once.
 HELD, CONFIRM = 1 << 20, 2 << 20
 #: Least bits of a set's parities: each shingle flips one, so sets differ by at least as many shingles as bits.
@@ -371,37 +375,40 @@ def _counted(token, low, high, index, total) -> tuple[np.ndarray, ...]:
     return token[at], np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at), np.add.reduceat(index[order], at), np.add.reduceat(total[order], at)
 
 
+def _tallied(batches: Iterator[pa.RecordBatch], percent: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, blob): the counted tokens of ``FLUSH`` prefix shingles at a time, a row for each part that has some."""
+    held, rows = [], 0
+
+    def flush():
+        c = _counted(*map(np.concatenate, zip(*held, strict=True)))
+        held.clear()
+        part = (c[0].view(np.uint64) >> np.uint64(32)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(ends)).tolist():
+            i = order[ends[p] : ends[p + 1]]
+            blob = b"".join((c[0][i].tobytes(), c[1][i].tobytes(), (c[2][i] - c[1][i]).tobytes(), c[3][i].tobytes(), c[4][i].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
+
+    for b in bounded(batches, "prefix", TAKEN):
+        with np.errstate(over="ignore"):
+            token, row, _, short, probes = _flat(b, percent)
+        component = b.column(1).to_numpy(zero_copy_only=False)[row]
+        held.append((token, component, component, short.astype(np.int64), probes.astype(np.int64)))
+        rows += len(row)
+        if rows >= FLUSH:
+            yield from flush()
+            rows = 0
+    if held:
+        yield from flush()
+
+
 def _shared(prefixes: DataFrame, percent: int, parts: int, n: int) -> DataFrame:
     """(token, ni, np): the tokens of several components, with rows that are looked up and rows that look up.
 
     Tasks count their own shingles first, so a common one is one entry of each task.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def flush():
-            c = _counted(*map(np.concatenate, zip(*held, strict=True)))
-            part = (c[0].view(np.uint64) >> np.uint64(32)).astype(np.int64) % parts
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(ends)).tolist():
-                i = order[ends[p] : ends[p + 1]]
-                blob = b"".join((c[0][i].tobytes(), c[1][i].tobytes(), (c[2][i] - c[1][i]).tobytes(), c[3][i].tobytes(), c[4][i].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
-
-        for b in bounded(batches, "prefix"):
-            with np.errstate(over="ignore"):
-                token, row, _, short, probes = _flat(b, percent)
-            component = b.column(1).to_numpy(zero_copy_only=False)[row]
-            held.append((token, component, component, short.astype(np.int64), probes.astype(np.int64)))
-            rows += len(row)
-            if rows >= FLUSH:
-                yield from flush()
-                held, rows = [], 0
-        if held:
-            yield from flush()
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(blobs):
             cols = [np.frombuffer(x, np.int64).reshape(5, -1) for x in blobs]
@@ -421,10 +428,25 @@ def _shared(prefixes: DataFrame, percent: int, parts: int, n: int) -> DataFrame:
         if blobs:
             yield out(blobs)
 
-    blobs = prefixes.mapInArrow(count, "part int, blob binary").repartition(n, "part").sortWithinPartitions("part")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _tallied(batches, percent, parts)
+
+    rows = prefixes.select("node", "component", "n_shingles", "prefix")
+    blobs = rows.mapInArrow(count, "part int, blob binary").repartition(n, "part").sortWithinPartitions("part")
     return blobs.mapInArrow(meet, "token long, ni long, np long")
 
 
+def _spread(batches: Iterator[pa.RecordBatch], percent: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each prefix shingle that the map of shared ones holds, ``TAKEN`` bytes of prefixes at a time."""
+    for b in bounded(batches, "prefix", TAKEN):
+        with np.errstate(over="ignore"):
+            token, row, at, short, probes = _flat(b, percent)
+        i = np.flatnonzero(bits[(token & ((1 << SHARED_BITS) - 1)) >> 3] >> (token & 7).astype(np.uint8) & 1)
+        node, component, size = (b.column(c).to_numpy(zero_copy_only=False)[row[i]] for c in range(3))
+        parity = b.column(4).take(pa.array(row[i]))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (token[i], node, component, size, at[i].astype(np.int64), short[i], probes[i])), parity], ["token", "node", "component", "n", "at", "short", "probes", "parity"])
+
+
 def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> DataFrame:
     """(a, b), a < b: all pairs of different components that share a prefix shingle and can be similar enough.
 
@@ -437,14 +459,7 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
     held = prefixes.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.uint8)
-        for b in bounded(batches, "prefix"):
-            with np.errstate(over="ignore"):
-                token, row, at, short, probes = _flat(b, percent)
-            i = np.flatnonzero(bits[(token & ((1 << SHARED_BITS) - 1)) >> 3] >> (token & 7).astype(np.uint8) & 1)
-            node, component, size = (b.column(c).to_numpy(zero_copy_only=False)[row[i]] for c in range(3))
-            parity = b.column(4).take(pa.array(row[i]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (token[i], node, component, size, at[i].astype(np.int64), short[i], probes[i])), parity], ["token", "node", "component", "n", "at", "short", "probes", "parity"])
+        return _spread(batches, percent, np.frombuffer(held.value, np.uint8))
 
     rows = prefixes.mapInArrow(spread, "token long, node long, component long, n long, at long, short boolean, probes boolean, parity binary").join(shared, "token")
     cells = lambda c: F.floor((F.col(c) - 1) / CELL) + 1
@@ -463,8 +478,9 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
         for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             others = np.flatnonzero(y[:, 5] != x[lo, 5])
             other = y[others]
-            for at in range(lo, hi if len(other) else lo, 256):
-                s = x[at : min(at + 256, hi)]
+            step = max(1, MET // max(1, len(other)))
+            for at in range(lo, hi if len(other) else lo, step):
+                s = x[at : min(at + step, hi)]
                 nx, ny = s[:, None, 6], other[None, :, 6]
                 ok = ((nx < ny) | (nx == ny) & (s[:, None, 4] < other[None, :, 4])) & (100 * nx >= percent * ny)
                 ok &= (100 + percent) * np.minimum(nx - s[:, None, 7], ny - other[None, :, 7]) >= percent * (nx + ny)
