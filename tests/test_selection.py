@@ -60,6 +60,18 @@ def test_redundancy(request, which, kw, thr):
         assert {r["ordinal"] for r in got if r["category"] == c and r["kept"]} == want
 
 
+def test_redundancy_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Each word is alike to its neighbours only, so which words are kept hangs on the first one."""
+    a = np.arange(240) * 2 * np.pi / 480
+    v = np.stack([np.cos(a), np.sin(a)], axis=1)
+    df = vector_frame(spark, [("c", i, f"w{i}", v[i], v[i]) for i in range(240)])
+    cuts, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda x: cuts.append(1) or cut(x))
+    got = S.drop_redundant(df, float(np.cos(a[1] * 1.5)), small=8, rows=16).select("ordinal").collect()
+    assert sorted(r.ordinal for r in got) == list(range(0, 240, 2))
+    assert len(cuts) <= 40
+
+
 @pytest.mark.parametrize("kw", PATHS)
 def test_chain_keeps_both_ends(spark, kw):
     a = np.deg2rad([0, 30, 60, 90, 120])

@@ -7,14 +7,17 @@ lineage is cut through the shared folder.
 
 from __future__ import annotations
 
+import copy
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
-from ..functions.vectors import dot, either_distinct, either_similar, joint
 from ..session import cut, grouped, width
 from . import tiles as T
 from .cells import PART_BITS, Cells, per_tile
@@ -22,6 +25,8 @@ from .ordered import dense_index
 
 SMALL_GROUP = 2048  # rows whose full similarity matrix (32 MB) one task holds with ease
 WHOLE_BYTES = 64 << 20  # vectors of a group that one task walks without such a matrix
+STRETCH, LEADERS = 256, 2048  # rows that the redundancy scan compares at once, and kept rows they meet at once
+FRONTS = 8  # rounds of the redundancy filter, while a round's rows stay under a tile's bytes
 LISTED, LISTED_EDGES = 64, 1 << 20  # least similar partners kept of a class, and of all classes of a group (24 MB)
 
 
@@ -79,93 +84,115 @@ def mark_redundant(df, threshold=0.85, gate="either_similar", by=["category"], s
 
 
 def _redundancy(df, threshold, gate, by, small, rows) -> DataFrame:
-    little, big = _by_size(df, by, small)
+    little, big = _by_size(df, by, _whole_rows(df, small))
     names = df.columns
 
     def scan(table: pa.Table) -> pa.Table:
         block = T.Block(table)
-        sim = _full(block, gate, 0.5)
-        dropped = np.zeros(len(block), bool)
-        for i in range(len(block)):
-            if not dropped[i]:
-                dropped[i + 1 :] |= sim[i, i + 1 :] > threshold
-        return pa.table([*_columns(block, names), pa.array(~dropped)], names=[*names, "kept"])
+        return pa.table([*_columns(block, names), pa.array(_leaders(block, gate, threshold))], names=[*names, "kept"])
 
     out = grouped(little, by).applyInArrow(scan, f"{_ddl(df, names)}, kept boolean")
     if big is None:
         return out
-    state = _redundancy_rounds(big, threshold, gate, by, rows)
-    return out.unionByName(big.join(state, [*by, "ordinal"]))
+    kept = _redundancy_rounds(big, threshold, gate, by, rows).withColumn("_kept", F.lit(True))
+    marked = big.join(kept, [*by, "ordinal"], "left").withColumn("kept", F.col("_kept").isNotNull()).drop("_kept")
+    return out.unionByName(marked.select(*out.columns))
+
+
+def _some(block: T.Block, at: np.ndarray) -> T.Block:
+    """The vectors of these rows of a block, without its table."""
+    part = copy.copy(block)
+    part.table, part.ordinal, part.visual, part.has_semantic = None, block.ordinal[at], block.visual[at], block.has_semantic[at]
+    part.semantic = None if block.semantic is None else block.semantic[at]
+    return part
 
 
-def _own_similarity(gate: str):
-    """A row's similarity to its own copy under a gate, with the visual space for a missing semantic one."""
-    v = dot(F.col("visual"), F.col("visual"))
-    t = F.coalesce(dot(F.col("semantic"), F.col("semantic")), v)
-    return {
-        "visual": v, "semantic": t, "joint": joint(v, t), "either_similar": either_similar(v, t), "either_distinct": either_distinct(v, t),
-        "gap": v - t,
-    }[gate]
+def _near(a: T.Block, b: T.Block, gate: str, threshold: float) -> np.ndarray:
+    """Which rows of ``a`` are above the threshold to any row of ``b``."""
+    hit = np.zeros(len(a), bool)
+    for at in range(0, len(b), LEADERS):
+        left = np.flatnonzero(~hit)
+        if not len(left):
+            break
+        for strip, sims in T.strips(_some(a, left), _some(b, np.arange(at, min(at + LEADERS, len(b)))), [gate], 0.5):
+            hit[left[strip]] |= (sims[gate] > threshold).any(axis=1)
+    return hit
+
+
+def _leaders(block: T.Block, gate: str, threshold: float) -> np.ndarray:
+    """Which rows of a block, in its order, no earlier kept row is above the threshold to.
+
+    A stretch of rows meets the rows kept before it and then itself, so no matrix of all rows is held.
+    """
+    kept = np.zeros(len(block), bool)
+    for at in range(0, len(block), STRETCH):
+        rows = np.arange(at, min(at + STRETCH, len(block)))
+        chosen = np.flatnonzero(kept[:at])
+        for c in range(0, len(chosen), LEADERS):
+            if not len(rows):
+                break
+            rows = rows[~_near(_some(block, rows), _some(block, chosen[c : c + LEADERS]), gate, threshold)]
+        if not len(rows):
+            continue
+        own = _some(block, rows)
+        sim, dropped = _full(own, gate, 0.5), np.zeros(len(own), bool)
+        for i in range(len(own)):
+            if not dropped[i]:
+                dropped[i + 1 :] |= sim[i, i + 1 :] > threshold
+        kept[rows[~dropped]] = True
+    return kept
 
 
 def _redundancy_rounds(df: DataFrame, threshold: float, gate: str, by: list[str], rows: int) -> DataFrame:
-    """(by, ordinal, kept).  A word is kept once all earlier neighbours are dropped, dropped once one is kept.
+    """(by, ordinal) of the kept rows.  A round takes each group's next rows, ``FRONTS`` times fewer than the largest
+    group has at first and no more than a tile's bytes of vectors, scans them in one task, and drops what later rows
+    are above the threshold to one of those it keeps.
 
-    Rows meet only in cells whose bounds allow the threshold.  Tile pairs return two flags per undecided word, never
-    neighbours, so a dense cluster stays linear.
-    Exact copies of a vector are settled first where the vector is above the threshold to itself: the first
-    copy, kept or not, then leaves no later one.  Copies of short vectors, or of none, stay rows of their own.
+    A row meets each kept row before it at most once, in parts of a group that run beside each other.  Copies, and all
+    of a dense cluster, go in the round that keeps their first row.
     """
     keys = [*by, "ordinal"]
-    work = df.select(*keys, "visual", "semantic")
-    copies = None
-    if threshold < 1:
-        alike = work.withColumn("_alike", F.coalesce(_own_similarity(gate) > threshold, F.lit(False)))
-        single = F.when(F.col("_alike"), F.lit(None)).otherwise(F.col("ordinal"))  # unlike itself: a class of its own
-        first = alike.groupBy(*by, "visual", "semantic", single.alias("_single")).agg(F.min("ordinal").alias("ordinal"))
-        first = cut(first.select(*keys, "visual", "semantic"))
-        copies = work.select(*keys).join(first.select(*keys), keys, "left_anti").withColumn("kept", F.lit(False))
-        work = first
-    decided: list[DataFrame] = [] if copies is None else [cut(copies)]
-    active = work.withColumn("fresh", F.lit(False))  # fresh: kept in the round before
+    front = max(rows, min(math.ceil(T.peak_rows(df, by) / FRONTS), _whole_rows(df, SMALL_GROUP) // 2))
+    step = max(1, front // 8)
+    numbered = dense_index(df.select(*keys, "visual", "semantic"), by, "ordinal", "_at")
+    left = cut(numbered.select(*keys, "visual", "semantic", F.floor((F.col("_at") - 1) / step).alias("_run")))
+    head = _ddl(df, [*keys, "visual", "semantic"])
 
-    def kernel(table: pa.Table) -> pa.Table:
-        a, b, same = T.split_sides(table)
-        fa, fb = A.column(a.table, "fresh").astype(bool), A.column(b.table, "fresh").astype(bool)
-        hit_a, hit_b = np.zeros((2, len(a)), bool), np.zeros((2, len(b)), bool)
-        for strip, sims in T.strips(a, b, [gate], 0.5):
-            near = sims[gate] > threshold
-            oa, ob = a.ordinal[strip][:, None], b.ordinal[None, :]
-            later_a, later_b = near & (ob < oa), near & (ob > oa)
-            hit_a[0, strip] |= (later_a & fb[None, :]).any(axis=1)
-            hit_a[1, strip] |= (later_a & ~fb[None, :]).any(axis=1)
-            if not same:
-                hit_b[0] |= (later_b & fa[strip][:, None]).any(axis=0)
-                hit_b[1] |= (later_b & ~fa[strip][:, None]).any(axis=0)
-        got = []
-        for blk, fresh, hit in ((a, fa, hit_a), (b, fb, hit_b))[: 1 if same else 2]:
-            open_ = pa.array(np.nonzero(~fresh)[0])
-            t = blk.table.select(keys).take(open_)
-            for name, h in (("by_kept", hit[0]), ("by_open", hit[1])):
-                t = t.append_column(name, pa.array(h).take(open_))
-            got.append(t)
-        return pa.concat_tables(got)
+    def scan(table: pa.Table) -> pa.Table:
+        block = T.Block(table)
+        return block.table.select([*keys, "visual", "semantic"]).filter(pa.array(_leaders(block, gate, threshold)))
 
-    index = Cells(work, "ordinal", rows)
+    def drop(table: pa.Table) -> pa.Table:
+        block = T.Block(table)
+        lead = np.asarray(A.column(block.table, "_lead")).astype(bool)
+        rest, leaders = np.flatnonzero(~lead), np.flatnonzero(lead)
+        free = rest[~_near(_some(block, rest), _some(block, leaders), gate, threshold)]
+        return block.table.select([*keys, "visual", "semantic", "_run"]).take(pa.array(free))
+
+    kept = []
     while True:
-        tiled = index.tiles(active, by, gate, threshold)
-        parts = per_tile(tiled, by, kernel, f"{_ddl(df, keys)}, by_kept boolean, by_open boolean")
-        flags = cut(parts.groupBy(*keys).agg(F.max("by_kept").alias("by_kept"), F.max("by_open").alias("by_open")))
-        new = flags.filter("by_kept or not by_open").select(*keys, (~F.col("by_kept")).alias("kept"))
-        decided.append(new)
-        left = flags.filter("not by_kept and by_open").select(*keys, F.lit(False).alias("fresh"))
+        runs = left.groupBy(*by, "_run").count()
+        upto = Window.partitionBy(*by).orderBy("_run")
+        runs = runs.withColumn("_sum", F.sum("count").over(upto)).withColumn("_first", F.first("_run").over(upto))
+        runs = cut(runs.select(*by, "_run", "count", ((F.col("_sum") <= front) | (F.col("_run") == F.col("_first"))).alias("_now")))
+        now = runs.filter("_now").select(*by, "_run")
+        leaders = cut(grouped(left.join(F.broadcast(now), [*by, "_run"]), by).applyInArrow(scan, head))
+        kept.append(leaders.select(*keys))
+        parts = runs.filter("not _now").groupBy(*by).agg(F.ceil(F.sum("count") / front).cast("int").alias("_parts"))
+        if parts.isEmpty():
+            break
+        later = left.join(F.broadcast(now), [*by, "_run"], "left_anti").join(F.broadcast(parts), by)
+        later = later.withColumn("_part", F.pmod(F.xxhash64("ordinal"), F.col("_parts"))).withColumn("_lead", F.lit(False))
+        each = leaders.join(F.broadcast(parts), by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        each = each.withColumn("_part", F.col("_part").cast("long")).withColumn("_lead", F.lit(True)).withColumn("_run", F.lit(None).cast("bigint"))
+        cols = [*keys, "visual", "semantic", "_run", "_part", "_lead"]
+        both = later.select(*cols).unionByName(each.select(*cols))
+        left = cut(grouped(both, [*by, "_part"]).applyInArrow(drop, f"{head}, _run bigint"))
         if left.isEmpty():
             break
-        alive = left.unionByName(new.filter("kept").select(*keys, F.lit(True).alias("fresh")))
-        active = work.join(alive, keys)
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.unionByName(k)
     return out
 
 
