@@ -76,3 +76,31 @@ def test_prompts_are_emitted_whole(spark, tmp_path):
     assert {r.prompt_no: r.components for r in back.collect()} == {1: {"c": ["x", "y"]}, 2: {}}
     emit(df, str(tmp_path / "text"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "text")).select(F.col("value")).collect()) == ["one", "two"]
+
+
+def test_pool_files_are_read_item_by_item():
+    """The rows are those of the loaded file, and no file is held as objects."""
+    import tracemalloc
+
+    import yaml
+
+    def loaded(text):
+        data = yaml.safe_load(text) or {}
+        lists = {c: x for c, x in (data.get("components", data) or {}).items() if x and isinstance(x, list)}
+        keyed = {c: isinstance(x[0], dict) for c, x in lists.items()}
+        return [(str(c), str(i["word"] if keyed[c] else i), i.get("opposite") if keyed[c] else None) for c, x in lists.items() for i in x]
+
+    odd = [
+        "", "components:\n", "components: {}\nother: [x]\n", "a: [x]\n1: [y, z]\nb: {c: d}\nc: []\n",
+        "components:\n  a: [x, 1.0, null, yes, 'q']\n  b:\n    - word: z\n      opposite: w\n    - word: k\n",
+        "components:\n  a: [x]\n  a: [y, z]\n", "x: &x [p, q]\ncomponents:\n  a: *x\n  b: [r]\n", "components:\n  a: [&w one, two]\n  b: [*w]\n",
+        "base: &b\n  a: [1]\ncomponents:\n  <<: *b\n  c: [2]\n", "base: &b\n  - word: p\ncomponents:\n  a: [&i {word: s}, *i]\n",
+    ]
+    for text in odd:
+        assert list(SP._items(text)) == loaded(text), text
+    long = "components:\n  a:\n" + "".join(f"    - word: w{i}\n      opposite: o{i}\n" for i in range(5000))
+    tracemalloc.start()
+    assert sum(1 for _ in SP._items(long)) == 5000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
