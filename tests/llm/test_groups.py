@@ -204,3 +204,52 @@ def test_forest_counts_shared_shingles_in_little_memory():
     tracemalloc.stop()
     assert total == expected
     assert peak < 80 << 20
+
+
+def test_words_are_told_apart_by_byte():
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("aAbB \t\n\x0b\x1cé漢.", k=rng.randrange(60))) for _ in range(500)]
+    texts += ["", " ", "x" * 128, "x" * 129 + " " + "x" * 129, "y" * 300, "z" * 8, "z" * 9, "end", "start"]
+    with np.errstate(over="ignore"):
+        h, doc = forest._words(pa.array(["before", *texts]).slice(1))
+    words = [(w, i) for i, t in enumerate(texts) for w in re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))]
+    assert doc.tolist() == [i for _, i in words]
+    known = {}
+    assert all(known.setdefault(w, x) == x for (w, _), x in zip(words, h.tolist(), strict=True)) and len({*known.values()}) == len(known)
+
+
+def test_similar_sets_have_a_token_in_common():
+    rng = np.random.default_rng(12)
+    level = lambda s: (s % np.uint64(211)).astype(np.int32)
+
+    def tokens(s):
+        b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([len(s)]), pa.array([forest._prefix(s, level(s), 80)], pa.binary())], ["node", "component", "n", "prefix"])
+        token, _, _, short, probes = forest._flat(b, 80)
+        return {*token[short].tolist()}, {*token[probes].tolist()}
+
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    seen = 0
+    with np.errstate(over="ignore"):
+        for _ in range(400):
+            a = np.unique(draw(int(rng.choice([rng.integers(1, 60), rng.integers(300, 1200), rng.integers(500, 5000)]))))
+            out, more = (int(len(a) * x) for x in rng.uniform(0, 0.21, 2))
+            b = np.unique(np.append(rng.permutation(a)[out:], draw(more)))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                small, large = sorted((a, b), key=len)
+                seen += 1
+                assert tokens(small)[0] & tokens(large)[1] or len(a) == len(b) and tokens(large)[0] & tokens(small)[1]
+    assert seen > 100
+
+
+def test_large_sets_of_one_vocabulary_seldom_meet(spark):
+    """Pairs of long texts share rare shingles by chance; before, nearly all of these 3,160 pairs were compared."""
+    rng = np.random.default_rng(13)
+    vocabulary = np.unique(rng.integers(0, 2**63, 60_000).astype(np.uint64))
+    rows, none = [], np.zeros(2000, np.int32)
+    with np.errstate(over="ignore"):
+        for i in range(80):
+            s = np.sort(rng.choice(vocabulary, 2000, replace=False))
+            rows.append((i, i, 2000, bytearray(forest._prefix(s, none, 80)), bytearray(forest.fold(forest.parity(s), forest.FOLDED).tobytes())))
+    prefixes = spark.createDataFrame(rows, "node long, component long, n_shingles long, prefix binary, parity binary")
+    assert forest._meetings(prefixes, forest._shared(prefixes, 80, 4, 4), 80, 4).count() < 1000

@@ -27,7 +27,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,17 +42,22 @@ CROWD = 8
 DIFFER = 28
 #: Bits of the map of candidates: 2**17 rows of 64 at most, whatever the corpus.
 MAP_BITS = 23
-SPACE = "[ \\t-\\r]+"
-#: Words whose counts order the shingles: the most frequent ones of all texts.  It sets an order, no more.
-FREQUENT = 1 << 16
+#: Slots of word hashes whose counts order the shingles.  They set an order, no more.
+SLOTS = 1 << 20
+#: Bytes of a word that are hashed eight at a time with all others; a longer word is hashed alone.
+LONG = 128
 #: A size class spans this factor of set sizes at a threshold of 0.8: two steps of 1 / 0.8.
 CLASS_STEPS = 2
+#: Least set size of a class whose sets are found by parts of several shingles, not by single ones.
+LARGE = 512
 #: Prefix shingles that a task counts at once, and those of one part; rows of one side of a cell of a common shingle.
 FLUSH, PART, CELL = 1 << 18, 1 << 18, 1 << 14
 #: Bytes of prefixes that a task takes apart at once: each shingle becomes up to two rows of some 130 bytes.
 TAKEN = 1 << 18
 #: Rows times rows of a cell that are compared at once.
 MET = 1 << 19
+#: The same of a cell that is compared at once, whatever its components.
+SMALL = 1 << 12
 #: Pairs that a task holds before it hands them on; bytes of texts confirmed at once.
 HELD, CONFIRM = 1 << 20, 2 << 20
 #: Least bits of a set's parities: each shingle flips one, so sets differ by at least as many shingles as bits.
@@ -77,16 +81,54 @@ def _order(tree: int) -> np.ndarray:
     return once(f"forest-order-{tree}", lambda: np.random.default_rng(1000 + tree).permutation(VALUES))
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the batch's different words, which of them each word is, in which text it stands), in order."""
-    parts = pc.split_pattern_regex(pc.ascii_lower(texts), SPACE)
-    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-    coded = pc.dictionary_encode(parts.flatten())
-    words = coded.dictionary.to_pylist()
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    full = np.array([w != "" for w in words], bool)[index] if len(words) else np.zeros(0, bool)
-    return own, index[full] if len(words) else np.zeros(0, np.int64), doc[full] if len(words) else doc[:0]
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, in which text it stands), in order; words are told apart by byte, all texts at once."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    # After all texts stand as many spaces as a long word is read beyond its end.
+    text = np.full(len(raw) + LONG, 32, np.uint8)
+    text[: len(raw)] = _lower()[raw]
+    full = text[: len(raw)] != 32
+    begins, stops = full.copy(), full.copy()
+    begins[1:] &= ~full[:-1]
+    stops[:-1] &= ~full[1:]
+    ends = ends - ends[0]
+    first = ends[:-1][ends[:-1] < len(raw)]
+    begins[first] = full[first]
+    before = first[first > 0] - 1
+    stops[before] = full[before]
+    start = np.flatnonzero(begins)
+    size = np.flatnonzero(stops) + 1 - start
+    eight = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    h, some = size.astype(np.uint64), slice(None)
+    for at in range(0, LONG, 8):
+        left = np.minimum(size[some] - at, 8)
+        h[some] = _mix(h[some] * np.uint64(0x9E3779B97F4A7C15) + (eight[start[some] + at] & _low()[left]))
+        some = np.flatnonzero(size > at + 8)
+        if not len(some):
+            break
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i] : start[i] + size[i]].tobytes())
+    return h, np.searchsorted(ends[1:], start, "right")
+
+
+def _lower() -> np.ndarray:
+    """Each byte's lower-case form; white space is a space."""
+
+    def make():
+        to = np.arange(256, dtype=np.uint8)
+        to[65:91] += 32
+        to[9:14] = 32
+        return to
+
+    return once("forest-lower", make)
+
+
+def _low() -> np.ndarray:
+    """The masks of the first 0 to 8 bytes of eight."""
+    return once("forest-low", lambda: np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64))
 
 
 def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -94,18 +136,13 @@ def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
     return [s for s, _ in ordered(texts, k, None)]
 
 
-def ordered(texts: pa.Array, k: int, levels: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+def ordered(texts: pa.Array, k: int, levels: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's set and how common its shingles are: the sum of their words' levels, 0 without a table."""
-    own, index, doc = _words(texts)
-    h = own[index] if len(own) else np.zeros(0, np.uint64)
+    h, doc = _words(texts)
     ends = np.searchsorted(doc, np.arange(len(texts)), "right")
     starts = np.searchsorted(doc, np.arange(len(texts)), "left")
     prime = np.uint64(0x9E3779B97F4A7C15)
-    if levels is None or not len(levels[0]):
-        level = np.zeros(len(h), np.int32)
-    else:
-        at = np.minimum(np.searchsorted(levels[0], own), len(levels[0]) - 1)
-        level = np.where(levels[0][at] == own, levels[1][at], 0).astype(np.int32)[index]
+    level = np.zeros(len(h), np.int32) if levels is None else levels[(h & np.uint64(len(levels) - 1)).view(np.int64)].astype(np.int32)
     rolled, common = h, level
     for j in range(1, k):
         rolled = rolled[:-1] * prime + h[j:] if len(rolled) > 1 else rolled[:0]
@@ -155,26 +192,30 @@ def fold(parity: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, size // 64), axis=0)
 
 
-def _levels(df: DataFrame, id_col: str, text_col: str) -> tuple[bytes, bytes]:
-    """(hashes, levels) of the ``FREQUENT`` most frequent words of all texts, by hash; a level is the logarithm of how
-    often a word occurs in eighths of a bit.
+def _levels(df: DataFrame, id_col: str, text_col: str) -> bytes:
+    """The level of each of ``SLOTS`` slots of word hashes: the logarithm of how often its words occur in all texts, in
+    eighths of a bit, as 16-bit integers.
 
-    Any order of shingles gives the same links; one that puts common words last gives few candidates.
+    Any order of shingles gives the same links; one that puts common words last gives few candidates.  A task counts
+    all its texts before it hands its slots on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "text"):
-            h, index, _ = _words(b.column(0))
-            n = np.bincount(index, minlength=len(h))
-            h, n = h[n > 0], n[n > 0]  # all but the empty word
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+        n = np.zeros(SLOTS, np.int64)
+        with np.errstate(over="ignore"):
+            for b in bounded(batches, "text"):
+                h, _ = _words(b.column(0))
+                n += np.bincount((h & np.uint64(SLOTS - 1)).view(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(n)
+        for at in range(0, len(slot), 1 << 16):
+            i = slot[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(n[i])], ["slot", "n"])
 
-    counts = two(df, id_col, text_col).where("id IS NOT NULL").select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    h, n = (top.column(c).combine_chunks().to_numpy() for c in (0, 1))
-    h = h.view(np.uint64)
-    order = np.argsort(h)
-    return h[order].tobytes(), (8 * np.log2(n[order])).astype(np.int32).tobytes()
+    texts = two(df, id_col, text_col).where("id IS NOT NULL").select("text")
+    top = texts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    levels = np.zeros(SLOTS, np.int16)
+    levels[top.column(0).to_numpy()] = 8 * np.log2(top.column(1).to_numpy())
+    return levels.tobytes()
 
 
 def _least(n: np.ndarray, share: int, of: int) -> np.ndarray:
@@ -188,14 +229,10 @@ def signatures(df: DataFrame, k: int, percent: int, id_col: str = "doc_id", text
     key = df.schema[id_col].dataType.simpleString()
     held = df.sparkSession.sparkContext.broadcast(_levels(df, id_col, text_col))
 
-    def prefix(s: np.ndarray, level: np.ndarray) -> bytes:
-        return s[np.lexsort((s, level))[: len(s) - _least(len(s), percent, 100) + 1]].tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in bounded(batches, "text"):
-                levels = np.frombuffer(held.value[0], np.uint64), np.frombuffer(held.value[1], np.int32)
-                both = ordered(b.column(1), k, levels)
+                both = ordered(b.column(1), k, np.frombuffer(held.value, np.int16))
                 sets = [s for s, _ in both]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -203,7 +240,7 @@ def signatures(df: DataFrame, k: int, percent: int, id_col: str = "doc_id", text
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([prefix(s, c) if len(s) else None for s, c in both], pa.binary()),
+                        pa.array([_prefix(s, c, percent) if len(s) else None for s, c in both], pa.binary()),
                         pa.array([parity(s) if len(s) else None for s in sets], pa.binary()),
                     ],
                     ["id", "n_shingles", "key", "sig", "prefix", "parity"],
@@ -332,30 +369,81 @@ def _candidates(nodes: DataFrame, trees: int, near: int, n: int) -> DataFrame:
     return pairs.distinct()
 
 
+def _prefix(s: np.ndarray, level: np.ndarray, percent: int) -> bytes:
+    """What a set is found by, in the order of all sets: its rarest shingles, or the parts of :func:`_parts` in its own
+    class of sizes if that is large, then those in the next class if it may be looked up there and that is large."""
+    n = len(s)
+    own, beyond = (int(_class(np.int64(x), percent)) for x in (n, n * 100 // percent))
+    first = _parts(s, level, own, percent) if _large(own, percent) else s[np.lexsort((s, level))[: n - _least(n, percent, 100) + 1]]
+    return first.tobytes() + (_parts(s, level, beyond, percent).tobytes() if beyond > own and _large(beyond, percent) else b"")
+
+
+def _parts(s: np.ndarray, level: np.ndarray, c: int, percent: int) -> np.ndarray:
+    """The parts of a set that show it in a class of large sizes, as hashes, those of many and rare shingles first.
+
+    The hashes of all shingles are divided into parts, as many for each set of the class; two sets that differ in ``d``
+    shingles agree in all parts but ``d``, so among the first ``d + 1`` of each, in one order of all parts and contents,
+    there is one of both.  A part has two shingles or so: texts that have little but frequent shingles in common seldom
+    agree in one.
+    """
+    parts = int(_bounds_of(percent)[2 * c + 1]) * 3 // 8
+    part = (s % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    of = part[order]
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    held, rare = np.add.reduceat(_mix(s[order]), at), np.add.reduceat((1 << 10) - level[order].astype(np.int64), at)
+    of, most = of[at], _differ(len(s), True, percent) + 1
+    if len(of) < most:  # empty parts are equal too
+        none = np.setdiff1d(np.arange(parts), of)
+        of, held, rare = np.append(of, none), np.append(held, np.zeros(len(none), np.uint64)), np.append(rare, np.zeros(len(none), np.int64))
+    key = _mix(held + _mix(of.astype(np.uint64)))
+    return key[np.lexsort((key, -rare))[:most]]
+
+
+def _differ(n: np.ndarray, smaller: bool, percent: int) -> np.ndarray:
+    """The most shingles in which a set of ``n`` differs from a similar one, if it is the smaller or the larger one."""
+    return (n + (n * 100 // percent if smaller else n)) * (100 - percent) // (100 + percent)
+
+
 def _flat(b: pa.RecordBatch, percent: int) -> tuple[np.ndarray, ...]:
     """(token, row of ``b``, place, whether it is looked up by larger sets, whether it looks up smaller ones) of the
-    prefix shingles of (node, component, n, prefix) rows; a token is a shingle in a class of sizes.
+    prefixes of (node, component, n, prefix) rows; a token is a shingle, or a part, in a class of sizes.
 
     Of a pair, the smaller set of n shingles shares at least ``2 * percent / (100 + percent)`` of them, so a shorter
     prefix of it is enough; the larger one's size is in the smaller one's class or, near its upper end, in the next.
+    Parts have a place of 0, which bounds nothing.
     """
-    parts = b.column(3).to_pylist()
-    n, size = b.column(2).to_numpy(zero_copy_only=False), np.array([len(p) // 8 for p in parts], np.int64)
+    blobs = b.column(3).to_pylist()
+    n, size = b.column(2).to_numpy(zero_copy_only=False), np.array([len(p) // 8 for p in blobs], np.int64)
     row = np.repeat(np.arange(b.num_rows), size)
     place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    shingle = np.frombuffer(b"".join(parts), np.uint64)
-    short = place <= (n - _least(n, 2 * percent, 100 + percent))[row]
+    held = np.frombuffer(b"".join(blobs), np.uint64)
     own, beyond = _class(n, percent), _class(n * 100 // percent, percent)
-    more = np.flatnonzero(short & (beyond > own)[row])
-    token = np.concatenate([_mix(shingle + _mix(own.astype(np.uint64))[row]), _mix(shingle[more] + _mix(beyond.astype(np.uint64))[row[more]])])
-    probes = np.append(np.ones(len(row), bool), np.zeros(len(more), bool))
-    return token.view(np.int64), np.append(row, row[more]), np.append(place, place[more]), np.append(short, np.ones(len(more), bool)), probes
+    in_parts, next_parts = _large(own, percent), _large(beyond, percent)
+    first = np.where(in_parts, _differ(n, True, percent) + 1, n - _least(n, percent, 100) + 1)
+    mine = (place < first[row]) | ~((beyond > own) & next_parts)[row]
+    short = mine & np.where(in_parts[row], True, place <= (n - _least(n, 2 * percent, 100 + percent))[row])
+    probes = mine & np.where(in_parts[row], place <= _differ(n, False, percent)[row], True)
+    more = np.flatnonzero((beyond > own)[row] & np.where(next_parts[row], ~mine, short))
+    kept = np.flatnonzero(mine)
+    token = np.concatenate([_mix(held[kept] + _mix(own.astype(np.uint64))[row[kept]]), _mix(held[more] + _mix(beyond.astype(np.uint64))[row[more]])])
+    at = np.append(np.where(in_parts[row[kept]], 0, place[kept]), np.where(next_parts[row[more]], 0, place[more]))
+    none = np.zeros(len(more), bool)
+    return token.view(np.int64), np.append(row[kept], row[more]), at, np.append(short[kept], ~none), np.append(probes[kept], none)
+
+
+def _large(c: np.ndarray, percent: int) -> np.ndarray:
+    """Whether all sizes of a class are ``LARGE`` or more, so that its sets are found by parts."""
+    return _bounds_of(percent)[np.maximum(2 * np.asarray(c) - 1, 0)] >= LARGE
 
 
 def _class(n: np.ndarray, percent: int) -> np.ndarray:
     """The class of a set size: integer bounds, each at least 100 / percent times the one before, ``CLASS_STEPS`` a class."""
-    bounds = once(f"forest-classes-{percent}", lambda: _bounds(percent))
-    return np.searchsorted(bounds, n, "right") // CLASS_STEPS
+    return np.searchsorted(_bounds_of(percent), n, "right") // CLASS_STEPS
+
+
+def _bounds_of(percent: int) -> np.ndarray:
+    return once(f"forest-classes-{percent}", lambda: _bounds(percent))
 
 
 def _bounds(percent: int) -> np.ndarray:
@@ -475,14 +563,18 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
         order = np.argsort(x[:, 5], kind="stable")
         x, px = x[order], px[order]
         ends = np.append(np.flatnonzero(np.append(True, x[1:, 5] != x[:-1, 5])), len(x))
+        small = len(x) * len(y) <= SMALL  # all components at once
+        if small:
+            ends = np.array([0, len(x)])
         for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            others = np.flatnonzero(y[:, 5] != x[lo, 5])
+            others = np.arange(len(y)) if small else np.flatnonzero(y[:, 5] != x[lo, 5])
             other = y[others]
             step = max(1, MET // max(1, len(other)))
             for at in range(lo, hi if len(other) else lo, step):
                 s = x[at : min(at + step, hi)]
                 nx, ny = s[:, None, 6], other[None, :, 6]
                 ok = ((nx < ny) | (nx == ny) & (s[:, None, 4] < other[None, :, 4])) & (100 * nx >= percent * ny)
+                ok &= s[:, None, 5] != other[None, :, 5]
                 ok &= (100 + percent) * np.minimum(nx - s[:, None, 7], ny - other[None, :, 7]) >= percent * (nx + ny)
                 i, j = np.nonzero(ok)
                 for k in range(0, len(i), 1 << 16):
@@ -493,15 +585,17 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
                     if may.any():
                         yield np.sort(np.stack([s[a[may], 4], other[b[may], 4]]), 0)
 
-    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+    def once_each(held: list[np.ndarray]) -> np.ndarray:
         pairs = np.concatenate(held, 1)
-        order = np.lexsort(pairs)
-        pairs = pairs[:, order]
-        new = np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(0))
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0, new]), pa.array(pairs[1, new])], ["a", "b"])
+        pairs = pairs[:, np.lexsort(pairs)]
+        return pairs[:, np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(0))]
+
+    def out(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = FOLDED // 64
+        held, size = [], 0
         tail, tail_parity = np.zeros((0, 8), np.int64), np.zeros((0, words), np.uint64)
         for b in chain(batches, [None]):
             if b is not None:
@@ -516,16 +610,18 @@ def _meetings(prefixes: DataFrame, shared: DataFrame, percent: int, n: int) -> D
             ends = np.append(starts[1:], len(now))
             if b is not None:  # the last cell may go on
                 tail, tail_parity, starts, ends = now[starts[-1] :], parity[starts[-1] :], starts[:-1], ends[:-1]
-            held, size = [], 0
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 for p in cell(now[s:e], parity[s:e]) if e - s > 1 else ():
                     held.append(p)
                     size += p.shape[1]
-                    if size >= HELD:
-                        yield out(held)
-                        held, size = [], 0
-            if held:
-                yield out(held)
+                    if size >= HELD:  # a pair that meets at many shingles of the task is one
+                        held = [once_each(held)]
+                        size = held[0].shape[1]
+                        if size >= HELD // 2:
+                            yield out(held[0])
+                            held, size = [], 0
+        if held:
+            yield out(once_each(held))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
