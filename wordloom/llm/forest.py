@@ -48,8 +48,8 @@ SLOTS = 1 << 20
 LONG = 128
 #: A size class spans this factor of set sizes at a threshold of 0.8: two steps of 1 / 0.8.
 CLASS_STEPS = 2
-#: Least set size of a class whose sets are found by parts of several shingles, not by single ones.
-LARGE = 512
+#: Least set size of a class whose sets are found by parts of several shingles: the folded parities bound smaller ones.
+LARGE = 1024
 #: Prefix shingles that a task counts at once, and those of one part; rows of one side of a cell of a common shingle.
 FLUSH, PART, CELL = 1 << 18, 1 << 18, 1 << 14
 #: Bytes of prefixes that a task takes apart at once: each shingle becomes up to two rows of some 130 bytes.
