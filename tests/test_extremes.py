@@ -76,3 +76,13 @@ def test_profiles_make_no_pairs(prompts):
         for g, x in (("visual", v), ("semantic", s)):
             assert p[f"{g}_internal_mean"] == pytest.approx(x.mean(), abs=1e-9)
             assert p[f"{g}_internal_range"] == pytest.approx(x.max() - x.min(), abs=1e-9)
+
+
+def test_prompt_diversity_makes_no_pairs(prompts):
+    rows = prompts[2].collect()
+    got = {r["template_id"]: r for r in PF.prompt_diversity(prompts[2]).collect()}
+    assert got.keys() == {"t1", "t2", None}
+    for k, r in got.items():
+        v, s = _similarities([x for x in rows if k in (None, x["template_id"])])
+        x = 0.5 * v + 0.5 * s
+        assert (r["mean_similarity"], r["min_similarity"], r["max_similarity"]) == pytest.approx((x.mean(), x.min(), x.max()), abs=1e-9)
