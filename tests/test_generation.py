@@ -97,6 +97,20 @@ def test_unique(spark, comps, limit):
     assert G.generate_unique(t, comps, 3, first.unionByName(G.generate(t, comps, 24)), literal_words=limit).count() == 0
 
 
+def test_rounds_move_keys_and_draw_no_more_than_needed(spark, comps, tmp_path, monkeypatch):
+    t, path = templates(spark, t="{material:2} {light_behavior}", u="{material} {light_behavior} {material}"), str(tmp_path / "h")
+    drawn, held = [], []
+    generate, cut = G.generate, G.cut
+    monkeypatch.setattr(G, "generate", lambda t, c, n, *a, **kw: drawn.append(n) or generate(t, c, n, *a, **kw))
+    monkeypatch.setattr(G, "cut", lambda df: held.append(df.columns) or cut(df))
+    B.run_batch(t, comps, 2, path)
+    drawn.clear()
+    rows = B.run_batch(t, comps, 2, path)
+    assert {r["id"] for r in rows.collect()} == {3, 4}
+    # the first ranks are known: as many again are drawn, not eight times as many
+    assert max(drawn) <= 2 and held and not any("positive" in c or "components" in c for c in held)
+
+
 def test_batch_appends_to_history(spark, comps, tmp_path):
     t, path = templates(spark, t="{material:2} {light_behavior}", u="{material} {solo}"), str(tmp_path / "h")
     B.run_batch(t, comps, 6, path)
